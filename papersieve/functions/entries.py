@@ -1,0 +1,234 @@
+"""Explode files into dictionary entries: the one Python step of the object graph.
+
+Each indirect object is flattened into rows ``(node, key, pos, kind, value)``. A
+node is a dictionary: the object number for an indirect one, parent node plus
+key for an inline one. Inline and referenced dictionaries thereby look the same
+(a row whose ``value`` names the child node) and every walk over the document is
+a join. Stream bytes are emitted only for streams something reads later.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+
+from papersieve.constants import MAX_OBJECTS, MAX_TEXT_EXCERPT_CHARS, MAX_UPLOAD_BYTES
+from papersieve.functions.arrow import unescape_names
+
+ENTRY_SCHEMA = (
+    "doc_id bigint, obj int, obj_index int, node string, key string, pos int, "
+    "kind string, value string, payload binary"
+)
+
+_HEAD = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+_TOKEN = re.compile(
+    rb"<<|>>|\[|\]|\(|/[^\s()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|(\d+)\s+\d+\s+R\b"
+    rb"|%[^\r\n]*|[^\s()<>\[\]{}/%]+"
+)
+_STRING_STOP = re.compile(rb"[()\\]")
+_STRING_ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)", re.DOTALL)
+_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[([^\]]*)\]\s*TJ", re.DOTALL)
+_LITERAL = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.DOTALL)
+_SIMPLE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _plain(match: re.Match) -> bytes:
+    mark = match.group(1)
+    if mark[:1].isdigit():
+        return bytes([int(mark, 8) & 255])
+    return b"" if mark in (b"\n", b"\r\n") else _SIMPLE.get(mark, mark)
+
+
+def _text(raw: bytes) -> str:
+    if raw.startswith(b"\xfe\xff"):
+        return raw[2:].decode("utf-16-be", "replace")
+    return raw.decode("latin-1")
+
+
+def _string_end(data: bytes, start: int) -> int:
+    depth, at = 1, start
+    while depth:
+        stop = _STRING_STOP.search(data, at)
+        if stop is None:
+            return len(data)
+        at = stop.end()
+        if stop.group() == b"\\":
+            at += 1
+        else:
+            depth += 1 if stop.group() == b"(" else -1
+    return at
+
+
+def _values(data: bytes) -> Iterator[tuple[str, str]]:
+    at = 0
+    while match := _TOKEN.search(data, at):
+        token, at = match.group(), match.end()
+        if token == b"(":
+            end = _string_end(data, at)
+            yield "string", _text(_STRING_ESCAPE.sub(_plain, data[at : end - 1]))
+            at = end
+        elif token in (b"<<", b">>", b"[", b"]"):
+            yield token.decode(), ""
+        elif token[:1] == b"/":
+            yield "name", unescape_names(token).decode("latin-1")
+        elif match.group(1):
+            yield "ref", str(int(match.group(1)))
+        elif token[:1] == b"<":
+            digits = re.sub(rb"\s", b"", token[1:-1])
+            yield "string", _text(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
+        elif token[:1] != b"%":
+            yield "scalar", token.decode("latin-1")
+
+
+def flatten(root: str, data: bytes) -> list[tuple[str, str, int, str, str]]:
+    """Rows ``(node, key, pos, kind, value)`` of one object or trailer body."""
+    rows: list[tuple[str, str, int, str, str]] = []
+    stack: list[list] = []  # [is_array, node, key, pos]
+
+    def put(kind: str, value: str) -> None:
+        if not stack:
+            rows.append((root, "", -1, kind, value))
+            return
+        top = stack[-1]
+        if top[0]:
+            rows.append((top[1], top[2], top[3], kind, value))
+            top[3] += 1
+        elif top[2] is None:
+            top[2] = value if kind == "name" else None
+        else:
+            rows.append((top[1], top[2], -1, kind, value))
+            top[2] = None
+
+    def child_of(top: list) -> str:
+        return f"{top[1]}{top[2]}[{top[3]}]" if top[0] else f"{top[1]}{top[2]}"
+
+    for kind, value in _values(data):
+        if kind == "<<":
+            name = child_of(stack[-1]) if stack else root
+            if stack:
+                put("node", name)
+            stack.append([False, name, None, -1])
+        elif kind == "[":
+            if not stack:
+                stack.append([True, root, "[]", 0])
+            elif stack[-1][0]:
+                name = child_of(stack[-1])
+                put("node", name)
+                stack.append([True, name, "[]", 0])
+            else:
+                key, stack[-1][2] = stack[-1][2], None
+                stack.append([True, stack[-1][1], key or "", 0])
+        elif kind in (">>", "]"):
+            if stack:
+                stack.pop()
+            if not stack:
+                break
+        else:
+            put(kind, value)
+    return rows
+
+
+def inflate(payload: bytes) -> bytes:
+    """Deflated bytes restored as far as they are intact, within the file cap."""
+    try:
+        return zlib.decompressobj().decompress(payload, MAX_UPLOAD_BYTES)
+    except zlib.error:
+        return payload
+
+
+def _shown_text(content: bytes) -> str:
+    pieces: list[bytes] = []
+    for match in _SHOWN.finditer(content):
+        if match.group(1) is not None:
+            pieces.append(match.group(1))
+        else:
+            pieces.extend(m.group(1) for m in _LITERAL.finditer(match.group(2)))
+    joined = b"".join(_STRING_ESCAPE.sub(_plain, p) for p in pieces)
+    return joined.decode("utf-8", "replace")[:MAX_TEXT_EXCERPT_CHARS]
+
+
+def _bodies(data: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """``(number, dictionary text, stream bytes)`` in file order."""
+    at = 0
+    while head := _HEAD.search(data, at):
+        close = data.find(b"endobj", head.end())
+        close = len(data) if close < 0 else close
+        body = data[head.end() : close]
+        mark = re.search(rb">>\s*stream\r?\n", body)
+        if mark is None:
+            yield int(head.group(1)), body, None
+            at = close
+            continue
+        start = head.end() + mark.end()
+        length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", body[: mark.end()])
+        end = start + int(length.group(1)) if length else -1
+        if end < 0 or not data[end : end + 12].lstrip().startswith(b"endstream"):
+            end = data.find(b"endstream", start)
+            end = len(data) if end < 0 else end
+            if data[end - 1 : end] == b"\n":
+                end -= 2 if data[end - 2 : end - 1] == b"\r" else 1
+        yield int(head.group(1)), body[: mark.start() + 2], data[start:end]
+        after = data.find(b"endobj", end)
+        at = len(data) if after < 0 else after
+
+
+def file_entries(doc_id: int, data: bytes) -> list[tuple]:
+    """All entry rows of one file; the last definition of a number wins."""
+    objects: dict[int, tuple[list, bytes | None]] = {}
+    trailer: list = []
+    for number, body, stream in _bodies(data):
+        rows = flatten(str(number), body)
+        top = {r[1]: r[4] for r in rows if r[0] == str(number)}
+        if stream is not None and top.get("/Filter") in ("/FlateDecode", "/Fl"):
+            stream = inflate(stream)
+        objects[number] = (rows, stream)
+        if top.get("/Type") == "/XRef":
+            trailer = [("trailer", *r[1:]) for r in rows if r[0] == str(number)]
+        if top.get("/Type") == "/ObjStm" and stream is not None:
+            first = int(top.get("/First", "0") or 0)
+            pairs = [int(n) for n in re.findall(rb"\d+", stream[:first])]
+            starts = pairs[1::2] + [len(stream) - first]
+            for inner, begin, stop in zip(pairs[::2], starts, starts[1:]):
+                objects[inner] = (flatten(str(inner), stream[first + begin : first + stop]), None)
+    for mark in re.finditer(rb"\btrailer\b", data):
+        rows = flatten("trailer", data[mark.end() : mark.end() + 65536])
+        trailer = [r for r in rows if r[1]] or trailer
+
+    wanted: set[str] = set()
+    shown: set[str] = set()
+    for rows, _ in objects.values():
+        for node, key, _, kind, value in rows:
+            if kind == "ref":
+                if key in ("/JS", "/Metadata") or node.endswith("/EF"):
+                    wanted.add(value)
+                elif key == "/Contents":
+                    shown.add(value)
+    ordered = sorted(objects)
+    out = [(doc_id, -1, -1, *r, None) for r in trailer]
+    if len(ordered) > MAX_OBJECTS:
+        out.append(
+            (doc_id, -1, -1, "note", "", -1, "error", "object scan budget exhausted", None)
+        )
+    for index, number in enumerate(ordered):
+        rows, stream = objects[number]
+        out.extend((doc_id, number, index, *r, None) for r in rows)
+        if stream is not None and str(number) in wanted:
+            out.append((doc_id, number, index, str(number), "", -1, "stream", None, stream))
+        if stream is not None and str(number) in shown:
+            out.append(
+                (doc_id, number, index, str(number), "", -1, "text", _shown_text(stream), None)
+            )
+    return out
+
+
+def explode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``mapInPandas`` body: ``doc_id, content`` in, entry rows out, file by file."""
+    names = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+    for batch in batches:
+        for doc_id, content in zip(batch["doc_id"], batch["content"]):
+            rows = file_entries(int(doc_id), bytes(content))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
