@@ -204,15 +204,20 @@ class Walk:
 
 
 def walk(entries: DataFrame) -> Walk:
-    roots = catalogs(entries)
+    """Stage the relations several findings share, so each finding is a short plan.
+
+    Runs actions: the tree levels and the staged catalogs, pages, action
+    attributes and script texts.
+    """
+    roots = staged(catalogs(entries), "doc_id")
     trees = walk_trees(tree_starts(roots, entries), entries)
     return Walk(
         entries,
         roots,
         trees,
-        page_nodes(trees, entries),
-        action_attributes(entries),
-        script_sources(entries),
+        staged(page_nodes(trees, entries), "doc_id"),
+        staged(action_attributes(entries), "doc_id"),
+        staged(script_sources(entries), "doc_id"),
     )
 
 

@@ -8,7 +8,12 @@ the same text: the work grows with the table and nothing is subset.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papersieve.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,8 +205,6 @@ def derived(spark: SparkSession, sf_dir: str, select: str, *tables: str) -> Data
 
 def _named(select: str, tables: tuple[str, ...]) -> str:
     """Mark the table names as query parameters, leaving everything else alone."""
-    import re
-
     text = select.replace("{", "{{").replace("}", "}}")
     for t in tables:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
@@ -209,8 +212,6 @@ def _named(select: str, tables: tuple[str, ...]) -> str:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     rows = derived(spark, sf_dir, RESULTS_SELECT, "documents", "labels")
     return rows.withColumn(
         "indicators", F.filter(F.split("codes", ";"), lambda c: c != "")
@@ -239,8 +240,6 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One script per page: ``doc_id, ord, location, code, length``."""
-    from pyspark.sql import functions as F
-
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("doc_id"),
         F.lit(0).alias("ord"),
@@ -250,8 +249,6 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("doc_id"), F.expr(PAGE_URL).alias("raw_url")
     )
@@ -259,9 +256,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document file per row of ``documents``: ``doc_id, path, content``."""
-    from pyspark.sql import functions as F
-
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id",
         F.format_string("%s/%d.pdf", "source", "doc_id").alias("path"),
         F.encode(F.expr(PDF_TEXT), "UTF-8").alias("content"),

@@ -68,3 +68,13 @@ def staged(df: DataFrame, *sort_by: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work one partition per core when the scan has fewer.
+
+    A large table already splits into more partitions than there are cores and
+    is returned unchanged; only a few small files cause a repartition.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
