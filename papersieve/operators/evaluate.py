@@ -185,7 +185,7 @@ def worst_clean(results: DataFrame, threshold: int = 80, limit: int = 40) -> Dat
     bad = scored_rows(results).where((F.col("label") == "clean") & (F.col("score") >= threshold))
     total = bad.agg(F.greatest(F.lit(0), F.count("*") - limit).alias("not_shown"))
     shown = bad.orderBy(F.desc("score"), "path").limit(limit)
-    return shown.join(F.broadcast(total), F.lit(True))
+    return shown.withColumn("not_shown", total.scalar())
 
 
 def escape_cutoffs(results: DataFrame, cutoffs: Sequence[int] = K.ESCAPE_CUTOFFS) -> DataFrame:

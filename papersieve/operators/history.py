@@ -74,8 +74,7 @@ def stats(scans: DataFrame, assessments: DataFrame, now: Column) -> DataFrame:
     calls = assessments.agg(
         F.count_if(F.col("created_at") >= since).alias("ai_calls_last_24h")
     )
-    # Two one-row results side by side; neither grows with the data.
-    return base.join(F.broadcast(calls), F.lit(True))
+    return base.withColumn("ai_calls_last_24h", calls.scalar())
 
 
 def counts_by(scans: DataFrame, column: str) -> DataFrame:
@@ -98,9 +97,8 @@ def doomed(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
     """Scans strictly older than the cutoff and not quarantined; ties survive."""
     if keep <= 0:
         return scans.limit(0)
-    cutoff = prune_cutoff(scans, keep)
-    old = scans.join(F.broadcast(cutoff), F.col("created_at") < F.col("cutoff"))
-    return old.where(~F.col("quarantined")).drop("cutoff")
+    cutoff = prune_cutoff(scans, keep).scalar()
+    return scans.where((F.col("created_at") < cutoff) & ~F.col("quarantined"))
 
 
 def pruned(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
@@ -116,12 +114,10 @@ def orphan_keys(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
     """
     if keep <= 0:
         return scans.select("storage_key").limit(0)
-    cutoff = F.broadcast(prune_cutoff(scans, keep))
-    marked = scans.join(cutoff, F.lit(True)).withColumn(
-        "gone", (F.col("created_at") < F.col("cutoff")) & ~F.col("quarantined")
-    )
+    old = F.coalesce(F.col("created_at") < prune_cutoff(scans, keep).scalar(), F.lit(False))
     return (
-        marked.groupBy("storage_key")
+        scans.withColumn("gone", old & ~F.col("quarantined"))
+        .groupBy("storage_key")
         .agg(F.bool_and("gone").alias("all_gone"))
         .where("all_gone")
         .select("storage_key")

@@ -131,11 +131,8 @@ def stop_after_failures(
 ) -> DataFrame:
     """Drop rows after the first run of ``limit`` consecutive failures."""
     end = first_failing_run(calls, F.col("error") != "", limit, index)
-    return (
-        calls.join(F.broadcast(end), F.lit(True))
-        .where(F.col("abort_at").isNull() | (F.col(index) <= F.col("abort_at")))
-        .drop("abort_at")
-    )
+    abort_at = F.coalesce(end.scalar(), F.col(index).cast("long"))
+    return calls.where(F.col(index) <= abort_at)
 
 
 def failure_warning(changes: DataFrame, planned: int | None = None) -> DataFrame:
@@ -214,7 +211,7 @@ def spread(changes: DataFrame, minimum: int = 5) -> DataFrame:
     )
     labels = label_counts(changes).agg(F.count("*").alias("labels"))
     return (
-        modal.join(F.broadcast(labels), F.lit(True))
+        modal.withColumn("labels", labels.scalar())
         .where(F.col("scored") >= minimum)
         .withColumn(
             "constant_answer",
