@@ -308,7 +308,7 @@ def _usable(summary: DataFrame, rules: Sequence[tuple[int, Rule]]) -> list[Colum
             column = _emission(rule, rank)
             summary.select(column).schema  # noqa: B018 - forces analysis
         except AnalysisException as problem:
-            warnings.warn(f"rule {rule.code} skipped: {problem}", stacklevel=2)
+            warnings.warn(f"rule {rule.code} skipped: {str(problem).splitlines()[0]}", stacklevel=2)
             continue
         out.append(column)
     return out

@@ -29,7 +29,8 @@ concat(
     WHEN 2 THEN concat('util.printf(', chr(39), '%45000f', chr(39), ',', CAST(page_id AS STRING), ');')
     WHEN 3 THEN concat('var s=', chr(39), repeat(md5(CAST(page_id AS STRING)), CAST(page_id % 6 AS INT) + 1), chr(39), ';')
     WHEN 4 THEN concat('String.fromCharCode (97);', 'ActiveXObject', chr(10), 'WScript;', repeat('fromCharCode(1);', CAST(page_id % 7 AS INT)))
-    WHEN 5 THEN concat('_0x1a=_0x2b;', repeat('a=b+c;', CAST(page_id % 30 AS INT)))
+    WHEN 5 THEN concat('_0x1a=_0x2b;', repeat('a=b+c;', CAST(page_id % 30 AS INT)), repeat('%u9090', CAST(page_id % 50 AS INT)),
+      repeat('fromCharCode(1);', CAST(page_id % 8 AS INT)), chr(39), repeat(md5(CAST(page_id AS STRING)), CAST(page_id % 10 AS INT)), chr(39))
     WHEN 6 THEN concat(repeat(concat(chr(34), 'ab', chr(34), ' + '), CAST(page_id % 50 AS INT)), chr(34), 'z', chr(34))
     WHEN 7 THEN repeat('longline=longline+morewords;', CAST(page_id % 300 AS INT))
     WHEN 8 THEN 'Collab.getIcon(this.getAnnots());media.newPlayer(null)'
