@@ -1 +1,265 @@
-"""Queries."""
+"""Streaming queries run to completion over the table files, and batch twins."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papersieve.catalog import fragments as X
+from papersieve.catalog.registry import query
+from papersieve.operators.scoring import verdict_of
+from papersieve.plans import inputs as I
+from papersieve.session import checkpoint_dir
+from papersieve.streaming import ingest as ig
+from papersieve.streaming import settle as st
+from papersieve.streaming import windows as wn
+
+
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table's files as a stream."""
+    schema = I.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def run_once(streaming: DataFrame) -> DataFrame:
+    """Drain an append-mode stream into a table and read the table."""
+    spark = streaming.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    writer = (
+        streaming.writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/log").trigger(availableNow=True).outputMode("append")
+    )
+    writer.start().awaitTermination()
+    return spark.read.schema(streaming.schema).parquet(f"{root}/out")
+
+
+def run_updates(streaming: DataFrame, mode: str = "complete") -> DataFrame:
+    """Drain an aggregating stream; the last batch's result is the answer."""
+    spark = streaming.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    (
+        streaming.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/log")
+        .trigger(availableNow=True).outputMode(mode).start().awaitTermination()
+    )
+    rows = spark.read.parquet(f"{root}/out")
+    last = rows.agg(F.max("batch")).scalar()
+    return rows.where(F.col("batch") == last).drop("batch")
+
+
+# Listing rows: names from event types, sizes that settle or keep growing.
+_NAMES = """CASE event_id % 8 WHEN 0 THEN concat('/in/a', CAST(user_id AS STRING), '.pdf') WHEN 1 THEN concat('/in/.hidden/b', CAST(user_id AS STRING), '.pdf')
+  WHEN 2 THEN concat('/in/sub/c', CAST(user_id AS STRING), '.pdf') WHEN 3 THEN concat('/in/d', CAST(user_id AS STRING), '.pdf.part') WHEN 4 THEN concat('/in/.e', CAST(user_id AS STRING), '.pdf')
+  WHEN 5 THEN concat('/in/f', CAST(user_id AS STRING), '.PDF') WHEN 6 THEN concat('/in/g', CAST(user_id AS STRING), '.txt') ELSE concat('/in/h', CAST(user_id AS STRING), '.pdf') END"""
+
+
+@query(
+    "W1_candidates",
+    f"""WITH l AS (SELECT DISTINCT {_NAMES} AS path FROM events) SELECT path, event_flat AS flat FROM (SELECT path, NOT contains(substr(path, 5), '/') AS event_flat FROM l WHERE regexp_matches(path, '\\.pdf$') AND NOT regexp_matches(path, '/\\.[^/]*$') AND NOT regexp_matches(path, '/\\.[^/]*/[^/]*$'))""",
+)
+def _(spark, sf):
+    paths = I.table(spark, sf, "events").select(F.expr(_NAMES).alias("path")).distinct()
+    return paths.where(st.is_candidate(F.col("path"), True)).select(
+        "path", st.is_candidate(F.col("path"), False, "/in").alias("flat")
+    )
+
+
+def listing(rows: DataFrame) -> DataFrame:
+    """Nine observations, 15 s apart, of one file per nine events."""
+    look = F.expr("event_id % 9")
+    group = F.expr("event_id DIV 9")
+    grows = F.expr("(event_id DIV 9) % 4")
+    return rows.select(
+        F.concat(F.lit("/in/"), group.cast("string"), F.lit(".pdf")).alias("path"),
+        (F.least(look, grows) * 10 + F.expr("(event_id DIV 9) % 3")).cast("bigint").alias("size"),
+        (
+            F.lit("2024-01-01 00:00:00").cast("timestamp")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (group * 1000 + look * 15).cast("decimal(18,6)"))
+        ).alias("observed_at"),
+    )
+
+
+# Sizes: min(look, g) * 10 + r. Stable from look g on; a size of 0 (g = r = 0)
+# never counts, so those files leave at the 120 s limit only, which nine looks
+# do not reach (8 * 15 = 120 is not more than 120).
+_SETTLED = """WITH f AS (SELECT event_id // 9 AS grp, count(*) AS looks FROM events GROUP BY 1),
+t AS (SELECT grp, looks, grp % 4 AS g, grp % 3 AS r FROM f)
+SELECT '/in/' || grp || '.pdf' AS path, (g * 10 + r)::BIGINT AS size, (grp * 1000 + (g + 2) * 15)::BIGINT AS at
+FROM t WHERE looks > g + 2 AND NOT (g = 0 AND r = 0)"""
+
+
+@query("W2_settled_files", _SETTLED)
+def _(spark, sf):
+    settled = st.settled_files(listing(stream_of(spark, sf, "events")))
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return run_once(settled).select("path", "size", (F.unix_timestamp("observed_at") - start).alias("at"))
+
+
+@query("W3_primed", f"WITH l AS (SELECT DISTINCT {_NAMES} AS path FROM events WHERE event_id % 3 = 0), b AS (SELECT DISTINCT {_NAMES} AS path FROM events WHERE event_id % 3 <> 0 AND user_id % 2 = 0) SELECT path FROM l WHERE path NOT IN (SELECT path FROM b)")
+def _(spark, sf):
+    rows = I.table(spark, sf, "events").withColumn("path", F.expr(_NAMES))
+    base = rows.where("event_id % 3 <> 0 AND user_id % 2 = 0")
+    live = stream_of(spark, sf, "events").where("event_id % 3 = 0").select(F.expr(_NAMES).alias("path"))
+    return run_once(st.unprimed(live, base)).distinct()
+
+
+@query("W4_submitted_once", _SETTLED.replace("SELECT '/in/'", "SELECT count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT '/in/'") + ")")
+def _(spark, sf):
+    settled = run_once(st.settled_files(listing(stream_of(spark, sf, "events"))))
+    return settled.agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+
+
+class _Bytes(ig.Ingest):
+    """Ingest for the derived files, which arrive as table rows."""
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        files = rows.select(
+            F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
+            F.when(F.expr("doc_id % 50 = 7"), F.lit("plain text").cast("binary"))
+            .otherwise(F.encode(F.expr(I.PDF_TEXT), "UTF-8")).alias("content"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("observed_at"),
+        )
+        super().__call__(
+            I.spread(files).withColumn("length", F.octet_length("content").cast("long")), batch_id
+        )
+
+
+def ingested(spark: SparkSession, sf: str) -> str:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INGESTED:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+        (
+            stream_of(spark, sf, "documents").writeStream.foreachBatch(_Bytes(f"{root}/store"))
+            .option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
+            .start().awaitTermination()
+        )
+        _INGESTED[key] = f"{root}/store"
+    return _INGESTED[key]
+
+
+_INGESTED: dict[tuple[str, str], str] = {}
+# Content depends on doc_id except in the broken files, which are all alike: only
+# the first of those by path is scanned.
+_MARKED = f"SELECT *, doc_id % 50 = 7 OR (doc_id % 29 = 3 AND {X.VALID}) AS refused FROM documents"
+_SENT = f"""SELECT *, NOT refused AND row_number() OVER (PARTITION BY refused, CASE WHEN doc_id % 41 = 9 THEN -1 ELSE doc_id END ORDER BY doc_id::STRING || '.pdf') = 1 AS kept FROM ({_MARKED})"""
+
+
+@query("W5_content_dedup", f"WITH s AS ({_SENT}) SELECT count(*) AS scans, count(*) AS hashes FROM s WHERE kept")
+def _(spark, sf):
+    saved = spark.read.parquet(f"{ingested(spark, sf)}/scans")
+    return saved.agg(F.count("*").alias("scans"), F.count_distinct("sha256").alias("hashes"))
+
+
+_INGEST_SQL = f"""WITH {X.FILE_INDICATORS}, agg AS ({X.SCORED}), s AS ({_SENT}),
+k AS (SELECT s.doc_id, coalesce({X.final_score('raw', 'sev', 'n_indicators')}, 0) AS score FROM s LEFT JOIN agg ON s.doc_id = agg.doc_id WHERE kept)"""
+
+
+@query("W6_ingest_verdicts", f"{_INGEST_SQL} SELECT doc_id || '.pdf' AS filename, score AS risk_score, {X.verdict('score')} AS verdict, CASE WHEN score >= 80 THEN 'quarantined' ELSE 'completed' END AS status FROM k")
+def _(spark, sf):
+    return spark.read.parquet(f"{ingested(spark, sf)}/scans").select("filename", "risk_score", "verdict", "status")
+
+
+@query(
+    "W7_lifecycle_events",
+    f"WITH s AS ({_SENT}) SELECT kind, count(*) AS n FROM s, (VALUES ('queued'), ('parsing'), ('completed')) AS v(kind) WHERE kept GROUP BY 1 UNION ALL SELECT CASE WHEN refused THEN 'rejected' ELSE 'duplicate' END, count(*) FROM s WHERE NOT kept GROUP BY 1",
+)
+def _(spark, sf):
+    return spark.read.parquet(f"{ingested(spark, sf)}/events").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_KIND = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'parsing' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+_DELTA = f"CASE {_KIND} WHEN 'queued' THEN 1 WHEN 'completed' THEN -1 WHEN 'failed' THEN -1 ELSE 0 END"
+
+
+@query(
+    "W8_queue_depth",
+    f"SELECT event_id, sum({_DELTA}) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS depth, sum({_DELTA}) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 0 AS idle FROM events",
+)
+def _(spark, sf):
+    events = I.table(spark, sf, "events").withColumn("kind", F.expr(_KIND))
+    return wn.depth_over_time(events).select("event_id", "depth", "idle")
+
+
+@query("W8_queue_depth_stream", f"SELECT sum({_DELTA})::BIGINT AS depth, sum({_DELTA}) <= 0 AS idle FROM events")
+def _(spark, sf):
+    events = stream_of(spark, sf, "events").withColumn("kind", F.expr(_KIND))
+    return run_updates(wn.queue_depth(events))
+
+
+# One scan per event; two thirds of them finish at once, the others never do.
+@query(
+    "W9_stale_scans",
+    "SELECT event_id AS scan_id, 'failed' AS status, 'unknown' AS verdict, 'interrupted' AS error_code FROM events WHERE event_id % 3 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 130 MINUTE",
+)
+def _(spark, sf):
+    life = stream_of(spark, sf, "events").select(
+        F.col("event_id").alias("scan_id"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN 'analyzing' ELSE 'completed' END").alias("status"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return run_once(st.stale_scans(life))
+
+
+def scan_events(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        verdict_of(F.expr("CAST(event_id % 101 AS INT)")).alias("verdict"),
+    )
+
+
+_WINDOWED = """WITH w AS (SELECT event_id, unnest(range(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS s FROM events)
+SELECT epoch(s)::BIGINT AS window_start, count(*) AS scanned, count(*) FILTER (WHERE event_id % 101 >= 80) AS malicious FROM w {closed} GROUP BY 1"""
+_CLOSED = "WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+def shown(counters: DataFrame) -> DataFrame:
+    return counters.select(F.unix_timestamp("window_start").alias("window_start"), "scanned", "malicious")
+
+
+@query("W10_day_counters", _WINDOWED.format(closed=""))
+def _(spark, sf):
+    return shown(wn.day_counters(scan_events(I.table(spark, sf, "events"))))
+
+
+@query("W10_day_counters_stream", _WINDOWED.format(closed=_CLOSED))
+def _(spark, sf):
+    return shown(run_once(wn.day_counters(scan_events(stream_of(spark, sf, "events")))))
+
+
+def token_events(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("CAST(floor(value * 100) AS BIGINT)").alias("tokens"))
+
+
+_TOKENS = "SELECT CAST(ts AS DATE)::STRING AS day, sum(floor(value * 100))::BIGINT AS tokens FROM events WHERE floor(value * 100) > 0 {closed} GROUP BY 1"
+
+
+@query("W11_daily_tokens", _TOKENS.format(closed=""))
+def _(spark, sf):
+    return wn.daily_tokens(token_events(I.table(spark, sf, "events"))).withColumn("day", F.col("day").cast("string"))
+
+
+@query("W11_daily_tokens_stream", _TOKENS.format(closed="AND CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"))
+def _(spark, sf):
+    rows = run_once(wn.daily_tokens(token_events(stream_of(spark, sf, "events"))))
+    return rows.withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "W12_watch_status",
+    _SETTLED.replace("SELECT '/in/'", ", s AS (SELECT '/in/'") + ") SELECT (SELECT count(*) FROM s) AS known_files, (SELECT count(*) FROM f) - (SELECT count(*) FROM s) AS settling",
+)
+def _(spark, sf):
+    seen = listing(I.table(spark, sf, "events")).select("path").distinct()
+    done = run_once(st.settled_files(listing(stream_of(spark, sf, "events")))).select("path").withColumn("done", F.lit(True))
+    states = seen.join(done, "path", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    return st.watch_status(states)
+
+
+@query("W13_run_verdict", "SELECT CASE max(CASE WHEN event_id % 101 >= 80 THEN 4 WHEN event_id % 101 >= 50 THEN 3 WHEN event_id % 101 >= 20 THEN 1 ELSE 0 END) WHEN 4 THEN 'malicious' WHEN 3 THEN 'suspicious' WHEN 1 THEN 'low_risk' ELSE 'clean' END AS worst FROM events")
+def _(spark, sf):
+    return run_updates(wn.run_verdict(scan_events(stream_of(spark, sf, "events"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
-from papersieve.functions.text import literals, utf8_of
+from papersieve.functions.text import let, literals, utf8_of
 
 _STOP = "[^\\s<>\"'\\\\)\\]}]{3,2048}"
 URL_PATTERN = (
@@ -40,41 +40,63 @@ def classify(url: Column) -> Column:
     """Struct of URL traits, null for text that is not usable as a URL.
 
     Splits by pattern rather than with the built-in URL parser, which rejects
-    hosts with underscores and leaves case and IPv6 brackets alone.
+    hosts with underscores and leaves case and IPv6 brackets alone. Each step is
+    bound once, so later steps do not repeat the work of earlier ones.
     """
-    clean = F.regexp_replace(trim_url(url), r"[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    rest = F.when(scheme != "", F.substr(clean, F.length(scheme) + 2)).otherwise(clean)
-    netloc = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    hostinfo = F.substring_index(netloc, "@", -1)
+    return let(trim_url(url), lambda u: let(_authority(u), _traits))
+
+
+def _authority(url: Column) -> Column:
+    clean = F.regexp_replace(url, r"[\t\r\n]", "")
+    pattern = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
+    return let(
+        clean,
+        lambda c: F.struct(
+            url.alias("url"),
+            F.lower(F.regexp_extract(c, pattern, 1)).alias("scheme"),
+            F.regexp_extract(c, pattern, 2).alias("netloc"),
+            F.substring_index(F.regexp_extract(c, pattern, 2), "@", -1).alias("hostinfo"),
+        ),
+    )
+
+
+def _traits(part: Column) -> Column:
+    netloc, hostinfo = part["netloc"], part["hostinfo"]
     bracketed = F.contains(hostinfo, F.lit("["))
-    inside = F.regexp_extract(hostinfo, r"\[([^\]]*)\]?", 1)
     host = F.lower(
-        F.when(bracketed, inside).otherwise(F.substring_index(hostinfo, ":", 1))
+        F.when(bracketed, F.regexp_extract(hostinfo, r"\[([^\]]*)\]?", 1)).otherwise(
+            F.substring_index(hostinfo, ":", 1)
+        )
     )
     port_text = F.when(
         bracketed, F.regexp_extract(hostinfo, r"\][^:]*:(.*)$", 1)
     ).otherwise(F.regexp_extract(hostinfo, r"^[^:]*:(.*)$", 1))
-    port = F.when(port_text.rlike(r"^0*[0-9]{1,5}$"), port_text.cast("int"))
-    opens, closes = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    is_v6 = host.rlike(f"^{IPV6}(?:%.+)?$")
-    usable = (F.length(trim_url(url)) >= 4) & (opens == closes) & (~bracketed | is_v6)
+    balanced = F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]"))
     tlds = literals(K.SUSPICIOUS_TLDS)
-    return F.when(
-        usable,
+    described = let(
         F.struct(
-            F.left(trim_url(url), F.lit(2048)).alias("url"),
-            scheme.alias("scheme"),
             host.alias("host"),
-            (host.rlike(f"^{IPV4}$") | is_v6).alias("is_ip_literal"),
-            host.isin(*K.URL_SHORTENER_HOSTS).alias("is_shortener"),
-            (F.startswith(host, F.lit("xn--")) | F.contains(host, F.lit(".xn--"))).alias(
-                "is_punycode"
+            host.rlike(f"^{IPV6}(?:%.+)?$").alias("v6"),
+            F.when(port_text.rlike("^[0-9]{1,5}$"), port_text.cast("int")).alias("port"),
+        ),
+        lambda h: F.when(
+            ~bracketed | h["v6"],
+            F.struct(
+                F.left(part["url"], F.lit(2048)).alias("url"),
+                part["scheme"].alias("scheme"),
+                h["host"].alias("host"),
+                (h["host"].rlike(f"^{IPV4}$") | h["v6"]).alias("is_ip_literal"),
+                h["host"].isin(*K.URL_SHORTENER_HOSTS).alias("is_shortener"),
+                (
+                    F.startswith(h["host"], F.lit("xn--"))
+                    | F.contains(h["host"], F.lit(".xn--"))
+                ).alias("is_punycode"),
+                F.exists(tlds, lambda t: F.endswith(h["host"], t)).alias("suspicious_tld"),
+                F.when(h["port"] <= 65535, h["port"]).alias("port"),
             ),
-            F.exists(tlds, lambda t: F.endswith(host, t)).alias("suspicious_tld"),
-            F.when(port <= 65535, port).alias("port"),
         ),
     )
+    return F.when((F.length(part["url"]) >= 4) & balanced, described)
 
 
 def _unc(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ def utf8_of(text: Column) -> Column:
     return F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` for ``body`` so that it is evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)
+
+
 def literals(values: Iterable) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

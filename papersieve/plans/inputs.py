@@ -163,13 +163,13 @@ FROM events
 SCANS_SELECT = """
 SELECT o_orderkey AS scan_id,
   concat('Report_', CAST(o_custkey AS STRING), '_', CAST(o_orderkey AS STRING), '.pdf') AS filename,
-  CAST(o_totalprice AS BIGINT) AS file_size,
+  CAST(floor(o_totalprice) AS BIGINT) AS file_size,
   md5(CAST(o_custkey AS STRING)) AS sha256,
   concat(substr(md5(CAST(o_custkey AS STRING)), 1, 2), '/', substr(md5(CAST(o_custkey AS STRING)), 3, 2), '/', md5(CAST(o_custkey AS STRING)), '.pdf') AS storage_key,
   CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'quarantined' END AS status,
   CAST(o_orderkey % 101 AS INT) AS risk_score,
   CASE WHEN o_orderkey % 101 >= 80 THEN 'malicious' WHEN o_orderkey % 101 >= 50 THEN 'suspicious' WHEN o_orderkey % 101 >= 20 THEN 'low_risk' ELSE 'clean' END AS verdict,
-  CAST(o_totalprice / 100 AS INT) AS duration_ms,
+  CAST(floor(o_totalprice / 100) AS INT) AS duration_ms,
   CASE WHEN o_orderstatus = 'P' THEN true ELSE false END AS quarantined,
   CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('summary ', CAST(o_orderkey AS STRING)) END AS summary,
   CASE WHEN o_orderkey % 11 = 0 THEN concat('bad file', chr(10), 'trace') ELSE '' END AS error_message,

@@ -108,10 +108,10 @@ def scan_files(
 ) -> Scan:
     """Scan ``files(doc_id, content)``.
 
-    Runs actions for the tables later steps read more than once (features,
-    entries, walk relations, actions, scripts), which are what a history store
-    keeps anyway; the rest is lazy. ``content`` is read by three narrow passes
-    (features, sweep and signatures, entries) and never shuffled.
+    Runs actions: every findings table is written once under the checkpoint
+    folder, which is what a history store keeps anyway, and read back pruned by
+    whoever needs a few of its columns. ``content`` is read by narrow passes
+    (features, entries, URL sweep, signatures) and never shuffled.
     """
     features = staged(byte_features(files), "doc_id")
     entries = og.stage_entries(files)
@@ -119,13 +119,13 @@ def scan_files(
     scripts = staged(collect_scripts(w), "doc_id")
     actions = staged(og.actions(w), "doc_id")
     evidence = Evidence(
-        structure=structure_table(features, w, scripts, actions),
+        structure=staged(structure_table(features, w, scripts, actions), "doc_id"),
         scripts=scripts,
         actions=actions,
-        attachments=og.attachments(w),
-        urls=collect_urls(files, w, scripts),
-        hits=signature_hits(files, signatures),
+        attachments=staged(og.attachments(w), "doc_id"),
+        urls=staged(collect_urls(files, w, scripts), "doc_id"),
+        hits=staged(signature_hits(files, signatures), "doc_id"),
         errors=og.parse_errors(files, w, features),
     )
-    found = indicators(evidence, rules)
+    found = staged(indicators(evidence, rules), "doc_id")
     return Scan(features, w, evidence, found, outcomes(found, files))
