@@ -45,27 +45,39 @@ def objects(entries: DataFrame, cap: int = K.MAX_OBJECTS) -> DataFrame:
     )
 
 
-def _edges(entries: DataFrame, *keys: str) -> DataFrame:
-    return entries.where(_is_edge() & F.col("key").isin(*keys)).select(
-        "doc_id", "node", "key", "pos", F.col("value").alias("child")
-    )
+# Keys some walk follows; edges under other keys are not kept.
+FOLLOWED = (
+    "/A", "/AA", "/AcroForm", "/Annots", "/Contents", "/EF", "/EmbeddedFiles", "/F",
+    "/JavaScript", "/Kids", "/Metadata", "/Names", "/Pages",
+)
 
 
-def follow(frontier: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """Replace ``node`` by the child under ``key``; arrays give one row per item.
+def resolved_edges(entries: DataFrame) -> DataFrame:
+    """``doc_id, node, key, pos, child`` for the followed keys.
 
-    A reference to an array object is followed through to its items.
+    A reference to an array object is replaced by one edge per item, so that
+    every later step is a single join.
     """
-    direct = frontier.join(_edges(entries, key).drop("key"), _ID)
-    items = _edges(entries, "[]").select(
-        "doc_id", F.col("node").alias("child"), F.col("pos").alias("_p"), F.col("child").alias("_c")
+    named = entries.where(_is_edge() & F.col("key").isin(*FOLLOWED)).select(
+        "doc_id", "node", "key", "pos", F.col("value").alias("child")
     )
-    return (
-        direct.join(items, ["doc_id", "child"], "left")
-        .withColumn("node", F.coalesce("_c", "child"))
-        .withColumn("pos", F.coalesce("_p", "pos"))
-        .drop("_c", "_p", "child")
+    items = entries.where(_is_edge() & (F.col("key") == "[]")).select(
+        "doc_id", F.col("node").alias("child"), F.col("pos").alias("_p"), F.col("value").alias("_c")
     )
+    return named.join(items, ["doc_id", "child"], "left").select(
+        "doc_id",
+        "node",
+        "key",
+        F.coalesce("_p", "pos").alias("pos"),
+        F.coalesce("_c", "child").alias("child"),
+    )
+
+
+def follow(frontier: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Replace ``node`` by each child under ``key``; adds the item position."""
+    wanted = edges.where(F.col("key") == key).drop("key")
+    kept = frontier.drop("pos")
+    return kept.join(wanted, _ID).drop("node").withColumnRenamed("child", "node")
 
 
 def catalogs(entries: DataFrame) -> DataFrame:
@@ -82,14 +94,14 @@ def catalogs(entries: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min_by("node", F.struct("_rank", "node")).alias("node"))
 
 
-def walk_trees(starts: DataFrame, entries: DataFrame) -> DataFrame:
+def walk_trees(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node under ``starts(doc_id, tree, node)`` reached through ``/Kids``.
 
     Level by level until no new node appears; nodes already seen are dropped, so
     cycles end the walk. Runs one small action per level, tens at most for any
     real file, and checkpoints each level so the plan stays short.
     """
-    kids = _edges(entries, "/Kids").drop("key")
+    kids = edges.where(F.col("key") == "/Kids").drop("key")
     level = durable(starts.withColumn("path", F.lit("")))
     seen = level
     while not level.isEmpty():
@@ -109,18 +121,18 @@ def walk_trees(starts: DataFrame, entries: DataFrame) -> DataFrame:
     return seen
 
 
-def tree_starts(roots: DataFrame, entries: DataFrame) -> DataFrame:
+def tree_starts(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Starting nodes of the page, script-name and attachment-name trees."""
     bare = roots.select(_ID)
-    names = follow(bare, entries, "/Names").select(_ID)
+    names = follow(bare, edges, "/Names").select(_ID)
 
     def tagged(df: DataFrame, tree: str) -> DataFrame:
         return df.select("doc_id", F.lit(tree).alias("tree"), "node")
 
     return (
-        tagged(follow(bare, entries, "/Pages"), "pages")
-        .unionByName(tagged(follow(names, entries, "/JavaScript"), "scripts"))
-        .unionByName(tagged(follow(names, entries, "/EmbeddedFiles"), "files"))
+        tagged(follow(bare, edges, "/Pages"), "pages")
+        .unionByName(tagged(follow(names, edges, "/JavaScript"), "scripts"))
+        .unionByName(tagged(follow(names, edges, "/EmbeddedFiles"), "files"))
     )
 
 
@@ -196,6 +208,7 @@ class Walk:
     """The relations every finding below starts from."""
 
     entries: DataFrame
+    edges: DataFrame
     roots: DataFrame
     trees: DataFrame
     pages: DataFrame
@@ -209,10 +222,12 @@ def walk(entries: DataFrame) -> Walk:
     Runs actions: the tree levels and the staged catalogs, pages, action
     attributes and script texts.
     """
+    edges = staged(resolved_edges(entries), "key", "doc_id")
     roots = staged(catalogs(entries), "doc_id")
-    trees = walk_trees(tree_starts(roots, entries), entries)
+    trees = walk_trees(tree_starts(roots, edges), edges)
     return Walk(
         entries,
+        edges,
         roots,
         trees,
         staged(page_nodes(trees, entries), "doc_id"),
@@ -248,7 +263,7 @@ def annotations(w: Walk) -> DataFrame:
     """Annotations of the first pages, the first so many of each page."""
     first = w.pages.where(F.col("page") < K.MAX_PAGES_WALKED)
     return (
-        follow(first, w.entries, "/Annots")
+        follow(first, w.edges, "/Annots")
         .where(F.col("pos") < K.MAX_ANNOTS_PER_PAGE)
         .join(w.attributes.select(*_ID, "subtype", "fs"), _ID, "left")
         .withColumn("subtype", F.coalesce("subtype", F.lit("")))
@@ -257,16 +272,16 @@ def annotations(w: Walk) -> DataFrame:
 
 def additional_actions(w: Walk) -> DataFrame:
     """Entries of every ``/AA`` dictionary at document, page and annotation level."""
-    at_root = follow(w.roots.select(_ID), w.entries, "/AA").select(
+    at_root = follow(w.roots.select(_ID), w.edges, "/AA").select(
         *_ID, F.lit("/Root/AA").alias("location"), _order(1).alias("base")
     )
     place = F.format_string("/Page[%d]", F.col("page"))
     first = w.pages.where(F.col("page") < K.MAX_PAGES_WALKED)
-    at_page = follow(first, w.entries, "/AA").select(
+    at_page = follow(first, w.edges, "/AA").select(
         *_ID, F.concat(place, F.lit("/AA")).alias("location"), _order(3, F.col("page")).alias("base")
     )
     notes = annotations(w).select("doc_id", "node", "page", F.col("pos").alias("slot"))
-    at_note = follow(notes, w.entries, "/AA").select(
+    at_note = follow(notes, w.edges, "/AA").select(
         *_ID,
         F.concat(place, F.lit("/Annot/AA")).alias("location"),
         _order(3, F.col("page"), F.col("slot") + 1, F.lit(50)).alias("base"),
@@ -296,7 +311,7 @@ def link_actions(w: Walk) -> DataFrame:
         "doc_id", "node", "page", F.col("pos").alias("slot"), "subtype"
     )
     place = F.format_string("/Page[%d]", F.col("page"))
-    return follow(notes, w.entries, "/A").select(
+    return follow(notes, w.edges, "/A").select(
         *_ID,
         F.concat(place, F.lit("/Annot"), F.col("subtype")).alias("location"),
         _order(3, F.col("page"), F.col("slot") + 1).alias("ord"),
@@ -426,7 +441,7 @@ def script_findings(w: Walk) -> DataFrame:
     )
     leaves = (
         w.trees.where(F.col("tree") == "scripts")
-        .join(_edges(w.entries, "/Names").where(F.col("pos") % 2 == 1).drop("key"), _ID)
+        .join(w.edges.where((F.col("key") == "/Names") & (F.col("pos") % 2 == 1)).drop("key"), _ID)
         .select("doc_id", F.col("child").alias("node"), "path", "pos")
     )
     order = Window.partitionBy("doc_id").orderBy("path", "pos")
@@ -488,7 +503,7 @@ def attachments(w: Walk) -> DataFrame:
         .select("doc_id", "name", F.col("spec").alias("node"))
     )
     streams = (
-        follow(follow(named, w.entries, "/EF").drop("pos"), w.entries, "/F")
+        follow(follow(named, w.edges, "/EF"), w.edges, "/F")
         .select("doc_id", "name", "node")
         .join(
             w.entries.where(F.col("kind") == "stream").select(*_ID, "payload"), _ID
@@ -533,7 +548,7 @@ def metadata(w: Walk) -> DataFrame:
         .select("doc_id", "key", safe_text(F.col("value")).alias("value"))
     )
     xmp = (
-        follow(w.roots.select(_ID), w.entries, "/Metadata")
+        follow(w.roots.select(_ID), w.edges, "/Metadata")
         .join(w.entries.where(F.col("kind") == "stream").select(*_ID, "payload"), _ID)
         .select(
             "doc_id",
@@ -590,7 +605,7 @@ def structure_flags(w: Walk) -> DataFrame:
             ).alias("has_acroform"),
         )
     )
-    forms = follow(w.roots.select(_ID), w.entries, "/AcroForm").select(_ID)
+    forms = follow(w.roots.select(_ID), w.edges, "/AcroForm").select(_ID)
     xfa = (
         w.entries.where(F.col("key") == "/XFA").join(forms, _ID, "left_semi")
         .select("doc_id").distinct().withColumn("has_xfa", F.lit(True))
@@ -607,7 +622,7 @@ def page_texts(w: Walk) -> DataFrame:
     """Shown text of the first pages: ``doc_id, page, text``."""
     shown = w.entries.where(F.col("kind") == "text").select(*_ID, F.col("value").alias("text"))
     first = w.pages.where(F.col("page") < K.MAX_TEXT_PAGES)
-    parts = follow(first, w.entries, "/Contents").join(shown, _ID)
+    parts = follow(first, w.edges, "/Contents").join(shown, _ID)
     return parts.groupBy("doc_id", "page").agg(
         F.array_join(
             F.transform(

@@ -25,6 +25,9 @@ def build_session(master: str | None = None, app: str = "papersieve", **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Plans here are built from many small expressions; recording a call site
+        # for each costs more than running a short job.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
