@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,8 @@ class Ingest:
     def history(self, spark: SparkSession, before: int) -> DataFrame:
         """Latest rows of all batches before this one."""
         try:
-            return read_latest(spark, self.root, "scans").where(F.col("batch") < before)
-        except Exception:  # no batch has been saved yet
+            return read_latest(spark, self.root, "scans", before)
+        except AnalysisException:  # no batch has been saved yet
             return spark.createDataFrame([], HISTORY + ", batch int")
 
     def __call__(self, files: DataFrame, batch_id: int) -> None:
