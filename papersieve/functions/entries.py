@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 
 from papersieve.constants import MAX_OBJECTS, MAX_TEXT_EXCERPT_CHARS, MAX_UPLOAD_BYTES
 from papersieve.functions.arrow import unescape_names
@@ -23,6 +23,12 @@ ENTRY_SCHEMA = (
     "kind string, value string, payload binary"
 )
 
+ARROW_TYPES = (
+    pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(),
+    pa.string(), pa.binary(),
+)
+OUTPUT_BATCH_BYTES = 4 * 1024 * 1024
+
 _HEAD = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 _TOKEN = re.compile(
     rb"<<|>>|\[|\]|\(|/[^\s()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|(\d+)\s+\d+\s+R\b"
@@ -224,11 +230,29 @@ def file_entries(doc_id: int, data: bytes) -> list[tuple]:
     return out
 
 
-def explode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: ``doc_id, content`` in, entry rows out, file by file."""
-    names = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+def explode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body: ``doc_id, content`` in, entry rows out.
+
+    Rows of several files share an output batch until it is large enough; a
+    single file, bounded by the upload cap, is the most one batch can add.
+    """
+    held: list[tuple] = []
+    weight = 0
     for batch in batches:
-        for doc_id, content in zip(batch["doc_id"], batch["content"]):
-            rows = file_entries(int(doc_id), bytes(content))
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+        for doc_id, content in zip(batch.column("doc_id"), batch.column("content")):
+            rows = file_entries(doc_id.as_py(), content.as_py() or b"")
+            held.extend(rows)
+            weight += sum(64 + len(r[8] or b"") for r in rows)
+            if weight > OUTPUT_BATCH_BYTES:
+                yield _batch(held)
+                held, weight = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=t) for c, t in zip(columns, ARROW_TYPES)],
+        names=[c.split()[0] for c in ENTRY_SCHEMA.split(", ")],
+    )

@@ -28,7 +28,7 @@ def _is_edge() -> Column:
 
 def object_entries(files: DataFrame) -> DataFrame:
     """Entry table of ``files(doc_id, content)``, lazily."""
-    return files.select("doc_id", "content").mapInPandas(explode_files, ENTRY_SCHEMA)
+    return files.select("doc_id", "content").mapInArrow(explode_files, ENTRY_SCHEMA)
 
 
 def stage_entries(files: DataFrame) -> DataFrame:
