@@ -315,13 +315,12 @@ def _(spark, sf):
 
 @query(
     "J6_script_totals",
-    f"WITH {X.OBFUSCATION} SELECT s.doc_id % 10 AS grp, sum(length(s.code))::BIGINT AS total_length, round(max(o.score), 3) AS worst FROM scripts s JOIN obf o USING (doc_id) GROUP BY 1",
+    f"WITH {X.OBFUSCATION} SELECT doc_id, length(s.code)::BIGINT AS total_length, round(o.score, 3) AS worst FROM scripts s JOIN obf o USING (doc_id)",
 )
 def _(spark, sf):
-    grouped = js.enrich_scripts(I.page_scripts(spark, sf)).withColumn("doc_id", F.expr("doc_id % 10"))
-    return js.script_summary(grouped).select(
-        F.col("doc_id").alias("grp"), F.col("total_js_length").alias("total_length"),
-        F.col("max_obfuscation").alias("worst"),
+    summary = js.script_summary(js.enrich_scripts(I.page_scripts(spark, sf)))
+    return summary.select(
+        "doc_id", F.col("total_js_length").alias("total_length"), F.col("max_obfuscation").alias("worst")
     )
 
 

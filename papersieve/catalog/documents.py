@@ -615,17 +615,15 @@ def _(spark, sf):
 
 @query(
     "X4_sql_functions",
-    """WITH w AS (SELECT l_orderkey, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ws FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, round_even((1.0::DOUBLE - list_reduce(list_concat([1.0::DOUBLE], list_transform(ws, lambda w: 1.0::DOUBLE - least(w, 99)::DOUBLE / 100.0::DOUBLE)), lambda a, x: a * x)) * 100.0::DOUBLE, 0)::INT AS score FROM w""",
+    f"{_EVENT_SCORED} SELECT doc_id, round_even(raw, 0)::INT AS score FROM agg",
 )
 def _(spark, sf):
     sc.register_sql_functions(spark)
-    lines = I.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(
-            F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("w")))
-        ).alias("ws")
+    unique = sc.first_per_code(unique_indicators(spark, sf))
+    listed = unique.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("rule_ord", "weight"))).alias("ws")
     )
-    return lines.select("l_orderkey", F.expr("noisy_or(transform(ws, s -> s.w))").alias("score"))
+    return listed.select("doc_id", F.expr("noisy_or(transform(ws, s -> s.weight))").alias("score"))
 
 
 @query(

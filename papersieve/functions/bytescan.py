@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
 from papersieve.functions.arrow import byte_profile
-from papersieve.functions.text import count_of, latin1, literals
+from papersieve.functions.text import count_of, latin1, let, literals
 
 
 def sha256_hex(content: Column) -> Column:
@@ -100,12 +102,26 @@ def with_derived_counts(keyword_counts: Column, escaped: Column, eofs: Column) -
     )
 
 
-def byte_features(files: DataFrame) -> DataFrame:
+def byte_features(
+    files: DataFrame, extras: Callable[[Column], dict[str, Column]] | None = None
+) -> DataFrame:
     """One feature row per file; drops ``content`` so nothing later carries it.
 
     Expects ``doc_id`` and ``content``. Narrow: no shuffle, one Arrow pass.
+    ``extras`` adds columns computed from the byte-per-character text in the
+    same pass, so that the bytes are read once for all of them.
     """
-    text = latin1(F.col("content"))
+    names: list[str] = []
+
+    def from_text(text: Column) -> Column:
+        more = extras(text) if extras else {}
+        names[:] = list(more)
+        return F.struct(
+            eof_count(text).alias("eof_count"),
+            trailing_bytes(text).alias("eof_trailing_bytes"),
+            *[c.alias(n) for n, c in more.items()],
+        )
+
     position = header_position(F.col("content"))
     wide = files.select(
         "doc_id",
@@ -116,10 +132,10 @@ def byte_features(files: DataFrame) -> DataFrame:
         (position >= 0).alias("has_header"),
         F.greatest(F.lit(0), position).alias("header_offset"),
         pdf_version(F.col("content")).alias("pdf_version"),
-        eof_count(text).alias("eof_count"),
-        trailing_bytes(text).alias("eof_trailing_bytes"),
+        let(latin1(F.col("content")), from_text).alias("t"),
         byte_profile(F.col("content")).alias("p"),
     )
+    eofs = F.col("t.eof_count")
     keywords = nonzero_map(K.PDF_KEYWORDS, F.col("p.keyword_hits"))
     return wide.select(
         "doc_id",
@@ -130,17 +146,18 @@ def byte_features(files: DataFrame) -> DataFrame:
         "has_header",
         "header_offset",
         "pdf_version",
-        "eof_count",
-        F.greatest(F.lit(0), F.col("eof_count") - 1).alias("incremental_updates"),
-        "eof_trailing_bytes",
+        eofs.alias("eof_count"),
+        F.greatest(F.lit(0), eofs - 1).alias("incremental_updates"),
+        "t.eof_trailing_bytes",
         F.col("p.entropy").alias("entropy"),
         F.col("p.object_count").alias("object_count"),
         F.col("p.stream_count").alias("stream_count"),
         F.col("p.escaped_names").alias("escaped_names"),
         nonzero_map(K.STREAM_FILTERS, F.col("p.filter_hits")).alias("filters"),
-        with_derived_counts(keywords, F.col("p.escaped_names"), F.col("eof_count")).alias(
+        with_derived_counts(keywords, F.col("p.escaped_names"), eofs).alias(
             "keyword_counts"
         ),
+        *[f"t.{n}" for n in names],
     )
 
 

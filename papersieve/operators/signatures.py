@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
-from papersieve.functions.text import case_map, latin1
+from papersieve.functions.text import case_map, latin1, let
 
 
 @dataclass(frozen=True)
@@ -276,13 +276,21 @@ def signature_hits(
 
     ``text`` defaults to the byte view of ``content``.
     """
+    view = latin1(F.col("content")) if text is None else text
+    found = files.select("doc_id", let(view, lambda t: hit_array(t, rules)).alias("hits"))
+    return explode_hits(found, rules)
+
+
+def hit_array(text: Column, rules: Sequence[Signature] = BUNDLED) -> Column:
+    """One entry per rule in rule-set order, null where the rule is silent."""
     rules = require_rules(rules)
-    view = files.select(
-        "doc_id", (latin1(F.col("content")) if text is None else text).alias("t")
-    ).select("doc_id", "t", F.lower("t").alias("tl"))
-    hits = [_hit(r, F.col("t"), F.col("tl")) for r in rules]
+    return let(F.lower(text), lambda low: F.array(*[_hit(r, text, low) for r in rules]))
+
+
+def explode_hits(rows: DataFrame, rules: Sequence[Signature] = BUNDLED) -> DataFrame:
+    """Firing rules of ``rows(doc_id, hits)`` as rows."""
     return (
-        view.select("doc_id", F.posexplode(F.array(*hits)).alias("sig_ord", "h"))
+        rows.select("doc_id", F.posexplode("hits").alias("sig_ord", "h"))
         .where(F.col("h").isNotNull())
         .select("doc_id", "sig_ord", "h.*", F.lit(len(rules)).alias("rules_loaded"))
     )

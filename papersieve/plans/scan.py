@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -10,11 +11,10 @@ from pyspark.sql import functions as F
 from papersieve import constants as K
 from papersieve.functions import links, scripts as js
 from papersieve.functions.bytescan import byte_features
-from papersieve.functions.text import latin1
 from papersieve.operators import objects as og
 from papersieve.operators.rules import Evidence, Rule, indicators
 from papersieve.operators.scoring import active_documents, outcomes
-from papersieve.operators.signatures import BUNDLED, Signature, signature_hits
+from papersieve.operators.signatures import BUNDLED, Signature, explode_hits, hit_array
 from papersieve.session import staged
 
 
@@ -48,7 +48,15 @@ def collect_scripts(w: og.Walk) -> DataFrame:
     return js.enrich_scripts(budgeted)
 
 
-def collect_urls(files: DataFrame, w: og.Walk, scripts: DataFrame) -> DataFrame:
+def read_bytes(files: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
+    """Everything that comes from the raw bytes alone, in one narrow pass."""
+    return byte_features(
+        files,
+        lambda text: {"swept": links.sweep(text), "hits": hit_array(text, signatures)},
+    )
+
+
+def collect_urls(read: DataFrame, w: og.Walk, scripts: DataFrame) -> DataFrame:
     """URLs from actions, scripts and the raw bytes, one row per document and URL."""
     targets = og.uri_targets(w).withColumn("u", links.classify(F.col("target"))).where("u IS NOT NULL")
     acted = targets.select("doc_id", "ord", "u.*", "source", F.lit(0).alias("group_rank"))
@@ -63,8 +71,8 @@ def collect_urls(files: DataFrame, w: og.Walk, scripts: DataFrame) -> DataFrame:
         F.lit("javascript").alias("source"),
         F.lit(1).alias("group_rank"),
     )
-    raw = links.swept_urls(files, latin1(F.col("content")), "raw").withColumn(
-        "group_rank", F.lit(2)
+    raw = read.select("doc_id", F.posexplode("swept").alias("ord", "u")).select(
+        "doc_id", "ord", "u.*", F.lit("raw").alias("source"), F.lit(2).alias("group_rank")
     )
     return links.merge_urls(acted.unionByName(scripted).unionByName(raw))
 
@@ -110,10 +118,12 @@ def scan_files(
 
     Runs actions: every findings table is written once under the checkpoint
     folder, which is what a history store keeps anyway, and read back pruned by
-    whoever needs a few of its columns. ``content`` is read by narrow passes
-    (features, entries, URL sweep, signatures) and never shuffled.
+    whoever needs a few of its columns. ``content`` is read by two narrow passes
+    (byte features with URL sweep and signatures; object entries) and never
+    shuffled.
     """
-    features = staged(byte_features(files), "doc_id")
+    read = staged(read_bytes(files, signatures), "doc_id")
+    features = read.drop("swept", "hits")
     entries = og.stage_entries(files)
     w = og.walk(entries)
     scripts = staged(collect_scripts(w), "doc_id")
@@ -123,8 +133,8 @@ def scan_files(
         scripts=scripts,
         actions=actions,
         attachments=staged(og.attachments(w), "doc_id"),
-        urls=staged(collect_urls(files, w, scripts), "doc_id"),
-        hits=staged(signature_hits(files, signatures), "doc_id"),
+        urls=staged(collect_urls(read, w, scripts), "doc_id"),
+        hits=explode_hits(read, signatures),
         errors=og.parse_errors(files, w, features),
     )
     found = staged(indicators(evidence, rules), "doc_id")

@@ -67,8 +67,14 @@ class Ingest:
         """``files(path, length, content, observed_at)`` of one micro-batch."""
         spark = files.sparkSession
         accepted, rejected = admit(files)
-        named = accepted.withColumn("sha256", F.sha2("content", 256)).withColumn(
-            "filename", F.regexp_extract("path", r"([^/]*)$", 1)
+        # Decisions are taken on rows without content; only the join that picks the
+        # files to scan touches the bytes again.
+        named = staged(
+            accepted.select(
+                "path", "length", "observed_at",
+                F.sha2("content", 256).alias("sha256"),
+                F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
+            )
         )
         # One copy of each content per batch; the copies only differ in path.
         first = named.groupBy("sha256").agg(
@@ -77,7 +83,8 @@ class Ingest:
         once = named.join(first, ["sha256", "path"], "left_semi")
         known, new = split_submissions(once, self.history(spark, batch_id))
         fresh = staged(new.withColumn("doc_id", F.xxhash64("sha256")))
-        scan = scan_files(fresh.select("doc_id", "content"))
+        chosen = fresh.select("path", "doc_id")
+        scan = scan_files(staged(accepted.select("path", "content").join(chosen, "path").drop("path")))
         calls = (
             self.calls_for(scan.outcomes)
             if self.calls_for

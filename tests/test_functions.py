@@ -170,3 +170,13 @@ def test_strict_mode_fails(spark):
     df = spark.createDataFrame([("p", bytearray(b"text"))], "path string, content binary")
     with pytest.raises(Exception, match="no %PDF- header in p"):
         fs.require_headers(df).collect()
+
+
+def test_user_rules_come_from_a_table(spark):
+    rows = [("Marker", "high", "custom", None, "user",
+             [("a", "needle", "text", True, 1), ("b", "x[0-9]+", "regex", False, 2)], [(2, ["a", "b"])])]
+    table = spark.createDataFrame(rows, signatures.RULE_TABLE_SCHEMA)
+    rules = signatures.rule_set(signatures.rules_from_table(table))
+    assert len(rules) == len(signatures.BUNDLED) + 1
+    hits = signatures.signature_hits(binary(spark, b"NEEDLE x1 x2", b"NEEDLE x1"), rules).collect()
+    assert [(h.doc_id, h.rule, h.strings, h.rules_loaded) for h in hits] == [(0, "Marker", ["$a", "$b"], 14)]
