@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papersieve import constants as K
 from papersieve.functions.arrow import byte_profile
-from papersieve.functions.text import count_of, latin1, let, literals
+from papersieve.functions.text import count_of, latin1, literals
 
 
 def sha256_hex(content: Column) -> Column:
@@ -103,27 +103,19 @@ def with_derived_counts(keyword_counts: Column, escaped: Column, eofs: Column) -
 
 
 def byte_features(
-    files: DataFrame, extras: Callable[[Column], dict[str, Column]] | None = None
+    files: DataFrame, extras: Callable[[Column, Column], dict[str, Column]] | None = None
 ) -> DataFrame:
     """One feature row per file; drops ``content`` so nothing later carries it.
 
     Expects ``doc_id`` and ``content``. Narrow: no shuffle, one Arrow pass.
-    ``extras`` adds columns computed from the byte-per-character text in the
-    same pass, so that the bytes are read once for all of them.
+    ``extras`` adds columns computed from the byte-per-character text and its
+    lower-cased form in the same pass, so that the bytes are read once for all.
     """
-    names: list[str] = []
-
-    def from_text(text: Column) -> Column:
-        more = extras(text) if extras else {}
-        names[:] = list(more)
-        return F.struct(
-            eof_count(text).alias("eof_count"),
-            trailing_bytes(text).alias("eof_trailing_bytes"),
-            *[c.alias(n) for n, c in more.items()],
-        )
-
+    text = F.col("t")
+    more = extras(text, F.col("low")) if extras else {}
     position = header_position(F.col("content"))
-    wide = files.select(
+    shown = files.select("doc_id", "content", latin1(F.col("content")).alias("t"))
+    wide = shown.select("doc_id", "content", "t", F.lower("t").alias("low")).select(
         "doc_id",
         sha256_hex(F.col("content")).alias("sha256"),
         md5_hex(F.col("content")).alias("md5"),
@@ -132,10 +124,12 @@ def byte_features(
         (position >= 0).alias("has_header"),
         F.greatest(F.lit(0), position).alias("header_offset"),
         pdf_version(F.col("content")).alias("pdf_version"),
-        let(latin1(F.col("content")), from_text).alias("t"),
+        eof_count(text).alias("eof_count"),
+        trailing_bytes(text).alias("eof_trailing_bytes"),
         byte_profile(F.col("content")).alias("p"),
+        *[c.alias(n) for n, c in more.items()],
     )
-    eofs = F.col("t.eof_count")
+    eofs = F.col("eof_count")
     keywords = nonzero_map(K.PDF_KEYWORDS, F.col("p.keyword_hits"))
     return wide.select(
         "doc_id",
@@ -146,9 +140,9 @@ def byte_features(
         "has_header",
         "header_offset",
         "pdf_version",
-        eofs.alias("eof_count"),
+        "eof_count",
         F.greatest(F.lit(0), eofs - 1).alias("incremental_updates"),
-        "t.eof_trailing_bytes",
+        "eof_trailing_bytes",
         F.col("p.entropy").alias("entropy"),
         F.col("p.object_count").alias("object_count"),
         F.col("p.stream_count").alias("stream_count"),
@@ -157,7 +151,7 @@ def byte_features(
         with_derived_counts(keywords, F.col("p.escaped_names"), eofs).alias(
             "keyword_counts"
         ),
-        *[f"t.{n}" for n in names],
+        *more,
     )
 
 

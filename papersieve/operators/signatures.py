@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
-from papersieve.functions.text import case_map, latin1, let
+from papersieve.functions.text import case_map, latin1
 
 
 @dataclass(frozen=True)
@@ -277,14 +277,15 @@ def signature_hits(
     ``text`` defaults to the byte view of ``content``.
     """
     view = latin1(F.col("content")) if text is None else text
-    found = files.select("doc_id", let(view, lambda t: hit_array(t, rules)).alias("hits"))
+    shown = files.select("doc_id", view.alias("t")).select("doc_id", "t", F.lower("t").alias("low"))
+    found = shown.select("doc_id", hit_array(F.col("t"), F.col("low"), rules).alias("hits"))
     return explode_hits(found, rules)
 
 
-def hit_array(text: Column, rules: Sequence[Signature] = BUNDLED) -> Column:
+def hit_array(text: Column, low: Column, rules: Sequence[Signature] = BUNDLED) -> Column:
     """One entry per rule in rule-set order, null where the rule is silent."""
     rules = require_rules(rules)
-    return let(F.lower(text), lambda low: F.array(*[_hit(r, text, low) for r in rules]))
+    return F.array(*[_hit(r, text, low) for r in rules])
 
 
 def explode_hits(rows: DataFrame, rules: Sequence[Signature] = BUNDLED) -> DataFrame:

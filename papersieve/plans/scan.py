@@ -52,7 +52,9 @@ def read_bytes(files: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
     """Everything that comes from the raw bytes alone, in one narrow pass."""
     return byte_features(
         files,
-        lambda text: {"swept": links.sweep(text), "hits": hit_array(text, signatures)},
+        lambda text, low: {
+            "swept": links.sweep(text), "hits": hit_array(text, low, signatures),
+        },
     )
 
 
