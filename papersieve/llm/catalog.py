@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import langid, packing, quality, sharding, simhash
+from papersieve.llm import ann, huffman, langid, packing, quality, sharding, simhash, warc, wfst
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# File names of the public tokenizers that the queries use.
+TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -77,3 +80,47 @@ FROM b
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's ids, read back from Huffman-coded files."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        model_json = f.read()
+    return huffman.round_trip(table(spark, sf_dir, "documents"), model_json)
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every page's capture, read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of what they decode to."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
+        model = f.read()
+    return wfst.encode(table(spark, sf_dir, "documents"), model)
