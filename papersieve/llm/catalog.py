@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import ann, huffman, langid, packing, quality, sharding, simhash, warc, wfst
+from papersieve.llm import ann, huffman, langid, packing, quality, sharding, simhash, suffix, warc, wfst
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
         model = f.read()
     return wfst.encode(table(spark, sf_dir, "documents"), model)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    return suffix.digest(table(spark, sf_dir, "documents"))
