@@ -12,7 +12,7 @@ The lists come from k-means over a sample of at most ``SAMPLE_ROWS`` vectors;
 every vector is indexed. Equal vectors are one entry with their smallest ids, as
 many as any query can return, so a vector that a third of all rows share costs
 one comparison. A query probes its nearest list first; the bound found there is
-carried into the other ``PROBE_SHARE`` of the lists. A query that finds fewer
+carried into the nearest ``PROBE_SHARE`` of the lists, ``LEAST_PROBES`` at least. A query that finds fewer
 than k candidates this way is answered over all lists.
 
 Large lists are cut into blocks of ``BLOCK_ROWS`` vectors and their queries into
@@ -40,7 +40,9 @@ SAMPLE_ROWS = 16_384
 ROWS_PER_LIST = 256
 MOST_LISTS = 4_096
 ROUNDS = 8
-PROBE_SHARE = 0.35
+PROBE_SHARE = 0.7
+# Lists probed at least: with few lists a share of them is too coarse.
+LEAST_PROBES = 24
 COLUMN_BLOCK = 8
 # Width of the hypothesis test: larger abandons less.
 EPSILON = 2.1
@@ -238,7 +240,7 @@ def _probes(index: Index, queries: DataFrame, share: float, least: int, first: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, turn, members, blocks = shared.value
-        count = max(1, int(np.ceil(share * len(centroids))))
+        count = min(len(centroids), max(LEAST_PROBES, int(np.ceil(share * len(centroids)))))
         half = (centroids**2).sum(axis=1) / 2
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
