@@ -52,8 +52,9 @@ PART_BYTES = 12 << 20
 SHARDS = 8
 # An anchor in more units than this is met by whole strings: bounds what one anchor gathers.
 HOT_UNITS = 256
-# Suffixes merged at once: whole anchors are added until a batch is this large.
-MERGE_SUFFIXES = 1 << 20
+# Suffixes merged at once: whole anchors are added until a batch is this large. All that a
+# round reads then stays in a core's cache.
+MERGE_SUFFIXES = 1 << 15
 CHUNK = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 # Multipliers of the rolling hash and of its mixing: odd 64-bit numbers.
@@ -364,7 +365,7 @@ def shard_transform(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     """
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(8, np.int64)])
-    end_of = ends[np.searchsorted(ends, np.arange(n))]
+    end_of = np.repeat(ends, np.diff(np.r_[-1, ends]))
     key = np.zeros(n, dtype=np.int64)
     for k in range(7):
         at = np.minimum(np.arange(n) + k, end_of)
@@ -398,33 +399,42 @@ def merge_transforms(
     all rounds, and the common prefix (at most ``rounds``) with the position before.
 
     Round k reads the transforms in the order of round k - 1 and deals the
-    suffixes, one symbol longer, by that symbol. Two neighbours are in one
-    interval of k symbols when they were dealt by the same symbol out of one
-    interval of k - 1 symbols.
+    suffixes, one symbol longer, by that symbol; which suffix that is, each
+    transform says itself. Two neighbours are in one interval of k symbols when
+    they were dealt by the same symbol out of one interval of k - 1 symbols.
     """
     sizes = [len(t) for t in transforms]
     n = sum(sizes)
-    symbols = np.concatenate(transforms).astype(np.uint16)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
+    # Symbols by rank: at most 257 kinds, in nearly all batches few enough for one byte.
+    kinds, symbols = np.unique(np.concatenate(transforms), return_inverse=True)
+    symbols = symbols.astype(np.uint8 if len(kinds) <= 256 else np.uint16)
+    longer = np.empty(n, dtype=np.intp)
+    closing = []
+    at = 0
+    for t, size in zip(transforms, sizes):
+        # The i-th occurrence of a symbol in the transform begins its i-th suffix.
+        longer[at + np.argsort(symbols[at : at + size], kind="stable")] = np.arange(at, at + size)
+        closing.append(np.arange(at, at + np.count_nonzero(t == 0)))
+        at += size
     # The suffixes that are a closing alone come first in every round, by shard.
-    closings = [int(np.count_nonzero(t == 0)) for t in transforms]
-    closing = np.repeat(np.arange(len(sizes), dtype=np.uint8), closings)
+    closing = np.concatenate(closing)
+    place = np.arange(n)
     block = np.zeros(n, dtype=np.int32)
     prefix = np.full(n, rounds, dtype=np.int16)
-    place = np.empty(n, dtype=np.int64)
+    prefix[:1] = 0
     new = np.zeros(n, dtype=bool)
     for k in range(1, rounds + 1):
-        # The i-th entry of a shard in the interleave is its i-th suffix.
-        place[np.argsort(shard, kind="stable")] = np.arange(n)
-        read = symbols[place]
+        read = symbols.take(place)
         dealt = np.argsort(read, kind="stable")
-        shard, read, came = shard[dealt], read[dealt], block[dealt]
-        new = np.r_[True, (read[1:] != read[:-1]) | (came[1:] != came[:-1])]
-        shard[: len(closing)] = closing
-        new[: len(closing) + 1] = True
-        prefix[new & (prefix == rounds)] = k - 1
-        block = np.cumsum(new, dtype=np.int32)
-    place[np.argsort(shard, kind="stable")] = np.arange(n)
+        place, came, read = place.take(dealt), block.take(dealt), read.take(dealt)
+        fresh = (read[1:] != read[:-1]) | (came[1:] != came[:-1])
+        place = longer.take(place)
+        place[: len(closing)] = closing
+        fresh[: len(closing)] = True
+        # Boundaries stay where they are, so only those of this round are new.
+        prefix[1:][fresh > new[1:]] = k - 1
+        new[0], new[1:] = True, fresh
+        np.cumsum(new, out=block)
     return place, np.flatnonzero(new), prefix
 
 
