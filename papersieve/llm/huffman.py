@@ -28,6 +28,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ BLOCK_IDS = 1 << 17
 PART_TEXT_BYTES = 32 << 20
 MEMO_PIECES = 200_000
 MEMO_CHARS = 48
+WORDS_AT_ONCE = 256
 
 
 # --- tokenizing ---------------------------------------------------------------------------------
@@ -53,12 +55,26 @@ MEMO_CHARS = 48
 _WHOLE = re.compile(r" \s|<\|")
 
 
+# Pieces of letters of the first Latin blocks and of ASCII without the apostrophe, and without
+# two white spaces in a row: the tokenizer cuts them wherever letters begin or end.
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"(?!.*\s\s)[\x00-&(-\x7f{_LATIN}]+", re.DOTALL)
+_RUNS = re.compile(f"[{_LATIN}]+|[^{_LATIN}]+")
+
+
+def id_type(vocabulary: int) -> str:
+    """Narrowest array type code for ids below ``vocabulary``."""
+    return "H" if vocabulary <= 1 << 16 else "I"
+
+
 class PieceEncoder:
     """Ids of texts through the tokenizer, remembering those of blank-separated pieces.
 
     A byte-level tokenizer cuts before a blank that a non-blank follows, so a
     text without runs of white space that hold an inner blank has the ids of
-    its pieces (each with its leading blank) in a row. The memo keeps two
+    its pieces (each with its leading blank) in a row. Pieces seen for the first
+    time are encoded many to a call: of a plain word only the first id has the
+    blank, which shows where the next word begins. The memo keeps two
     generations of bounded size.
     """
 
@@ -70,71 +86,124 @@ class PieceEncoder:
         if memo.get("model") != hash(model_json):
             from tokenizers import Tokenizer
 
+            tokenizer = Tokenizer.from_str(model_json)
+            size = tokenizer.get_vocab_size()
+            opens = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
             memo.clear()
             memo.update(
-                model=hash(model_json), tokenizer=Tokenizer.from_str(model_json), young={}, old={}
+                model=hash(model_json), tokenizer=tokenizer, type=id_type(size), opens=opens,
+                **{"break": tokenizer.encode("\n", add_special_tokens=False).ids[0]},
+                young={}, old={}, rests={},
             )
         self.memo = memo
         self.tokenizer = memo["tokenizer"]
+        self.type = memo["type"]
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Packed ids of each text."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return [array(self.type, e.ids).tobytes() for e in found]
+
+    def words(self, words: list[str], before: str = " ") -> list[bytes]:
+        """Packed ids of words of letters: each with a leading blank, or each by itself if
+        ``before`` is a line break, which never joins a word."""
+        out: list[bytes] = []
+        lines = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        encoded = self.tokenizer.encode_batch_fast(
+            [before + before.join(line) for line in lines], add_special_tokens=False
+        )
+        with_blank = before == " "
+        opens, line_break = self.memo["opens"], self.memo["break"]
+        for line, e in zip(lines, encoded):
+            ids = np.array(e.ids, dtype=self.type)
+            starts = np.flatnonzero(opens[ids] if with_blank else ids == line_break)
+            if len(starts) != len(line):
+                out += self.raw([" " + w if with_blank else w for w in line])
+                continue
+            ends = [*(starts[1:] * ids.itemsize).tolist(), ids.nbytes]
+            starts = ((starts if with_blank else starts + 1) * ids.itemsize).tolist()
+            packed = ids.tobytes()
+            out += [packed[x:y] for x, y in zip(starts, ends)]
+        return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        out: list[bytes | None] = []
-        whole, split = [], []
+        out = [b""] * len(texts)
+        split = []
         for i, text in enumerate(texts):
-            out.append(b"")
             if not text:
                 continue
             if _WHOLE.search(text):
-                whole.append(i)
+                out[i] = self.raw([text])[0]
             else:
-                split.append((i, text.split(" ")))
-        for i in whole:
-            out[i] = self.raw([texts[i]])[0]
-        for lo in range(0, len(split), 256):
-            self._pieces(split[lo : lo + 256], out)
+                head, *pieces = text.split(" ")
+                split.append((i, head, pieces))
+        if split:
+            self._pieces(split, out)
         return out
 
-    def _pieces(self, split: list[tuple[int, list[str]]], out: list) -> None:
+    def _pieces(self, split: list[tuple[int, str, list[str]]], out: list[bytes]) -> None:
         memo = self.memo
         if len(memo["young"]) > MEMO_PIECES:
             memo["old"], memo["young"] = memo["young"], {}
-        young, old = memo["young"], memo["old"]
-        heads = [pieces[0] for _, pieces in split]
-        wanted: set[str] = set()
-        for _, pieces in split:
-            wanted.update(pieces[1:])
-        missing = []
-        here: dict[str, bytes] = {}
-        for piece in wanted:
-            ids = young.get(piece)
-            if ids is None:
-                ids = old.get(piece)
-                if ids is None:
-                    missing.append(piece)
-                    continue
-                young[piece] = ids
-            here[piece] = ids
-        for piece, ids in zip(missing, self.raw([" " + p for p in missing])):
-            here[piece] = ids
-            if len(piece) <= MEMO_CHARS:
-                young[piece] = ids
-        get = here.__getitem__
-        for (i, pieces), head in zip(split, self.raw(heads)):
-            out[i] = head + b"".join(map(get, pieces[1:]))
+        if len(memo["rests"]) > MEMO_PIECES:
+            memo["rests"] = {}
+        young = memo["young"]
+        missing: set[str] = set()
+        for _, _, pieces in split:
+            missing.update(filterfalse(young.__contains__, pieces))
+        self._learn(missing)
+        ids_of = young.__getitem__
+        heads = self.raw([head for _, head, _ in split])
+        for (i, _, pieces), head in zip(split, heads):
+            out[i] = head + b"".join(map(ids_of, pieces))
+        for piece in [p for p in missing if len(p) > MEMO_CHARS]:
+            young.pop(piece, None)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put the ids of pieces, each with its leading blank, into the memo."""
+        young, old, rests = self.memo["young"], self.memo["old"], self.memo["rests"]
+        again = [p for p in missing if p in old]
+        young.update(zip(again, map(old.__getitem__, again)))
+        fresh = missing.difference(again)
+        # Letters alone are one word for the tokenizer, in any script.
+        words = [p for p in fresh if p.isalpha()]
+        young.update(zip(words, self.words(words)))
+        cut, whole = [], []
+        blank, bare, signs = set(), set(), set()
+        for piece in fresh.difference(words):
+            if _PLAIN.fullmatch(piece) is None:
+                whole.append(piece)
+                continue
+            first, *rest = runs = _RUNS.findall(piece)
+            cut.append((piece, runs))
+            if first[0].isalpha():
+                blank.add(first)
+            else:
+                signs.add(" " + first)
+            for run in rest:
+                (bare if run[0].isalpha() else signs).add(run)
+        young.update(zip(whole, self.raw([" " + p for p in whole])))
+        blank = [w for w in blank if w not in young]
+        young.update(zip(blank, self.words(blank)))
+        bare = [w for w in bare if w not in rests]
+        rests.update(zip(bare, self.words(bare, "\n")))
+        signs = [r for r in signs if r not in rests]
+        rests.update(zip(signs, self.raw(signs)))
+        for piece, (first, *rest) in cut:
+            head = young[first] if first[0].isalpha() else rests[" " + first]
+            young[piece] = head + b"".join([rests[r] for r in rest])
+        for held, keys in ((young, blank), (rests, bare + signs)):
+            for key in [k for k in keys if len(k) > MEMO_CHARS]:
+                held.pop(key, None)
 
 
 def tokenized(df: DataFrame, model_json: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` with ids as packed unsigned 32-bit integers, the end id appended."""
+    """``doc_id, ids`` with ids as packed unsigned integers, the end id appended."""
     shared = df.sparkSession.sparkContext.broadcast(model_json)
-    end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(shared.value)
+        end = array(encoder.type, [end_id]).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -257,14 +326,14 @@ BLOCK_SCHEMA = (
 )
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
+def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs: partial counts per task, summed by id, one row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
-                found = np.bincount(np.frombuffer(value.as_buffer(), dtype="<u4"))
+                found = np.bincount(np.frombuffer(value.as_buffer(), dtype=kind))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found
@@ -291,7 +360,10 @@ def write_ids(df: DataFrame, model_json: str, path: str, end_id: int = END_ID) -
     spark = df.sparkSession
     _, size = input_bytes(df, "text")
     tokens = written(tokenized(df, model_json, end_id), "token-ids")
-    lengths = code_lengths(id_counts(tokens))
+    from tokenizers import Tokenizer
+
+    kind = id_type(Tokenizer.from_str(model_json).get_vocab_size())
+    lengths = code_lengths(id_counts(tokens, kind))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(
         [(int(i), int(lengths[i])) for i in used], "id int, length int"
@@ -325,7 +397,7 @@ def write_ids(df: DataFrame, model_json: str, path: str, end_id: int = END_ID) -
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(value.as_buffer(), dtype="<u4")
+                ids = np.frombuffer(value.as_buffer(), dtype=kind)
                 docs.append(doc)
                 held.append(ids)
                 size += len(ids)
