@@ -20,6 +20,7 @@ SF = "/root/testdata/sf0.001"
 ODD_TEXTS = [
     "", None, " ", "  two  spaces ", "a\n \nb \n\n c", "tab\t x", " lead", "x" * 5_000, "<|endoftext|> and <| this",
     "naïve café 漢字 🎉🎉", "it's we'll  don't", "a b  c", "nul\0 byte", "end ", "▁ a▁b", "1234 567",
+    "café's don't. ab1 a1b x_y ªº² a² µ .\nThe ,\n\nThe (x)[y] a\tb a\r\nb Ωmega aΩ é,Ω \x1cq -\nß",
 ]
 
 
