@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from papersieve.constants import PDF_KEYWORDS, STREAM_FILTERS
 
 _ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
-_OBJECT = re.compile(rb"\d+\s+\d+\s+obj\b")
+_OBJECT = re.compile(rb"(?<!\d)\d+\s+\d+\s+obj\b")
 _STREAM = re.compile(rb"\bstream\b")
 _ESCAPED_NAME = re.compile(rb"/[A-Za-z0-9]*#[0-9A-Fa-f]{2}")
 _KEYWORDS = [k.encode() for k in PDF_KEYWORDS]

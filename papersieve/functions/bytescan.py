@@ -80,7 +80,7 @@ def escaped_name_count(text: Column) -> Column:
 
 
 def object_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\d+\s+\d+\s+obj(?![A-Za-z0-9_])"))
+    return F.regexp_count(text, F.lit(r"(?<!\d)\d+\s+\d+\s+obj(?![A-Za-z0-9_])"))
 
 
 def stream_count(text: Column) -> Column:

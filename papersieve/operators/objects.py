@@ -17,7 +17,7 @@ from papersieve.functions.arrow import entropy_4dp
 from papersieve.functions.bytescan import magic_type, sha256_hex, text_excerpts
 from papersieve.functions.entries import ENTRY_SCHEMA, explode_files
 from papersieve.functions.text import case_map, safe_text
-from papersieve.session import durable, staged
+from papersieve.session import staged
 
 _ID = ["doc_id", "node"]
 
@@ -94,45 +94,14 @@ def catalogs(entries: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min_by("node", F.struct("_rank", "node")).alias("node"))
 
 
-def walk_trees(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every node under ``starts(doc_id, tree, node)`` reached through ``/Kids``.
+def tree_nodes(entries: DataFrame) -> DataFrame:
+    """Nodes of the page, script-name and attachment-name trees with their place.
 
-    Level by level until no new node appears; nodes already seen are dropped, so
-    cycles end the walk. Runs one small action per level, tens at most for any
-    real file, and checkpoints each level so the plan stays short.
+    The trees were walked when the file was read, so neither their depth nor a
+    cycle costs a job here.
     """
-    kids = edges.where(F.col("key") == "/Kids").drop("key")
-    level = durable(starts.withColumn("path", F.lit("")))
-    seen = level
-    while not level.isEmpty():
-        reached = (
-            level.join(kids, _ID)
-            .select(
-                "doc_id",
-                "tree",
-                F.col("child").alias("node"),
-                F.concat("path", F.format_string("/%06d", "pos")).alias("path"),
-            )
-            .groupBy("doc_id", "tree", "node")
-            .agg(F.min("path").alias("path"))
-        )
-        level = durable(reached.join(seen, ["doc_id", "tree", "node"], "left_anti"))
-        seen = seen.unionByName(level)
-    return seen
-
-
-def tree_starts(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Starting nodes of the page, script-name and attachment-name trees."""
-    bare = roots.select(_ID)
-    names = follow(bare, edges, "/Names").select(_ID)
-
-    def tagged(df: DataFrame, tree: str) -> DataFrame:
-        return df.select("doc_id", F.lit(tree).alias("tree"), "node")
-
-    return (
-        tagged(follow(bare, edges, "/Pages"), "pages")
-        .unionByName(tagged(follow(names, edges, "/JavaScript"), "scripts"))
-        .unionByName(tagged(follow(names, edges, "/EmbeddedFiles"), "files"))
+    return entries.where(F.col("kind") == "tree").select(
+        "doc_id", F.col("key").alias("tree"), "node", F.col("pos").alias("place")
     )
 
 
@@ -140,7 +109,7 @@ def page_nodes(trees: DataFrame, entries: DataFrame) -> DataFrame:
     """Pages with their 0-based index in tree order."""
     inner = entries.where(F.col("key") == "/Kids").select(_ID).distinct()
     leaves = trees.where(F.col("tree") == "pages").join(inner, _ID, "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("path", "node")
+    order = Window.partitionBy("doc_id").orderBy("place", "node")
     return leaves.select(
         "doc_id", "node", (F.row_number().over(order) - 1).alias("page")
     )
@@ -219,12 +188,11 @@ class Walk:
 def walk(entries: DataFrame) -> Walk:
     """Stage the relations several findings share, so each finding is a short plan.
 
-    Runs actions: the tree levels and the staged catalogs, pages, action
-    attributes and script texts.
+    Runs actions: the staged catalogs, pages, action attributes and script texts.
     """
     edges = staged(resolved_edges(entries), "key", "doc_id")
     roots = staged(catalogs(entries), "doc_id")
-    trees = walk_trees(tree_starts(roots, edges), edges)
+    trees = tree_nodes(entries)
     return Walk(
         entries,
         edges,
@@ -442,9 +410,9 @@ def script_findings(w: Walk) -> DataFrame:
     leaves = (
         w.trees.where(F.col("tree") == "scripts")
         .join(w.edges.where((F.col("key") == "/Names") & (F.col("pos") % 2 == 1)).drop("key"), _ID)
-        .select("doc_id", F.col("child").alias("node"), "path", "pos")
+        .select("doc_id", F.col("child").alias("node"), "place", "pos")
     )
-    order = Window.partitionBy("doc_id").orderBy("path", "pos")
+    order = Window.partitionBy("doc_id").orderBy("place", "pos")
     named = leaves.select(
         *_ID,
         F.lit("/Names/JavaScript").alias("location"),
@@ -639,14 +607,18 @@ def excerpts(w: Walk) -> DataFrame:
 
 def parse_errors(files: DataFrame, w: Walk, features: DataFrame) -> DataFrame:
     """Problems as rows: ``doc_id, stage, message``; nothing aborts the job."""
-    unresolved = files.select("doc_id").join(w.roots, "doc_id", "left_anti").select(
+    unread = F.col("message").startswith("open failed")
+    notes = (
+        w.entries.where(F.col("kind") == "error")
+        .select("doc_id", F.col("value").alias("message"))
+        .select("doc_id", F.when(unread, "open").otherwise("objects").alias("stage"), "message")
+    )
+    known = w.roots.select("doc_id").unionByName(notes.where(unread).select("doc_id"))
+    unresolved = files.select("doc_id").join(known, "doc_id", "left_anti").select(
         "doc_id",
         F.lit("open").alias("stage"),
         F.lit("open failed: no resolvable catalog").alias("message"),
     )
-    notes = w.entries.where(F.col("kind") == "error").select(
-        "doc_id", F.lit("objects").alias("stage"), F.col("value").alias("message")
-    )
     headless = features.where(~F.col("has_header")).select(
         "doc_id",
         F.lit("header").alias("stage"),
