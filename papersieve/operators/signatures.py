@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
-from papersieve.functions.text import case_map, latin1
+from papersieve.functions.text import case_map, latin1, let
 
 
 @dataclass(frozen=True)
@@ -240,8 +240,14 @@ def matches(pattern: Pattern, text: Column, lowered: Column) -> Column:
     return F.regexp_count(text, F.lit(regex)) >= pattern.min_count
 
 
-def _hit(rule: Signature, text: Column, lowered: Column) -> Column:
-    found = {p.id: matches(p, text, lowered) for p in rule.patterns}
+def _same(pattern: Pattern) -> tuple:
+    """What a pattern tests, whatever it is called in its rule."""
+    return pattern.value, pattern.kind, pattern.nocase, pattern.min_count
+
+
+def _hit(rule: Signature, place: dict[tuple, int], tests: Column) -> Column:
+    """The rule's entry, from the outcomes of the tests."""
+    found = {p.id: F.get(tests, F.lit(place[_same(p)])) for p in rule.patterns}
     fires = None
     for need, ids in rule.groups:
         if need == 1:
@@ -274,24 +280,35 @@ def signature_hits(
 ) -> DataFrame:
     """Rows ``doc_id, sig_ord, rule, ..., strings, rules_loaded`` per firing rule.
 
-    ``text`` defaults to the byte view of ``content``.
+    ``text`` defaults to the byte view of ``content``; it is decoded once.
     """
     view = latin1(F.col("content")) if text is None else text
-    shown = files.select("doc_id", view.alias("t")).select("doc_id", "t", F.lower("t").alias("low"))
-    found = shown.select("doc_id", hit_array(F.col("t"), F.col("low"), rules).alias("hits"))
-    return explode_hits(found, rules)
+    hits = let(view, lambda t: let(F.lower(t), lambda low: hit_array(t, low, rules)))
+    return explode_hits(files.select("doc_id", hits.alias("hits")), rules)
 
 
 def hit_array(text: Column, low: Column, rules: Sequence[Signature] = BUNDLED) -> Column:
-    """One entry per rule in rule-set order, null where the rule is silent."""
+    """One entry per rule in rule-set order, null where the rule is silent.
+
+    Every distinct pattern is tested once per document, into one array of
+    outcomes; rules only combine those, so further rules cost no further pass
+    over the text unless they bring patterns of their own.
+    """
     rules = require_rules(rules)
-    return F.array(*[_hit(r, text, low) for r in rules])
+    patterns = {_same(p): p for r in rules for p in r.patterns}
+    place = {key: k for k, key in enumerate(patterns)}
+    tests = F.array(*[matches(p, text, low) for p in patterns.values()])
+    return let(tests, lambda t: F.array(*[_hit(r, place, t) for r in rules]))
 
 
 def explode_hits(rows: DataFrame, rules: Sequence[Signature] = BUNDLED) -> DataFrame:
-    """Firing rules of ``rows(doc_id, hits)`` as rows."""
+    """Firing rules of ``rows(doc_id, hits)`` as rows.
+
+    The outer form keeps the optimizer from filtering on the array first, which
+    would compute it three times.
+    """
     return (
-        rows.select("doc_id", F.posexplode("hits").alias("sig_ord", "h"))
+        rows.select("doc_id", F.posexplode_outer("hits").alias("sig_ord", "h"))
         .where(F.col("h").isNotNull())
         .select("doc_id", "sig_ord", "h.*", F.lit(len(rules)).alias("rules_loaded"))
     )
