@@ -36,13 +36,19 @@ def build_session(master: str | None = None, app: str = "papersieve", **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the session's, or a scratch one in tests."""
+    """Folder for reliable checkpoints: the session's.
+
+    A single machine without the setting gets a scratch folder; a cluster must
+    name one that all executors share.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if configured:
         if not context.getCheckpointDir():
             context.setCheckpointDir(configured)
         return configured
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(scratch)
     return scratch
