@@ -204,15 +204,15 @@ def _(spark, sf):
     )
 
 
-@query("H20_listing", f"{S} SELECT scan_id, filename FROM scans WHERE contains(lower(filename), 'report_2') ORDER BY verdict DESC, scan_id LIMIT 30")
+@query("H20_listing", f"{S} SELECT scan_id, filename FROM scans WHERE contains(lower(filename), 'report_2') ORDER BY verdict DESC, scan_id")
 def _(spark, sf):
-    return hs.listing(I.scans(spark, sf), "Report_2", "verdict").select("scan_id", "filename").limit(30)
+    return hs.listing(I.scans(spark, sf), "Report_2", "verdict").select("scan_id", "filename")
 
 
 @query(
     "H21_failed_not_clean",
-    f"""{S} SELECT scan_id, CASE WHEN scan_id % 5 = 0 THEN '' WHEN scan_id % 5 = 1 THEN 'This file could not be analysed, so it has not been checked for anything. Treat it as unknown rather than safe.' || CASE WHEN error_message <> '' THEN chr(10) || chr(10) || 'Reason: ' || string_split(error_message, chr(10))[1] ELSE '' END
-      WHEN summary <> '' THEN '' ELSE 'No suspicious structures were detected in this document.' END AS note FROM scans""",
+    f"""{S} SELECT scan_id, CASE WHEN scan_id % 5 = 0 THEN '' WHEN scan_id % 5 = 1 THEN 'The scan of this file failed, so nothing in it was checked. It may be unsafe.' || CASE WHEN error_message <> '' THEN chr(10) || chr(10) || 'Reason: ' || string_split(error_message, chr(10))[1] ELSE '' END
+      WHEN summary <> '' THEN '' ELSE 'The scan found nothing suspicious.' END AS note FROM scans""",
 )
 def _(spark, sf):
     status = F.when(F.expr("scan_id % 5 = 1"), "failed").otherwise(F.col("status"))

@@ -80,17 +80,17 @@ _DECIDED = f"""o AS ({_OUT}), g AS (SELECT *, {_REASON} AS reason, doc_id % 3 <>
 u AS (SELECT *, reason IN ('high_score_thin_evidence', 'ambiguous_band') AS escalated, reason IN ('high_score_thin_evidence', 'ambiguous_band') AND called AND doc_id % 11 <> 0 AS used, {_SAID} AS said FROM g),
 f AS (SELECT *, CASE WHEN used THEN {_BLEND} ELSE score END AS risk_score FROM u),
 v AS (SELECT *, {X.verdict('risk_score')} AS verdict,
-  CASE WHEN n = 0 THEN 'No suspicious structures were found: no embedded scripts, automatic actions, attachments or high-risk links.' ELSE
-   CASE reason WHEN 'above_escalation_threshold' THEN 'Static analysis is conclusive' WHEN 'below_escalation_threshold' THEN 'Static analysis found only minor traits' ELSE 'Static analysis found' END
+  CASE WHEN n = 0 THEN 'Nothing of note: the file holds no scripts, automatic actions, attached files or risky links.' ELSE
+   CASE reason WHEN 'above_escalation_threshold' THEN 'The rules alone decide' WHEN 'below_escalation_threshold' THEN 'The rules found minor traits only' ELSE 'The rules found' END
    || ': ' || array_to_string(list_transform(range(1, least(n, 3)::BIGINT + 1), lambda i: 'finding ' || i), '; ')
-   || CASE WHEN n = 4 THEN ' (+1 further indicator)' WHEN n > 4 THEN ' (+' || (n - 3) || ' further indicators)' ELSE '' END || '.' END AS own FROM f)"""
+   || CASE WHEN n = 4 THEN ' (+1 more finding)' WHEN n > 4 THEN ' (+' || (n - 3) || ' more findings)' ELSE '' END || '.' END AS own FROM f)"""
 
 
 @query(
     "T4_fused_summaries",
     f"""WITH {_DECIDED} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN own ELSE 'model text ' || doc_id END
-      || CASE WHEN n >= 5 AND said IN ('clean', 'low_risk') THEN ' Verdict raised to at least ''suspicious'' because static analysis found a critical indicator.'
-         WHEN verdict <> said THEN ' The model judged this ''' || replace(said, '_', ' ') || '''; combined with local analysis the score is ' || risk_score || '/100, reported as ''' || replace(verdict, '_', ' ') || '''.' ELSE '' END AS summary FROM v WHERE used""",
+      || CASE WHEN n >= 5 AND said IN ('clean', 'low_risk') THEN ' A critical indicator keeps this file at ''suspicious'' or above.'
+         WHEN verdict <> said THEN ' Second opinion: ''' || replace(said, '_', ' ') || '''. Both together score ' || risk_score || ' of 100, which is ''' || replace(verdict, '_', ' ') || '''.' ELSE '' END AS summary FROM v WHERE used""",
 )
 def _(spark, sf):
     return _decisions(spark, sf).where("used_ai").select("doc_id", "summary")
@@ -302,8 +302,8 @@ def _(spark, sf):
     return evd.prompts(evd.evidence_bundles(scan(spark, sf))).select(
         "doc_id", F.startswith(p, F.lit("## File\n")).alias("has_file"),
         F.endswith(p, F.lit("with your verdict.")).alias("closes"),
-        has("Indicators raised").alias("has_indicators"), has("Embedded JavaScript").alias("has_scripts"),
-        has("Document metadata").alias("has_metadata"), has("Heuristic pre-assessment").alias("has_score"),
+        has("Findings of the rules").alias("has_indicators"), has("Scripts in the file").alias("has_scripts"),
+        has("Metadata of the file").alias("has_metadata"), has("Assessment by rules").alias("has_score"),
     )
 
 

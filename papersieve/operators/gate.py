@@ -13,18 +13,18 @@ from papersieve.operators.scoring import verdict_of
 
 OPEN_REASONS = ("always_escalate", "high_score_thin_evidence", "ambiguous_band", "forced")
 CLEAN_SUMMARY = (
-    "No suspicious structures were found: no embedded scripts, automatic actions, "
-    "attachments or high-risk links."
+    "Nothing of note: the file holds no scripts, automatic actions, attached files "
+    "or risky links."
 )
 RAISED_NOTE = (
-    " Verdict raised to at least 'suspicious' because static analysis found a critical indicator."
+    " A critical indicator keeps this file at 'suspicious' or above."
 )
 SUMMARY_PREFIXES = (
-    ("above_escalation_threshold", "Static analysis is conclusive"),
-    ("below_escalation_threshold", "Static analysis found only minor traits"),
-    ("ai_disabled", "AI review is disabled; static analysis found"),
-    ("no_provider_configured", "No AI provider is configured; static analysis found"),
-    ("budget_exhausted", "AI budget exhausted; static analysis found"),
+    ("above_escalation_threshold", "The rules alone decide"),
+    ("below_escalation_threshold", "The rules found minor traits only"),
+    ("ai_disabled", "Second opinions are off; the rules found"),
+    ("no_provider_configured", "Nobody is set up to give a second opinion; the rules found"),
+    ("budget_exhausted", "The budget for second opinions is spent; the rules found"),
 )
 
 
@@ -99,7 +99,7 @@ def static_confidence(score: Column) -> Column:
 
 def static_summary(titles: Column, n_indicators: Column, reason: Column) -> Column:
     """One sentence from the top three titles (already in weight order)."""
-    prefix = case_map(reason, SUMMARY_PREFIXES, F.lit("Static analysis found"))
+    prefix = case_map(reason, SUMMARY_PREFIXES, F.lit("The rules found"))
     top = F.slice(titles, 1, 3)
     extra = n_indicators - F.size(top)
     tail = F.when(
@@ -107,7 +107,7 @@ def static_summary(titles: Column, n_indicators: Column, reason: Column) -> Colu
         F.concat(
             F.lit(" (+"),
             extra.cast("string"),
-            F.when(extra == 1, " further indicator)").otherwise(" further indicators)"),
+            F.when(extra == 1, " more finding)").otherwise(" more findings)"),
         ),
     ).otherwise("")
     joined = F.array_join(F.transform(top, F.lower), "; ")
@@ -122,11 +122,11 @@ def fused_note(
     """Suffix telling the reader that the two opinions differ."""
     spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     differs = F.concat(
-        F.lit(" The model judged this '"),
+        F.lit(" Second opinion: '"),
         spaced(ai_verdict),
-        F.lit("'; combined with local analysis the score is "),
+        F.lit("'. Both together score "),
         blended.cast("string"),
-        F.lit("/100, reported as '"),
+        F.lit(" of 100, which is '"),
         spaced(verdict),
         F.lit("'."),
     )

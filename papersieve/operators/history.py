@@ -334,8 +334,7 @@ def findings_note(status: Column, summary: Column, error: Column, n_indicators:
     reason = F.split(F.trim(F.coalesce(error, F.lit(""))), "\n")[0]
     failed = F.concat(
         F.lit(
-            "This file could not be analysed, so it has not been checked for anything. "
-            "Treat it as unknown rather than safe."
+            "The scan of this file failed, so nothing in it was checked. It may be unsafe."
         ),
         F.when(reason != "", F.concat(F.lit("\n\nReason: "), reason)).otherwise(""),
     )
@@ -343,7 +342,7 @@ def findings_note(status: Column, summary: Column, error: Column, n_indicators:
         F.when(n_indicators > 0, "")
         .when(status == "failed", failed)
         .when(F.length(F.coalesce(summary, F.lit(""))) > 0, "")
-        .otherwise("No suspicious structures were detected in this document.")
+        .otherwise("The scan found nothing suspicious.")
     )
 
 

@@ -36,9 +36,9 @@ def static_codes(codes, name):
 
 
 def test_benign_is_clean(outcome, codes):
-    assert outcome["benign"].score == 0
-    assert outcome["benign"].is_conclusive_clean
-    assert codes["benign"] == {}
+    assert outcome["report"].score == 0
+    assert outcome["report"].is_conclusive_clean
+    assert codes["report"] == {}
 
 
 def test_every_document_has_an_outcome(outcome):
@@ -47,36 +47,36 @@ def test_every_document_has_an_outcome(outcome):
 
 
 def test_document_level_script(codes):
-    assert static_codes(codes, "javascript") == {
+    assert static_codes(codes, "tree_script") == {
         "PDF_JS_PRESENT": 30, "PDF_JS_AUTO_EXEC": 55, "PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT": 50,
     }
 
 
 def test_open_action_script(outcome, codes):
-    found = static_codes(codes, "openaction_js")
+    found = static_codes(codes, "exploit_script")
     assert found["PDF_JS_PRESENT"] == 30
     assert found["PDF_JS_AUTO_EXEC"] == 55
     assert found["PDF_JS_EXPLOIT_API"] == 85
     assert found["PDF_AUTO_ACTION"] == 15
     assert found["PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT"] == 50
-    assert outcome["openaction_js"].verdict == "malicious"
+    assert outcome["exploit_script"].verdict == "malicious"
 
 
 def test_launch(outcome, codes):
-    assert static_codes(codes, "launch_action") == {
+    assert static_codes(codes, "program_start") == {
         "PDF_LAUNCH_ACTION": 85, "PDF_AUTO_ACTION": 15, "PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT": 50,
     }
-    assert outcome["launch_action"].score >= 75
+    assert outcome["program_start"].score >= 75
 
 
 def test_escaped_names_are_resolved(codes):
-    assert "PDF_NAME_OBFUSCATION" in codes["obfuscated_names"]
-    assert "PDF_JS_AUTO_EXEC" in codes["obfuscated_names"]
-    assert "SIG_NAME_OBFUSCATION" in codes["obfuscated_names"]
+    assert "PDF_NAME_OBFUSCATION" in codes["hex_names"]
+    assert "PDF_JS_AUTO_EXEC" in codes["hex_names"]
+    assert "SIG_NAME_OBFUSCATION" in codes["hex_names"]
 
 
 def test_interactive_form_stays_below_quarantine_without_signatures(codes):
-    found = static_codes(codes, "interactive_form")
+    found = static_codes(codes, "order_form")
     assert "PDF_NAME_OBFUSCATION" not in found
     assert found["PDF_XFA_FORM"] == 0
     assert "PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT" not in found
@@ -87,62 +87,84 @@ def test_interactive_form_stays_below_quarantine_without_signatures(codes):
 
 
 def test_phishing_link(scanned, codes):
-    assert codes["phishing"]["PDF_RISKY_URL"] == 25
-    assert "SIG_CREDENTIAL_PHISH_LURE" in codes["phishing"]
-    urls = scanned.evidence.urls.where(f"doc_id = {NAMES.index('phishing')}").collect()
+    assert codes["lure"]["PDF_RISKY_URL"] == 25
+    assert "SIG_CREDENTIAL_PHISH_LURE" in codes["lure"]
+    urls = scanned.evidence.urls.where(f"doc_id = {NAMES.index('lure')}").collect()
     assert [(u.url, u.is_ip_literal, u.source) for u in urls] == [
-        ("http://185.220.101.7/verify", True, "action:/URI")
+        ("http://192.0.2.44/login", True, "action:/URI")
     ]
 
 
 def test_embedded_executable(scanned, codes):
-    assert codes["embedded_executable"]["PDF_EMBEDDED_EXECUTABLE"] == 90
-    assert "SIG_EMBEDDED_EXECUTABLE" in codes["embedded_executable"]
+    assert codes["carrier"]["PDF_EMBEDDED_EXECUTABLE"] == 90
+    assert "SIG_EMBEDDED_EXECUTABLE" in codes["carrier"]
     row = scanned.evidence.attachments.where(
-        f"doc_id = {NAMES.index('embedded_executable')}"
+        f"doc_id = {NAMES.index('carrier')}"
     ).first()
-    assert (row.name, row.extension, row.magic_bytes) == ("invoice.exe", ".exe", "dos/pe-executable")
+    assert (row.name, row.extension, row.magic_bytes) == ("setup.exe", ".exe", "dos/pe-executable")
 
 
 def test_trailing_data_and_shifted_header(scanned, codes):
     features = {NAMES[r.doc_id]: r for r in scanned.features.collect()}
-    assert features["appended_payload"].eof_trailing_bytes > 4000
-    assert "PDF_DATA_AFTER_EOF" in codes["appended_payload"]
-    assert features["shifted_header"].header_offset == 64
-    assert {"PDF_HEADER_OFFSET", "SIG_HEADER_ANOMALY"} <= set(codes["shifted_header"])
+    assert features["tail_data"].eof_trailing_bytes > 4000
+    assert "PDF_DATA_AFTER_EOF" in codes["tail_data"]
+    assert features["late_header"].header_offset == 80
+    assert {"PDF_HEADER_OFFSET", "SIG_HEADER_ANOMALY"} <= set(codes["late_header"])
 
 
 def test_corrupt_is_reported_not_dropped(outcome, codes):
-    assert static_codes(codes, "corrupt") == {"PDF_PARSE_FAILURE": 40}
-    assert outcome["corrupt"].score == 40
+    assert static_codes(codes, "noise") == {"PDF_PARSE_FAILURE": 40}
+    assert outcome["noise"].score == 40
 
 
 @pytest.mark.parametrize(
     ("name", "code"),
-    [("deflated", "var x = 1;"), ("revised", "second();"), ("packed_objects", "hidden();")],
+    [("deflated", "var x = 1;"), ("redefined", "new();"), ("object_stream", "inner();"),
+     ("chained", "var x = 1;")],
 )
 def test_script_text_is_recovered(scanned, name, code):
     rows = scanned.evidence.scripts.where(f"doc_id = {NAMES.index(name)}").collect()
     assert [(r.location, r.code) for r in rows] == [("/OpenAction", code)]
 
 
+def test_annotation_actions(scanned):
+    rows = scanned.evidence.scripts.where(f"doc_id = {NAMES.index('note_action')}").collect()
+    assert [r.code for r in rows] == ["hover();"]
+
+
+def test_damage_and_odd_bytes_are_rows(scanned, outcome):
+    found: dict[str, list[str]] = {n: [] for n in NAMES}
+    for r in scanned.evidence.errors.collect():
+        found[NAMES[r.doc_id]].append(r.message)
+    assert found["hostile octal"] == found["hostile long trailer"] == found["report"] == []
+    assert found["hostile large number"] == found["hostile many digits"] == ["object number out of range"]
+    assert found["hostile bad header"] == ["object stream without a usable header"]
+    assert found["hostile unknown filter"] == ["unsupported stream filter /MysteryDecode"]
+    assert found["cut_deflate"] == ["damaged deflate data"]
+    where = f"doc_id = {NAMES.index('cut_deflate')}"
+    code = scanned.evidence.scripts.where(where).first().code
+    assert code.startswith("step0();step1();step2();") and len(code) > 500
+    pages = {NAMES[r.doc_id]: r.page_count for r in scanned.evidence.structure.collect()}
+    assert all(pages[n] == 1 for n in NAMES if n.startswith("hostile"))
+
+
 def test_ordering_of_severity(outcome):
-    scores = [outcome[n].score for n in ("benign", "javascript", "launch_action")]
+    scores = [outcome[n].score for n in ("report", "tree_script", "program_start")]
     assert scores == sorted(scores) and scores[0] < scores[1]
 
 
 def test_evidence_never_carries_payloads(scanned):
     bundles = evidence.evidence_bundles(scanned)
-    row = bundles.where(f"doc_id = {NAMES.index('embedded_executable')}").first()
-    assert "inert marker" not in row.bundle
+    row = bundles.where(f"doc_id = {NAMES.index('carrier')}").first()
+    assert "harmless filler" not in row.bundle
     assert row.tokens == int(len(row.bundle) / 3.6)
 
 
 def test_prompt_withholds_the_score_unless_asked(scanned):
     bundles = evidence.evidence_bundles(scanned)
-    where = f"doc_id = {NAMES.index('openaction_js')}"
+    where = f"doc_id = {NAMES.index('exploit_script')}"
     plain = evidence.prompts(bundles).where(where).first().prompt
     told = evidence.prompts(bundles, share_score=True).where(where).first().prompt
-    assert "Heuristic pre-assessment" not in plain
-    assert "Heuristic pre-assessment" in told
-    assert plain.startswith("## File\n") and "## Embedded JavaScript" in plain
+    assert "Assessment by rules" not in plain
+    assert "Assessment by rules" in told
+    assert plain.startswith("## File\n") and "## Scripts in the file" in plain
