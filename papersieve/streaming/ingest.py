@@ -56,11 +56,18 @@ class Ingest:
     calls_for: Callable[[DataFrame], DataFrame] | None = None
     source: str = "watch_folder"
 
-    def history(self, spark: SparkSession, before: int) -> DataFrame:
-        """Latest rows of all batches before this one."""
+    def history(self, hashes: DataFrame, before: int) -> DataFrame:
+        """Latest rows, from the batches before this one, of the contents in ``hashes``.
+
+        Only rows of those contents are grouped, however long the history is.
+        """
+        spark = hashes.sparkSession
         try:
-            return read_latest(spark, self.root, "scans", before)
-        except AnalysisException:  # no batch has been saved yet
+            return read_latest(spark, self.root, "scans", before, hashes)
+        except AnalysisException as problem:
+            # No batch has been saved yet; any other problem must not look like that.
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return spark.createDataFrame([], HISTORY + ", batch int")
 
     def __call__(self, files: DataFrame, batch_id: int) -> None:
@@ -81,7 +88,7 @@ class Ingest:
             F.min_by("path", F.struct("observed_at", "path")).alias("path")
         )
         once = named.join(first, ["sha256", "path"], "left_semi")
-        known, new = split_submissions(once, self.history(spark, batch_id))
+        known, new = split_submissions(once, self.history(once.select("sha256").distinct(), batch_id))
         fresh = staged(new.withColumn("doc_id", F.xxhash64("sha256")))
         chosen = fresh.select("path", "doc_id")
         scan = scan_files(staged(accepted.select("path", "content").join(chosen, "path").drop("path")))
@@ -92,9 +99,15 @@ class Ingest:
         )
         decisions = decide(scan.outcomes, calls, self.gate)
         seized = is_quarantine_candidate(F.col("verdict"))
+        # Files whose bytes stopped the reader; what could be read of them was still scanned.
+        unread = staged(
+            scan.evidence.errors.where(F.col("message").rlike(r"^open failed: \w+: "))
+            .groupBy("doc_id")
+            .agg(F.min("message").alias("unread"))
+        )
         rows = decisions.join(
             fresh.select("doc_id", "filename", "sha256", "length", "observed_at"), "doc_id"
-        ).select(
+        ).join(unread, "doc_id", "left").select(
             F.col("doc_id").alias("scan_id"),
             "filename",
             F.col("length").cast("bigint").alias("file_size"),
@@ -102,7 +115,10 @@ class Ingest:
             F.lit(None).cast("string").alias("md5"),
             content_key(F.col("sha256")).alias("storage_key"),
             F.lit(self.source).alias("source"),
-            F.when(seized, "quarantined").otherwise("completed").alias("status"),
+            F.when(F.col("unread").isNotNull(), "failed")
+            .when(seized, "quarantined")
+            .otherwise("completed")
+            .alias("status"),
             "verdict",
             "decided_by",
             "risk_score",
@@ -138,10 +154,18 @@ class Ingest:
             )
             .unionByName(
                 event_rows(
-                    saved, "completed", F.col("created_at"), scan_id=F.col("scan_id"),
+                    saved.where("status <> 'failed'"), "completed", F.col("created_at"), scan_id=F.col("scan_id"),
                     filename=name, verdict=F.col("verdict"), risk_score=F.col("risk_score"),
                     message=F.col("summary"),
                 )
             )
+            .unionByName(
+                event_rows(
+                    fresh.join(unread, "doc_id"), "failed", at, scan_id=F.col("doc_id"),
+                    filename=name, message=F.col("unread"),
+                )
+            )
+            # With the batch's last file done the queue is empty.
+            .unionByName(event_rows(named.agg(F.max("observed_at").alias("observed_at")), "idle", at))
         )
         save_batch(events, self.root, "events", batch_id)

@@ -42,8 +42,8 @@ def test_ingest_is_idempotent_and_deduplicates(spark, tmp_path):
     from documents import ALL
 
     rows = [
-        ("/in/a.pdf", ALL["launch_action"]), ("/in/copy.pdf", ALL["launch_action"]),
-        ("/in/b.pdf", ALL["benign"]), ("/in/c.pdf", b"not a document"),
+        ("/in/a.pdf", ALL["program_start"]), ("/in/copy.pdf", ALL["program_start"]),
+        ("/in/b.pdf", ALL["report"]), ("/in/c.pdf", b"not a document"),
     ]
     files = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").withColumns(
         {"length": F.octet_length("content").cast("bigint"), "observed_at": F.lit("2024-01-01").cast("timestamp")}
