@@ -332,11 +332,13 @@ def _(spark, sf):
 
 @query(
     "Y15_matched_strings",
-    f"""WITH {X.FILE_INDICATORS} SELECT doc_id, count(*) AS rules FROM ind WHERE rule_ord = 23 GROUP BY doc_id""",
+    f"""WITH {X.FILE_INDICATORS} SELECT doc_id, count(*) AS rules, true AS within FROM ind WHERE rule_ord = 23 GROUP BY doc_id""",
 )
 def _(spark, sf):
     hits = sg.signature_hits(I.pdf_files(spark, sf))
-    return hits.where(F.size("strings").between(1, 20)).groupBy("doc_id").agg(F.count("*").alias("rules"))
+    return hits.groupBy("doc_id").agg(
+        F.count("*").alias("rules"), F.bool_and(F.size("strings").between(1, 20)).alias("within")
+    )
 
 
 _USER_RULE = sg.Signature(
@@ -494,10 +496,11 @@ def _(spark, sf):
 
 @query(
     "E5_sole_indicator_ceiling",
-    f"{_EVENT_SCORED} SELECT doc_id, {X.final_score('raw', 'sev', 'n_indicators')} AS score FROM agg WHERE n_indicators = 1",
+    f"{_EVENT_SCORED} SELECT doc_id, n_indicators = 1 AS sole, {X.final_score('raw', 'sev', 'n_indicators')} AS score FROM agg",
 )
 def _(spark, sf):
-    return sc.outcomes(unique_indicators(spark, sf)).where("n_indicators = 1").select("doc_id", "score")
+    scored = sc.outcomes(unique_indicators(spark, sf))
+    return scored.select("doc_id", (F.col("n_indicators") == 1).alias("sole"), "score")
 
 
 @query(
@@ -615,7 +618,7 @@ def _(spark, sf):
 
 @query(
     "X4_sql_functions",
-    f"{_EVENT_SCORED} SELECT doc_id, round_even(raw, 0)::INT AS score FROM agg",
+    f"{_EVENT_SCORED} SELECT doc_id, round_even(raw, 0)::INT AS score, CASE WHEN doc_id LIKE '%1' THEN 'malicious' ELSE 'low_risk' END AS worst FROM agg",
 )
 def _(spark, sf):
     sc.register_sql_functions(spark)
@@ -623,18 +626,27 @@ def _(spark, sf):
     listed = unique.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("rule_ord", "weight"))).alias("ws")
     )
-    return listed.select("doc_id", F.expr("noisy_or(transform(ws, s -> s.weight))").alias("score"))
+    return listed.select(
+        "doc_id",
+        F.expr("noisy_or(transform(ws, s -> s.weight))").alias("score"),
+        F.expr(
+            "worst_of(array('clean', IF(doc_id LIKE '%1', 'malicious', 'clean'), 'low_risk'))"
+        ).alias("worst"),
+    )
 
 
 @query(
     "X5_table_functions",
     f"""SELECT doc_id, 'http://185.220.101.7/verify' AS url FROM documents WHERE {X.VALID}
     UNION ALL SELECT doc_id, 'file://srv/' || doc_id || '.pdf' FROM documents WHERE {X.VALID} AND doc_id % 4 = 2
-    UNION ALL SELECT doc_id, 'https://bit.ly/' || doc_id FROM documents WHERE {X.VALID} AND doc_id % 4 = 3""",
+    UNION ALL SELECT doc_id, 'https://bit.ly/' || doc_id FROM documents WHERE {X.VALID} AND doc_id % 4 = 3
+    UNION ALL SELECT doc_id, 'object ' || n FROM documents, range(1, 19) AS r(n) WHERE {X.VALID}""",
 )
 def _(spark, sf):
     sc.register_sql_functions(spark)
     texts = I.pdf_files(spark, sf).select("doc_id", latin1(F.col("content")).alias("body"))
     return spark.sql(
-        "SELECT doc_id, u.url FROM {texts}, LATERAL swept_urls(body) AS u", texts=texts
+        "SELECT doc_id, u.url FROM {texts}, LATERAL swept_urls(body) AS u UNION ALL "
+        "SELECT doc_id, concat('object ', o.obj) FROM {texts}, LATERAL object_bodies(body) AS o",
+        texts=texts,
     )

@@ -7,7 +7,6 @@ scores only agree with the published calibration when they are identical.
 from __future__ import annotations
 
 # ---------------------------------------------------------------- fixed values
-ANALYZER_VERSION = "1.0.0"
 PDF_HEADER = "%PDF-"
 PDF_EOF = "%%EOF"
 HEADER_SEARCH_BYTES = 1024

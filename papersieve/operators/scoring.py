@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
+from papersieve.functions.links import URL_PATTERN
 from papersieve.functions.links import is_dangerous, is_risky
 from papersieve.functions.text import case_map, rank_of
 
@@ -208,12 +209,13 @@ def register_sql_functions(spark: SparkSession) -> None:
             CAST(array_max(transform(vs, v -> array_position(array({ranks}), v))) AS INT))
         """
     )
+    pattern = URL_PATTERN.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
-        r"""
+        f"""
         CREATE OR REPLACE TEMPORARY FUNCTION swept_urls(body STRING)
         RETURNS TABLE(ord INT, url STRING)
-        RETURN SELECT p.pos, p.col FROM posexplode(array_distinct(regexp_extract_all(body,
-          '(?i)(?:https?|ftp|file|smb)://[^\\s<>"\'\\\\)\\]}]{3,2048}', 0))) AS p
+        RETURN SELECT p.pos, p.col
+        FROM posexplode(array_distinct(regexp_extract_all(body, '{pattern}', 0))) AS p
         """
     )
     spark.sql(
