@@ -171,15 +171,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     w = walked(spark, sf)
-    s = scan(spark, sf)
-    opened = s.evidence.actions.where("kind = '/OpenAction'").select("doc_id").distinct().withColumn("o", F.lit(True))
-    named = s.evidence.scripts.where("startswith(location, '/Names')").select("doc_id").distinct().withColumn("n", F.lit(True))
     flags = og.structure_flags(w).join(w.roots.select("doc_id"), "doc_id", "left_semi")
-    return flags.join(opened, "doc_id", "left").join(named, "doc_id", "left").select(
+    return flags.select(
         "doc_id", "is_encrypted", "has_xfa", "has_acroform", "page_count",
         F.array_join("trailer_keys", ",").alias("trailer_keys"),
-        F.coalesce("o", F.lit(False)).alias("has_openaction"),
-        F.coalesce("n", F.lit(False)).alias("has_names_javascript"),
+        "has_openaction", "has_names_javascript",
     )
 
 

@@ -552,7 +552,7 @@ def structure_flags(w: Walk) -> DataFrame:
     base = (
         w.entries.where(
             trailer
-            | F.col("key").isin("/Linearized", "/AcroForm", "/XFA")
+            | F.col("key").isin("/Linearized", "/AcroForm", "/XFA", "/OpenAction")
             | ((F.col("key") == "/Type") & (F.col("value") == "/ObjStm"))
         )
         .join(root, "doc_id", "left")
@@ -571,8 +571,16 @@ def structure_flags(w: Walk) -> DataFrame:
                 F.bool_or((F.col("key") == "/AcroForm") & (F.col("node") == F.col("root_node"))),
                 F.lit(False),
             ).alias("has_acroform"),
+            F.coalesce(
+                F.bool_or((F.col("key") == "/OpenAction") & (F.col("node") == F.col("root_node"))),
+                F.lit(False),
+            ).alias("has_openaction"),
         )
     )
+    named = (
+        w.trees.where(F.col("tree") == "scripts")
+        .select("doc_id").distinct().withColumn("has_names_javascript", F.lit(True))
+    )
     forms = follow(w.roots.select(_ID), w.edges, "/AcroForm").select(_ID)
     xfa = (
         w.entries.where(F.col("key") == "/XFA").join(forms, _ID, "left_semi")
@@ -582,7 +590,9 @@ def structure_flags(w: Walk) -> DataFrame:
     return (
         base.join(xfa, "doc_id", "left")
         .join(counted, "doc_id", "left")
+        .join(named, "doc_id", "left")
         .withColumn("has_xfa", F.coalesce("has_xfa", F.lit(False)))
+        .withColumn("has_names_javascript", F.coalesce("has_names_javascript", F.lit(False)))
     )
 
 

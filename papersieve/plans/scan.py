@@ -101,7 +101,8 @@ def structure_table(
         *[F.col(c) for c in features.columns],
         *[F.coalesce(c, off).alias(c) for c in (
             "is_encrypted", "is_linearized", "has_xref_stream", "has_object_streams",
-            "has_acroform", "has_xfa", "has_active_content",
+            "has_acroform", "has_xfa", "has_openaction", "has_names_javascript",
+            "has_active_content",
         )],
         "trailer_keys",
         "page_count",
