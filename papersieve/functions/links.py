@@ -210,8 +210,9 @@ def url_flags() -> Column:
     return F.filter(flags, lambda f: f.isNotNull())
 
 
-def prioritised(urls: DataFrame, limit: int = 25) -> DataFrame:
-    """The ``limit`` most interesting URLs per document, risky ones first."""
+def prioritised(urls: DataFrame, limit: int | None = 25) -> DataFrame:
+    """The ``limit`` most interesting URLs per document, risky ones first; None ranks all."""
     interesting = is_risky() | ~F.col("scheme").isin("http", "https")
     order = Window.partitionBy("doc_id").orderBy(interesting.desc(), "url")
-    return urls.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    ranked = urls.withColumn("place", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("place") <= limit)

@@ -82,11 +82,3 @@ def redact(mapping: Column, keys: Sequence[str] = ("api_key", "token")) -> Colum
 
 def take(array: Column, limit: int) -> Column:
     return F.slice(array, 1, limit)
-
-
-def ordered_list(order: Column, value: Column, limit: int | None = None) -> Column:
-    """Aggregate: values of a group in ``order``. For groups whose size the
-    extraction caps bound (one file's findings), never for whole-table groups."""
-    packed = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    values = F.transform(packed, lambda s: s["v"])
-    return take(values, limit) if limit else values

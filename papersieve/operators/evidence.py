@@ -143,7 +143,7 @@ def bundle_heads(scan: Scan, share_text: bool = True) -> DataFrame:
             "attachments",
         ),
         _capped(
-            prioritised(e.urls, 10_000), ["place"], LIMITS["urls"],
+            prioritised(e.urls, None), ["place"], LIMITS["urls"],
             F.struct(F.left("url", F.lit(300)).alias("url"), "scheme", "host", "source",
                      url_flags().alias("flags")),
             "urls",

@@ -71,15 +71,6 @@ def running_before(
     )
 
 
-def position(
-    df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (), name: str = "pos"
-) -> DataFrame:
-    """1-based position of each row in ``order_by`` order, per key."""
-    return running_before(df, F.lit(1).cast("long"), order_by, keys, name).withColumn(
-        name, F.col(name) + 1
-    )
-
-
 def first_failing_run(df: DataFrame, failed: Column, length: int, index: str) -> DataFrame:
     """One row with the index at which ``length`` consecutive failures first end.
 

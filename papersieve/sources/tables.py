@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersieve.functions.text import take
-
 RESULT_COLUMNS = (
     "path", "dataset", "label", "score", "verdict", "indicators", "obfuscated_names", "error",
 )
@@ -104,7 +102,7 @@ def verdict_records(decisions: DataFrame, features: DataFrame, indicators: DataF
         .select(
             "file", "sha256", F.col("file_size").alias("size"), "verdict", "risk_score",
             "decided_by", "used_ai", "summary",
-            take(F.col("indicators"), 1000).alias("indicators"),
+            "indicators",
         )
     )
 
