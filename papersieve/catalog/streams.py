@@ -108,9 +108,25 @@ def _(spark, sf):
     return run_once(st.unprimed(live, base)).distinct()
 
 
-@query("W4_submitted_once", _SETTLED.replace("SELECT '/in/'", "SELECT count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT '/in/'") + ")")
+def forgotten(rows: DataFrame) -> DataFrame:
+    """After all looks each file is forgotten once and then holds still for three looks."""
+    later = [(st.FORGET, 200), (7, 215), (7, 230), (7, 245)]
+    looks = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(t).alias("t")) for s, t in later])
+    first = listing(rows.where("event_id % 9 = 0")).select("path", "observed_at", F.explode(looks).alias("x"))
+    return first.select(
+        "path",
+        F.col("x.size").cast("bigint").alias("size"),
+        F.timestamp_add("SECOND", F.col("x.t"), F.col("observed_at")).alias("observed_at"),
+    )
+
+
+@query(
+    "W4_submitted_once",
+    _SETTLED.replace("SELECT '/in/'", "SELECT count(path) + any_value(groups) AS n, any_value(groups) AS paths FROM (SELECT count(*) AS groups FROM t) LEFT JOIN (SELECT '/in/'") + ") ON true",
+)
 def _(spark, sf):
-    settled = run_once(st.settled_files(listing(stream_of(spark, sf, "events"))))
+    rows = stream_of(spark, sf, "events")
+    settled = run_once(st.settled_files(listing(rows).unionByName(forgotten(rows))))
     return settled.agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
 
 

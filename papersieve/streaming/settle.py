@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from papersieve import constants as K
 
 FORGET = -1  # A listing row with this size re-arms its path.
+# A path that no listing has named for this long is forgotten, so state follows what is in
+# the folder and not what ever was. A file that comes back later counts as new.
+REMEMBER_SECONDS = 7 * 24 * 3600
 _STATE = "size bigint, stable int, first_seen double, done boolean"
 _OUTPUT = "path string, size bigint, observed_at timestamp"
 
@@ -41,7 +44,7 @@ def _settle(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
-        # The file vanished before settling: forget it, emit nothing.
+        # The file vanished: forget it, emit nothing.
         state.remove()
         return
     rows = pd.concat(list(batches)).sort_values("observed_at")
@@ -68,10 +71,10 @@ def _settle(
             state.remove()
     else:
         state.update(current)
-        if not current[3]:
-            latest = rows["observed_at"].max().timestamp()
-            due = int((latest + 10 * K.SETTLE_TIMEOUT_SECONDS) * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        latest = rows["observed_at"].max().timestamp()
+        keep = REMEMBER_SECONDS if current[3] else 10 * K.SETTLE_TIMEOUT_SECONDS
+        due = int((latest + keep) * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     if emitted:
         yield pd.DataFrame(emitted, columns=["path", "size", "observed_at"])
 
@@ -81,7 +84,7 @@ def settled_files(listing: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
     A path is emitted once, on an observation; a control row with size
     ``FORGET`` arms it again. State is one small tuple per path, partitioned by
-    path; timers only clear files that vanished.
+    path; timers clear files that vanished, settled or not.
     """
     return (
         listing.withWatermark("observed_at", delay)
