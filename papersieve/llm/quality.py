@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papersieve.llm.common import NON_BLANK, unused, words_of, written
+from papersieve.functions.text import let
+from papersieve.llm.common import NON_BLANK, words_of, written
 
 # Fixed values of the contract's base rule.
 WINDOW = 5
@@ -203,6 +204,16 @@ def rejection(rules: Sequence[Rule], text: Column, words: Column) -> Column:
     return chain
 
 
+def judged(order: Sequence[Rule], text: Column) -> Column:
+    """``rejection`` with the words split once.
+
+    The words are bound inside the expression: were they a column of their own,
+    a filter on the verdict would be pushed below it and split the text again
+    for every mention.
+    """
+    return let(words_of(text), lambda words: rejection(order, text, words))
+
+
 def apply_cascade(
     df: DataFrame,
     rules: Sequence[Rule] = BASE_RULES + VERDICT_RULES,
@@ -215,12 +226,7 @@ def apply_cascade(
     document fails several; whether one is named does not.
     """
     order = cascade_order(rules, rule_statistics(df, rules, text, sample_rows))
-    (words,) = unused(df, "_words")
-    return (
-        df.withColumn(words, words_of(F.col(text)))
-        .withColumn("rejected_by", rejection(order, F.col(text), F.col(words)))
-        .drop(words)
-    )
+    return df.withColumn("rejected_by", judged(order, F.col(f"`{text}`")))
 
 
 def assess(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -267,11 +273,6 @@ def assess(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def keep_good(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``df`` that no rule rejects, with the columns of ``df``."""
-    order = BASE_RULES + VERDICT_RULES
-    order = cascade_order(order, rule_statistics(df, order, "text", sample_rows))
-    (words,) = unused(df, "_words")
-    return (
-        df.withColumn(words, words_of(F.col("text")))
-        .filter(rejection(order, F.col("text"), F.col(words)).isNull())
-        .drop(words)
-    )
+    rules = BASE_RULES + VERDICT_RULES
+    order = cascade_order(rules, rule_statistics(df, rules, "text", sample_rows))
+    return df.filter(judged(order, F.col("text")).isNull())
