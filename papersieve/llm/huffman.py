@@ -39,20 +39,26 @@ from pyspark.sql import functions as F
 from papersieve.llm.common import input_bytes, parts_for, scratch, worker_memo, written
 
 END_ID = 0
-MAX_CODE_BITS = 18
-CHECKPOINT = 128
-BLOCK_IDS = 1 << 17
+# Longest code, where the ids in use allow it; the decoding table then stays in a core's cache.
+MAX_CODE_BITS = 16
+CHECKPOINT = 64
+BLOCK_IDS = 1 << 18
+ENCODED_AT_ONCE = 1 << 14
 # Bytes of text whose ids make one part of the output.
 PART_TEXT_BYTES = 32 << 20
-MEMO_PIECES = 200_000
+MEMO_PIECES = 350_000
 MEMO_CHARS = 48
 WORDS_AT_ONCE = 256
 
 
 # --- tokenizing ---------------------------------------------------------------------------------
 
-# A blank followed by white space, or a special token's opening: such texts go to the tokenizer whole.
-_WHOLE = re.compile(r" \s|<\|")
+def needs_whole_text(piece: str) -> bool:
+    """Whether a piece between blanks begins with white space or holds a special token's
+    opening: texts with such a piece go to the tokenizer whole."""
+    return not piece or piece[0].isspace() or "<|" in piece
+
+
 
 
 # Pieces of letters of the first Latin blocks and of ASCII without the apostrophe, and without
@@ -130,18 +136,14 @@ class PieceEncoder:
         out = [b""] * len(texts)
         split = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _WHOLE.search(text):
-                out[i] = self.raw([text])[0]
-            else:
+            if text:
                 head, *pieces = text.split(" ")
-                split.append((i, head, pieces))
+                split.append((i, text, head, pieces))
         if split:
             self._pieces(split, out)
         return out
 
-    def _pieces(self, split: list[tuple[int, str, list[str]]], out: list[bytes]) -> None:
+    def _pieces(self, split: list[tuple[int, str, str, list[str]]], out: list[bytes]) -> None:
         memo = self.memo
         if len(memo["young"]) > MEMO_PIECES:
             memo["old"], memo["young"] = memo["young"], {}
@@ -149,12 +151,19 @@ class PieceEncoder:
             memo["rests"] = {}
         young = memo["young"]
         missing: set[str] = set()
-        for _, _, pieces in split:
-            missing.update(filterfalse(young.__contains__, pieces))
+        plain = []
+        for i, text, head, pieces in split:
+            # The memo never holds a piece that needs its whole text.
+            new = set(filterfalse(young.__contains__, pieces))
+            if any(map(needs_whole_text, new)):
+                out[i] = self.raw([text])[0]
+            else:
+                missing |= new
+                plain.append((i, head, pieces))
         self._learn(missing)
         ids_of = young.__getitem__
-        heads = self.raw([head for _, head, _ in split])
-        for (i, _, pieces), head in zip(split, heads):
+        heads = self.raw([head for _, head, _ in plain])
+        for (i, _, pieces), head in zip(plain, heads):
             out[i] = head + b"".join(map(ids_of, pieces))
         for piece in [p for p in missing if len(p) > MEMO_CHARS]:
             young.pop(piece, None)
@@ -262,60 +271,75 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(id, length)`` for every pattern of as many bits as the longest code."""
+# A code's or a table entry's length takes the low bits of one number.
+LENGTH_BITS = 5
+
+
+def coding_table(lengths: np.ndarray) -> np.ndarray:
+    """``code << LENGTH_BITS | length`` of every id."""
+    return (canonical_codes(lengths) << np.uint64(LENGTH_BITS) | lengths.astype(np.uint64)).astype(np.int64)
+
+
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """``id << LENGTH_BITS | length`` for every pattern of as many bits as the longest code."""
     most = int(lengths.max(initial=0))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[np.count_nonzero(lengths == 0) :]
-    repeats = 1 << (most - lengths[order])
-    ids = np.repeat(order, repeats).astype(np.uint32)
-    bits = np.repeat(lengths[order], repeats).astype(np.uint8)
-    pad = (1 << most) - len(ids)
-    return np.pad(ids, (0, pad)), np.pad(bits, (0, pad), constant_values=1), most
+    table = np.ones(1 << most, dtype=np.uint32)
+    found = np.repeat(order << LENGTH_BITS | lengths[order], 1 << (most - lengths[order]))
+    table[: len(found)] = found
+    return table, most
 
 
 def encode_ids(
-    ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = CHECKPOINT
+    ids: np.ndarray, table: np.ndarray, every: int = CHECKPOINT
 ) -> tuple[bytes, bytes]:
-    """``(checkpoints, payload)`` of one block."""
-    bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(bits)
-    starts = ends - bits
-    total = int(ends[-1]) if len(ids) else 0
-    # A code and the bits before it in its first byte fit 32 bits; those that start in the
-    # same byte never overlap, so they are added up.
-    word = codes[ids].astype(np.int64) << (32 - bits - (starts & 7))
-    byte = starts >> 3
-    out = np.zeros((total + 7) // 8 + 4, dtype=np.uint8)
-    if len(ids):
-        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-        sums, at = np.add.reduceat(word, first), byte[first]
+    """``(checkpoints, payload)`` of one block, worked on in slices that fit a core's cache."""
+    low = (1 << LENGTH_BITS) - 1
+    out = np.zeros(len(ids) * int((table & low).max(initial=0)) // 8 + 8, dtype=np.uint8)
+    checkpoints, base = [], 0
+    for lo in range(0, len(ids), ENCODED_AT_ONCE):
+        found = table.take(ids[lo : lo + ENCODED_AT_ONCE])
+        bits = found & low
+        ends = np.cumsum(bits)
+        starts = ends - bits
+        starts += base
+        checkpoints.append(starts[-lo % every :: every].astype("<u8"))
+        # A code and the bits before it in its first byte fit 32 bits; those that start in
+        # the same byte never overlap, so they are added up.
+        word = (found >> LENGTH_BITS) << (32 - bits - (starts & 7))
+        byte = starts >> 3
+        first = np.flatnonzero(byte[1:] != byte[:-1]) + 1
+        first = np.concatenate([[0], first])
+        sums, at = np.add.reduceat(word, first).astype(">u4"), byte.take(first)
+        quarters = sums.view(np.uint8).reshape(-1, 4)
         for k in range(4):
-            out[at + k] |= ((sums >> (24 - 8 * k)) & 255).astype(np.uint8)
-    return starts[::every].astype("<u8").tobytes(), out[: (total + 7) // 8].tobytes()
+            out[at + k] |= quarters[:, k]
+        base += int(ends[-1])
+    offsets = np.concatenate(checkpoints) if checkpoints else np.zeros(0, "<u8")
+    return offsets.tobytes(), out[: (base + 7) // 8].tobytes()
 
 
 def decode_ids(
     payload: bytes,
     checkpoints: bytes,
     count: int,
-    table: tuple[np.ndarray, np.ndarray, int],
+    table: tuple[np.ndarray, int],
     every: int = CHECKPOINT,
 ) -> np.ndarray:
     """Ids of one block; step k decodes the k-th id after every checkpoint at once."""
-    ids_of, bits_of, most = table
+    entries, most = table
     at = np.frombuffer(checkpoints, dtype="<u8").astype(np.int64)
-    out = np.zeros((len(at), every), dtype=np.uint32)
-    raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
+    out = np.zeros((min(every, count), len(at)), dtype=np.uint32)
+    # The last lane runs on past the payload for as long as the others have ids.
+    raw = np.frombuffer(payload + bytes(every * 4 + 8), dtype=np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    mask = np.uint32((1 << most) - 1)
-    last = len(window) - 1
-    for k in range(min(every, count)):
-        shift = (32 - most - (at & 7)).astype(np.uint32)
-        look = (window[np.minimum(at >> 3, last)] >> shift) & mask
-        out[:, k] = ids_of[look]
-        at = at + bits_of[look]
-    return out.reshape(-1)[:count]
+    mask, low, spare = (1 << most) - 1, (1 << LENGTH_BITS) - 1, 32 - most
+    for row in out:
+        look = window.take(at >> 3) >> (spare - (at & 7)) & mask
+        entries.take(look, out=row)
+        at += row & low
+    return (out.T.reshape(-1) >> LENGTH_BITS)[:count] if count else out.reshape(-1)
 
 
 # --- writing and reading ------------------------------------------------------------------------
@@ -332,11 +356,11 @@ def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                found = np.bincount(np.frombuffer(value.as_buffer(), dtype=kind))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
+            packed = b"".join(batch.column(0).to_pylist())
+            found = np.bincount(np.frombuffer(packed, dtype=kind))
+            if len(found) > len(total):
+                total = np.pad(total, (0, len(found) - len(total)))
+            total[: len(found)] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
@@ -363,15 +387,18 @@ def write_ids(df: DataFrame, model_json: str, path: str, end_id: int = END_ID) -
     from tokenizers import Tokenizer
 
     kind = id_type(Tokenizer.from_str(model_json).get_vocab_size())
-    lengths = code_lengths(id_counts(tokens, kind))
+    counts = id_counts(tokens, kind)
+    # Ids in use may need longer codes than the usual limit.
+    least = int(np.count_nonzero(counts)).bit_length()
+    lengths = code_lengths(counts, max(MAX_CODE_BITS, least))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(
         [(int(i), int(lengths[i])) for i in used], "id int, length int"
     ).coalesce(1).write.parquet(f"{path}/code")
-    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
+    shared = spark.sparkContext.broadcast(coding_table(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, codes = shared.value
+        table = shared.value
         part = TaskContext.get().partitionId()
         block, start = 0, 0
         docs: list = []
@@ -380,7 +407,7 @@ def write_ids(df: DataFrame, model_json: str, path: str, end_id: int = END_ID) -
 
         def close():
             ids = np.concatenate(held)
-            checkpoints, payload = encode_ids(ids, codes, lengths)
+            checkpoints, payload = encode_ids(ids, table)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
