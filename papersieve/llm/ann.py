@@ -37,7 +37,7 @@ from papersieve.llm.common import written
 
 K = 20
 SAMPLE_ROWS = 16_384
-ROWS_PER_LIST = 256
+ROWS_PER_LIST = 1_024
 MOST_LISTS = 4_096
 ROUNDS = 8
 PROBE_SHARE = 0.7
@@ -46,6 +46,8 @@ LEAST_PROBES = 24
 COLUMN_BLOCK = 8
 # Width of the hypothesis test: larger abandons less.
 EPSILON = 2.1
+# So few candidates are scored at once rather than tested further.
+FEW = 16
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 4_096
 SEED = 20
@@ -111,31 +113,26 @@ def adaptive_scan(
     ``rows`` holds rotated candidates by column: ``rows[d]`` is coordinate d of all.
     """
     dims = len(rows)
-    alive = np.arange(rows.shape[1])
+    alive = None
     partial = np.zeros(rows.shape[1])
     for lo in range(0, dims, block):
         hi = min(dims, lo + block)
-        for d in range(lo, hi):
-            delta = (rows[d] if len(alive) == rows.shape[1] else rows[d][alive]) - query[d]
-            partial += delta * delta
-        if hi == dims:
-            limit = bound
-        else:
-            limit = bound * (1 + EPSILON / np.sqrt(hi)) ** 2 * hi / dims
-        keep = partial <= limit
-        if not keep.all():
-            alive, partial = alive[keep], partial[keep]
-        if not len(alive):
-            break
-    return alive
+        delta = rows[lo:hi] if alive is None else rows[lo:hi].take(alive, axis=1)
+        delta = delta - query[lo:hi, None]
+        partial = partial + np.einsum("ij,ij->j", delta, delta)
+        slack = 1.0 if hi == dims else (1 + EPSILON / np.sqrt(hi)) ** 2 * hi / dims
+        keep = np.flatnonzero(partial <= bound * slack)
+        if len(keep) < len(partial):
+            alive = keep if alive is None else alive[keep]
+            partial = partial[keep]
+            if len(alive) <= FEW:
+                break
+    return np.arange(rows.shape[1]) if alive is None else alive
 
 
 def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Double-precision inner products, added up in the order of the components."""
-    total = np.zeros(len(rows))
-    for d in range(rows.shape[1]):
-        total += rows[:, d] * query[d]
-    return total
+    return np.cumsum(rows * query, axis=1)[:, -1]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -305,20 +302,24 @@ def _scan(index: Index, probes: DataFrame, k: int) -> DataFrame:
         qids = right.column("qid").to_numpy()
         turned = np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ turn
         out_q, out_id, out_score = [], [], []
+        # The first candidates of the list, scored whole, tighten each query's bound.
+        head = rows[: 4 * k] @ q.T
+        if len(head) == 4 * k:
+            bounds = np.maximum(bounds, np.partition(head, len(head) - k - 1, axis=0)[len(head) - k - 1])
         for i in range(len(q)):
             norm = float(q[i] @ q[i])
             # A bound on the inner product is one on the distance; the slack covers rounding.
             bound = norm + square - 2 * bounds[i]
             bound += 1e-9 * (norm + square)
-            if len(rows) > 4 * k:
-                # The first candidates of the list, scanned whole, tighten the bound.
-                head = inner_products(rows[: 2 * k], q[i])
-                best = np.partition(head, len(head) - k - 1)[len(head) - k - 1]
-                bound = min(bound, norm + square - 2 * best + 1e-9 * (norm + square))
             alive = adaptive_scan(columns, turned[i], bound)
             if not len(alive):
                 continue
             score = inner_products(rows[alive], q[i])
+            # The slack keeps what rounding alone puts below the bound.
+            good = score >= bounds[i] - 1e-9 * (norm + square)
+            alive, score = alive[good], score[good]
+            if not len(alive):
+                continue
             if len(score) > k + 1:
                 cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
                 alive, score = alive[score >= cut], score[score >= cut]
