@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersieve.llm.common import input_bytes, parts_for, scratch, written
+from papersieve.llm.common import scratch, written
 
 SEPARATOR = "\r\n\r\n"
 BREAK = "\r\n"
 # A payload shorter than this is always stored.
 LEAST_REVISIT_BYTES = 100
-# Html bytes that go into one archive file.
-ARCHIVE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -148,12 +146,14 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write every page as a transaction into gzipped archives under ``path``."""
-    _, size = input_bytes(pages, "html")
+    """Write every page as a transaction into gzipped archives under ``path``.
+
+    Each task writes what the join for originals dealt to it: adaptive execution
+    sizes those parts by bytes and splits that of a payload that very many pages
+    share, so the html is shuffled once and archives are of even size.
+    """
     rows = with_originals(captures(pages))
-    # Dealt by record id: archives of even size whatever the hot payload.
-    dealt = rows.repartition(parts_for(size, ARCHIVE_BYTES), "record_id")
-    records(dealt).write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
+    records(rows).write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
 
 
 RECORD_SCHEMA = pa.schema(
