@@ -17,6 +17,11 @@ more than ``BUCKET_ROWS`` fingerprints is cut again: the bits outside its key
 are divided in three, of which at least one is equal, and again, until what
 differs has so few bits that the bucket's size is bounded by their number.
 
+The pipeline's stage (``keep_first``) has another rule: five-word shingles with a
+Jaccard similarity of 0.8 or more. Fingerprints of such pairs differ in ten bits
+and more, too many for segments to select by, so ``similar_texts`` finds the pairs
+by prefixes of their shingle sets and counts the intersections; it misses none.
+
 Edge cases: null and blank texts have fingerprint zero and are linked like any
 other; one or two words form one shingle; ties of a vote give a zero bit;
 repeated rows share fingerprint and component; a null ``doc_id`` is never the
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papersieve.llm.common import unused, written
@@ -37,6 +42,8 @@ from papersieve.llm.common import unused, written
 SHINGLE, SEED = 3, 42
 BITS, BUDGET, SEGMENTS = 64, 2, 5
 BUCKET_ROWS = 4_096
+# The pipeline's stage: words to a shingle and Jaccard similarity of near duplicates.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 # Shingles voted on at once: bounds the memory for a very long text.
 VOTES = 1 << 15
 
@@ -331,13 +338,170 @@ def digest(df: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(df: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest ``doc_id``, with the columns of ``df``.
+def text_shingles(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """XXH64 values of the distinct shingles of one text; fewer words form one shingle."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), SEED)], dtype=np.uint64)
+    tuples = zip(*[words[i:] for i in range(shingle)])
+    values = (digest(b" ".join(t), SEED) for t in tuples)
+    return np.unique(np.fromiter(values, dtype=np.uint64, count=len(words) - shingle + 1))
+
+
+def _shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, size, h``: a row for each distinct shingle of each row of ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [text_shingles(t.as_py(), shingle) for t in part.column(1)]
+                sizes = np.array([len(x) for x in sets], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column(0).to_numpy(), sizes), pa.int64()),
+                        pa.array(np.repeat(sizes, sizes), pa.int32()),
+                        pa.array(np.concatenate(sets).view(np.int64), pa.int64()),
+                    ],
+                    names=["node", "size", "h"],
+                )
+
+    return texts.mapInArrow(run, "node long, size int, h long")
+
+
+def _least_common(size: str, similarity: float) -> Column:
+    """Shingles that a set of this size shares with any set as similar as that, at least."""
+    return F.ceil(F.col(size) * similarity - 1e-9).cast("int")
+
+
+def similar_sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``node, size, shared, prefix`` of the sets that can be similar to another one.
+
+    ``shared`` are the shingles that other rows have too, rarest first by one
+    order for all sets; nothing else can be in an intersection. Two similar sets
+    have a shingle in common among the first ``size - least common + 1`` of
+    each: ``prefix`` is the shared part of those. Sets with fewer shared shingles
+    than a similar pair has in common are left out.
+    """
+    counted = (
+        _shingle_rows(texts, shingle)
+        .withColumn("n", F.count("*").over(Window.partitionBy("h")))
+        .filter("n > 1")
+        # Copies of one text count in n, which only orders; here they become one.
+        .dropDuplicates(["h", "node", "size", "n"])
+    )
+    shared = F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"])
+    common = _least_common("size", similarity)
+    return (
+        counted.groupBy("node", "size")
+        .agg(shared.alias("shared"))
+        .filter(F.size("shared") >= common)
+        .withColumn("prefix", F.slice("shared", F.lit(1), F.size("shared") - common + 1))
+    )
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose shingle sets are similar enough, by exact count."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("node").alias(name), F.col("size").alias(f"size_{name}"),
+            F.col("shared").alias(f"shared_{name}"),
+        )
+
+    both = F.size(F.array_intersect("shared_a", "shared_b"))
+    either = F.col("size_a") + F.col("size_b") - both
+    return (
+        pairs.join(side("b"), "b").join(side("a"), "a")
+        .filter(both >= either * similarity - 1e-9)
+        .select("a", "b")
+    )
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: verified links that connect all nodes that similar pairs connect.
+
+    First every node is held against one other of each of its buckets (nodes with
+    a prefix shingle in common), so that a large group of near copies needs few
+    comparisons; then all pairs of a bucket that are not connected yet.
+    """
+    rows = written(
+        sets.select("node", "size", F.explode("prefix").alias("h")), "prefixes"
+    )
+    many = rows.groupBy("h").agg(
+        F.count("*").alias("n"),
+        F.min_by(F.struct("node", "size"), F.xxhash64("node")).alias("centre"),
+    ).filter("n > 1")
+    fit = F.least("size", "other") >= F.greatest("size", "other") * similarity - 1e-9
+    stars = (
+        rows.join(many, "h")
+        .withColumn("other", F.col("centre.size"))
+        .filter((F.col("node") != F.col("centre.node")) & fit)
+        .select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+    links = written(_verified(stars, sets, similarity), "star-links")
+    roots = components(links)
+    labelled = written(
+        rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
+        "labelled-prefixes",
+    )
+    mixed = (
+        labelled.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+        .filter("x <> y").select("h")
+    )
+    left = labelled.join(mixed, "h", "left_semi")
+    right = left.select(
+        "h", F.col("node").alias("b"), F.col("size").alias("other"), F.col("root").alias("root_b")
+    )
+    pairs = (
+        left.join(right, "h")
+        .filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fit)
+        .select(F.col("node").alias("a"), "b")
+        .distinct()
+    )
+    return links.unionByName(_verified(pairs, sets, similarity))
+
+
+def similar_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY,
+) -> DataFrame:
+    """``doc_id, node, component_id`` of every row: components of the pairs of texts whose
+    sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more.
+
+    Exact, without a fingerprint that could miss a pair: see ``similar_sets``.
+    ``node`` is a hash of the text, so copies are one node.
+    """
+    if not 0 < similarity <= 1 or shingle < 1:
+        raise ValueError("similarity must lie in (0, 1], shingle must be positive")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    node = F.xxhash64(text).alias("node")
+    ids = written(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), node), "texts")
+    sets = written(similar_sets(df.select(node, text.alias("text")), shingle, similarity), "sets")
+    roots = components(similar_links(sets, similarity))
+    named = (
+        ids.groupBy("node").agg(F.min("doc_id").alias("least"))
+        .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    )
+    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = named.join(component, "root").select("node", "component_id")
+    return ids.join(member, "node").select("doc_id", "node", "component_id")
+
+
+def keep_first(
+    df: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY
+) -> DataFrame:
+    """One row of each component of ``similar_texts``: that of its smallest ``doc_id``, with
+    the columns of ``df``.
 
     Rows that repeat an id with the same text count as one. Rows without an id
     have no smallest one and all stay.
     """
-    found = near_duplicates(df)
+    found = similar_texts(df, shingle=shingle, similarity=similarity)
     first = (
         found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     )

@@ -112,3 +112,34 @@ def test_keep_first(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _rank string")
     kept = sorted((tuple(r) for r in simhash.keep_first(df).collect()), key=repr)
     assert kept == sorted([rows[0], rows[3], rows[5], rows[6]], key=repr)
+
+
+def test_keep_first_drops_planted_near_copies(spark):
+    """Jaccard 0.8 or more over five-word shingles goes, anything below stays."""
+    draw = random.Random(5)
+    common = [f"c{i}" for i in range(12)]
+    texts = []
+    for n, changes in ((100, (1,)), (200, (3,)), (500, (10, 12)), (60, (2, 3)), (40, (1,))):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(n)] + common
+        texts.append(base)
+        for count in changes:
+            for _ in range(6):
+                copy = list(base)
+                for at in draw.sample(range(n), count):
+                    copy[at] = f"x{draw.randrange(10**6)}"
+                texts.append(copy)
+    chain = [f"k{i}" for i in range(100)]
+    texts += [chain, chain[8:] + [f"l{i}" for i in range(8)], chain[16:] + [f"l{i}" for i in range(16)]]
+    texts += [["a", "B"], ["A", "b"], ["a", "c"], common]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ([x.lower() for x in t] for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    want = sorted(set(group))
+    assert len(want) < len(texts) - 12
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
