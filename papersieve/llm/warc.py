@@ -193,12 +193,23 @@ def parse_header(block: bytes) -> dict[str, str]:
 def assembled_blocks(pieces: Iterator[bytes | None]) -> Iterator[tuple[bytes, bytes]]:
     """``(header, block)`` of each record in the pieces between separators; None ends a file.
 
-    A block takes pieces until its declared length is reached. A header without
-    a usable length, or a block that does not end with a separator, gives up
-    its record; reading goes on at the next piece that begins like a header.
+    A block is cut from the byte stream: pieces are joined with the separator until
+    the declared length is reached. The reader splits at the leftmost separator, so
+    behind a block that ends with a line break the next header comes with what is left
+    of the closing separator; it is handed back as the start of the next record. A
+    header without a usable length, or a block that does not end with a separator,
+    gives up its record; reading goes on at the next piece that begins like a header.
     """
     gap = SEPARATOR.encode()
-    for header in pieces:
+    ahead: bytes | None = None
+    while True:
+        if ahead is not None:
+            header, ahead = ahead, None
+        else:
+            try:
+                header = next(pieces)
+            except StopIteration:
+                return
         if header is None or not header.startswith(b"WARC/"):
             continue
         declared = parse_header(header).get("content-length", "")
@@ -212,8 +223,15 @@ def assembled_blocks(pieces: Iterator[bytes | None]) -> Iterator[tuple[bytes, by
             have += len(gap) + len(piece)
             if have >= want:
                 break
-        if have == want:
-            yield header, gap.join(parts)
+        if have < want:
+            continue
+        block = gap.join(parts)
+        if have > want:
+            rest = block[want:]
+            if not rest.startswith(gap):
+                continue
+            block, ahead = block[:want], rest[len(gap) :]
+        yield header, block
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

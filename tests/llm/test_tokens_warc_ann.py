@@ -189,6 +189,30 @@ def test_broken_archives_lose_only_their_own_records():
     assert [b for _, b in warc.assembled_blocks(iter(bad))] == [b"ab\r\n\r\n"]
 
 
+def test_archives_with_payloads_that_end_in_line_breaks(spark, tmp_path):
+    ends = ["", "\r\n", "\r\n" * 2, "\r\n" * 3, "\r\n" * 4, "\r", "\n", "\r\n\r", "\n\r\n", "\r\n\r\n\n"]
+    rows = [(i, f"http://h/{i}", "<html>" + "x" * 100 + "</html>" + end) for i, end in enumerate(ends)]
+    rows += [(100 + i, url, html) for i, url, html in rows]
+    rows += [(200, "u", "\r\n"), (201, "u", "\r\n" * 3), (202, "u", "\r\n" + "y" * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_archives(df, path)
+    want = [
+        (i, len(html), hashlib.sha256(html.encode()).hexdigest(), *(("revisit", i - 100) if 100 <= i < 200 else ("response", None)))
+        for i, _, html in rows
+    ]
+    assert sorted(tuple(r) for r in warc.digest(spark, path).collect()) == sorted(want)
+    read = warc.read_records(spark, path)
+    assert read.count() == 3 * len(rows)
+
+
+def test_a_last_payload_may_end_in_a_line_break():
+    head = b"WARC/1.1\r\nContent-Length: 4"
+    assert list(warc.assembled_blocks(iter([head, b"ab", b"\r\n", None, head, b"ab", b"\r\n" + head, b"cdef"]))) == [
+        (head, b"ab\r\n"), (head, b"ab\r\n"), (head, b"cdef"),
+    ]
+
+
 def brute(rows, k):
     """Usable vectors' k best by inner product, added up in order, ties to the smaller id."""
     keep = [(i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
