@@ -27,25 +27,39 @@ class Scan:
     outcomes: DataFrame
 
 
-def collect_scripts(w: og.Walk) -> DataFrame:
-    """Deduplicated, budgeted and enriched scripts of every document.
+def collect_scripts(w: og.Walk, budget: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Deduplicated and enriched scripts of every document, and what a budget left out.
 
+    Without ``budget`` every script is kept whole. With one, a script that starts
+    after so many characters of earlier ones is dropped and a longer one is cut;
+    the second table then has a ``parse_errors`` row for each document concerned.
     The running length is an in-document window: one file's scripts are bounded
     by the upload cap, so no document can outgrow a task here.
     """
     found = staged(og.script_findings(w), "doc_id")
     kept = js.drop_repeated_sweeps(found).withColumn("length", F.length("code"))
+    if budget is None:
+        return js.enrich_scripts(kept.withColumn("truncated", F.lit(False))), None
     before = Window.partitionBy("doc_id").orderBy("ord", "location").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    running = kept.withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    bitten = (
+        running.where((F.col("_before") > budget) | (F.col("length") > budget))
+        .select(
+            "doc_id",
+            F.lit("scripts").alias("stage"),
+            F.lit("javascript extraction budget exhausted").alias("message"),
+        )
+        .distinct()
+    )
     budgeted = (
-        kept.withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))
-        .where(F.col("_before") <= K.MAX_SCRIPT_CHARS)
-        .withColumn("truncated", F.col("length") > K.MAX_SCRIPT_CHARS)
-        .withColumn("code", F.left("code", F.lit(K.MAX_SCRIPT_CHARS)))
+        running.where(F.col("_before") <= budget)
+        .withColumn("truncated", F.col("length") > budget)
+        .withColumn("code", F.left("code", F.lit(budget)))
         .drop("_before")
     )
-    return js.enrich_scripts(budgeted)
+    return js.enrich_scripts(budgeted), bitten
 
 
 def read_bytes(files: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
@@ -116,9 +130,13 @@ def scan_files(
     files: DataFrame,
     signatures: tuple[Signature, ...] = BUNDLED,
     rules: list[Rule] | None = None,
+    script_chars: int | None = None,
 ) -> Scan:
     """Scan ``files(doc_id, content)``.
 
+    ``script_chars`` bounds the script characters taken from a document; each
+    document that it bites has a ``parse_errors`` row. By default all are taken.
+
     Runs actions: every findings table is written once under the checkpoint
     folder, which is what a history store keeps anyway, and read back pruned by
     whoever needs a few of its columns. ``content`` is read by two narrow passes
@@ -129,7 +147,9 @@ def scan_files(
     features = read.drop("swept", "hits")
     entries = og.stage_entries(files)
     w = og.walk(entries)
-    scripts = staged(collect_scripts(w), "doc_id")
+    taken, bitten = collect_scripts(w, script_chars)
+    scripts = staged(taken, "doc_id")
+    errors = og.parse_errors(files, w, features)
     actions = staged(og.actions(w), "doc_id")
     evidence = Evidence(
         structure=staged(structure_table(features, w, scripts, actions), "doc_id"),
@@ -138,7 +158,7 @@ def scan_files(
         attachments=staged(og.attachments(w), "doc_id"),
         urls=staged(collect_urls(read, w, scripts), "doc_id"),
         hits=explode_hits(read, signatures),
-        errors=og.parse_errors(files, w, features),
+        errors=errors if bitten is None else errors.unionByName(bitten),
     )
     found = staged(indicators(evidence, rules), "doc_id")
     return Scan(features, w, evidence, found, outcomes(found, files))

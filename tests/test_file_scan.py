@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from documents import ALL
+from documents import ALL, Writer
 
 from papersieve.operators import evidence
 from papersieve.plans.scan import scan_files
@@ -168,3 +168,21 @@ def test_prompt_withholds_the_score_unless_asked(scanned):
     assert "Assessment by rules" not in plain
     assert "Assessment by rules" in told
     assert plain.startswith("## File\n") and "## Scripts in the file" in plain
+
+
+def test_scripts_behind_long_ones_are_taken_and_a_budget_says_what_it_left_out(spark):
+    w = Writer()
+    w.script("var quiet = 1; " * 15_000, filters="Flate")
+    late = w.put("<< /S /JavaScript /JS (eval\\(unescape\\('x'\\)\\);) >>")
+    w.page(f"/AA << /O {late} 0 R >>")
+    rows = [(0, bytearray(w.done())), (1, bytearray(ALL["report"])), (2, bytearray(ALL["deflated"]))]
+    files = spark.createDataFrame(rows, "doc_id bigint, content binary")
+    spent = "message = 'javascript extraction budget exhausted'"
+    whole = scan_files(files)
+    taken = {(r.doc_id, len(r.code), r.truncated) for r in whole.evidence.scripts.collect()}
+    assert taken == {(0, 225_000, False), (0, 20, False), (2, 10, False)}
+    assert whole.evidence.errors.where(spent).count() == 0
+    capped = scan_files(files, script_chars=200_000)
+    taken = {(r.doc_id, len(r.code), r.truncated) for r in capped.evidence.scripts.collect()}
+    assert taken == {(0, 200_000, True), (2, 10, False)}
+    assert [r.doc_id for r in capped.evidence.errors.where(spent).collect()] == [0]
