@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import ann, huffman, langid, packing, quality, sharding, simhash, suffix, warc, wfst
+from papersieve.llm import (
+    ann,
+    compression,
+    conversations,
+    huffman,
+    langid,
+    packing,
+    periodic,
+    quality,
+    sharding,
+    simhash,
+    suffix,
+    warc,
+    wfst,
+)
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +144,76 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated passages."""
     return suffix.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document with planted repetitions, and the text without them."""
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by compressed sizes."""
+    documents = table(spark, sf_dir, "documents")
+    return compression.score(documents, compression.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of rebuilt conversations."""
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+# DuckDB has no crc32: the remainder by four comes from one step of the bitwise division
+# per bit, over the decimal digits of the id.
+ORACLES["op13_conversation_trie"] = """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, CAST(4294967295 AS BIGINT) AS r, 0 AS step, CAST(c AS VARCHAR) AS s FROM ids
+  UNION ALL
+  SELECT c,
+         CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END,
+         step + 1, s
+  FROM (SELECT c, step, s, CASE WHEN step % 8 = 0 THEN xor(r, ascii(s[step // 8 + 1])) ELSE r END AS x
+        FROM crc WHERE step < 8 * length(s))),
+h AS (SELECT c, xor(r, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE step = 8 * length(s)),
+t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+parts AS (
+  SELECT h.c, 0 AS part, t.k, t.role, t.text FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.k < h.h
+  UNION ALL
+  SELECT h.c, 1, t.k, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.k >= h.h),
+placed AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d FROM parts),
+prefixes AS (
+  SELECT c, d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+         list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS p
+  FROM placed
+  UNION ALL
+  SELECT c, 0, 0, CAST([] AS STRUCT("role" VARCHAR, "text" VARCHAR)[]) FROM h),
+lengths AS (SELECT c, max(d) AS n FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '') AS ends
+  FROM prefixes JOIN lengths USING (c) GROUP BY d, p),
+numbered AS (SELECT *, row_number() OVER () AS id FROM nodes),
+linked AS (
+  SELECT v.*, u.id AS parent, u.conv_id AS parent_conv_id
+  FROM numbered v LEFT JOIN numbered u ON v.d = u.d + 1 AND v.p[1:v.d - 1] = u.p),
+kids AS (SELECT parent AS id, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY 1),
+up AS (
+  SELECT id AS node, id AS anc FROM linked
+  UNION ALL
+  SELECT up.node, l.parent FROM up JOIN linked l ON l.id = up.anc WHERE l.parent IS NOT NULL),
+sums AS (
+  SELECT anc AS id, sum((l.n_convs - 1) * l.words) AS saved, count(*) FILTER (WHERE kids.id IS NULL) AS leaves
+  FROM up JOIN linked l ON l.id = up.node LEFT JOIN kids ON kids.id = l.id GROUP BY anc)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM linked JOIN sums USING (id) LEFT JOIN kids USING (id)
+"""
