@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
@@ -13,9 +14,10 @@ from papersieve.functions import links as ln
 from papersieve.operators import history as hs
 from papersieve.operators.evaluate import label_of, report
 from papersieve.plans import inputs as I
-from papersieve.session import checkpoint_dir
+from papersieve.session import checkpoint_dir, staged
 from papersieve.sources import files as fs
 from papersieve.sources import tables as tb
+from papersieve.sources.store import APPENDED, REPLACED, ResultStore
 
 _DATASET = "CASE doc_id % 4 WHEN 0 THEN concat(source, '_Malware') WHEN 1 THEN concat('clean_', source) WHEN 2 THEN concat('CLEAN_malware_', source) ELSE source END"
 _LABEL = "CASE doc_id % 4 WHEN 0 THEN 'malware' WHEN 1 THEN 'clean' WHEN 2 THEN 'malware' END"
@@ -196,12 +198,87 @@ def _(spark, sf):
     f"WITH {X.SCANS} SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'second' ELSE 'first' END AS run, verdict FROM scans",
 )
 def _(spark, sf):
-    root = scratch(spark, "store")
+    store = ResultStore(spark, scratch(spark, "store"))
     first = I.scans(spark, sf).select("scan_id", "verdict", F.lit("first").alias("run"))
     again = first.where("scan_id % 3 = 0").withColumn("run", F.lit("second"))
-    for batch, rows in ((0, first), (1, again), (1, again)):
-        tb.save_batch(rows, root, "scans", batch)
-    return tb.read_latest(spark, root, "scans").select("scan_id", "run", "verdict")
+    for batch_id, rows in ((0, first), (1, again), (1, again)):
+        with store.batch(batch_id) as batch:
+            batch.write("scans", rows)
+    return store.latest("scans").select("scan_id", "run", "verdict")
+
+
+class Interrupted(Exception):
+    """Stands for whatever ends a run between two tables."""
+
+
+def one_run(spark: SparkSession, sf: str, run: str) -> dict[str, DataFrame]:
+    """The five tables of a run: the second saves a third of the scans again, with fewer findings."""
+    scans, found = I.scans(spark, sf), I.scan_indicators(spark, sf)
+    told = I.assessments(spark, sf).select("call_id", "scan_id", "provider", "succeeded")
+    if run == "second":
+        scans, told = scans.where("scan_id % 3 = 0"), told.where("scan_id % 3 = 0")
+        found = found.where("scan_id % 3 = 0 AND weight > 20")
+    report = scans.select("scan_id", F.lit("structure").alias("section"), F.lit(0).cast("bigint").alias("ord"),
+                          F.to_json(F.struct("file_size", "storage_key")).alias("value"))
+    events = scans.select("scan_id", F.lit("completed").alias("kind"), "verdict", "created_at")
+    tables = {"scans": scans, "reports": report, "indicators": found, "assessments": told, "events": events}
+    return {name: rows.withColumn("run", F.lit(run)) for name, rows in tables.items()}
+
+
+def seen_rows(store: ResultStore, moment: str) -> DataFrame:
+    """What readers find per table and scan, written down before the store goes on."""
+    parts = []
+    for name in (*REPLACED, *APPENDED):
+        rows = store.latest(name) if name in REPLACED else store.rows(name)
+        parts.append(
+            rows.groupBy("scan_id").agg(
+                F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("run")), "+").alias("runs")
+            ).select(F.lit(moment).alias("moment"), F.lit(name).alias("name"), "scan_id", "n", "runs")
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return staged(out)
+
+
+# What one run holds, table by table, and what of it counts once the second run is in.
+_RUN_ROWS = f"""WITH {X.SCANS}, found AS ({I.SCAN_INDICATORS_SELECT}), told AS ({I.ASSESSMENTS_SELECT}),
+r AS (
+  SELECT 'scans' AS name, scan_id, 0 AS weight FROM scans UNION ALL SELECT 'reports', scan_id, 0 FROM scans
+  UNION ALL SELECT 'indicators', scan_id, weight FROM found UNION ALL SELECT 'assessments', scan_id, 0 FROM told
+  UNION ALL SELECT 'events', scan_id, 0 FROM scans),
+runs AS (
+  SELECT *, 'first' AS run FROM r
+  UNION ALL SELECT *, 'second' FROM r WHERE scan_id % 3 = 0 AND (name <> 'indicators' OR weight > 20)),
+counted AS (
+  SELECT 'interrupted' AS moment, name, scan_id, run FROM runs WHERE run = 'first'
+  UNION ALL
+  SELECT 'replayed', name, scan_id, run FROM runs
+  WHERE name IN ('assessments', 'events') OR run = CASE WHEN scan_id % 3 = 0 THEN 'second' ELSE 'first' END)
+SELECT moment, name, scan_id, count(*) AS n, string_agg(DISTINCT run, '+' ORDER BY run) AS runs
+FROM counted GROUP BY ALL"""
+
+
+@query("S16_atomic_save", _RUN_ROWS)
+def _(spark, sf):
+    store = ResultStore(spark, scratch(spark, "atomic"))
+    with store.batch(0) as batch:
+        for name, rows in one_run(spark, sf, "first").items():
+            batch.write(name, rows)
+    second = one_run(spark, sf, "second")
+    try:
+        with store.batch(1) as batch:
+            for name in ("scans", "reports"):
+                batch.write(name, second[name])
+            raise Interrupted
+    except Interrupted:
+        pass
+    between = seen_rows(store, "interrupted")
+    for _ in range(2):
+        with store.batch(1) as batch:
+            for name, rows in second.items():
+                batch.write(name, rows)
+    return between.unionByName(seen_rows(store, "replayed"))
 
 
 @query("S17_column_caps", "SELECT doc_id, length(left(text, 512)) AS filename, length(left(text, 4000)) AS summary, length(left(text, 64)) AS code FROM documents")

@@ -12,6 +12,7 @@ from papersieve.catalog.registry import query
 from papersieve.operators.scoring import verdict_of
 from papersieve.plans import inputs as I
 from papersieve.session import checkpoint_dir
+from papersieve.sources.store import ResultStore
 from papersieve.streaming import ingest as ig
 from papersieve.streaming import settle as st
 from papersieve.streaming import windows as wn
@@ -167,7 +168,7 @@ _SENT = f"""SELECT *, NOT refused AND row_number() OVER (PARTITION BY refused, C
 
 @query("W5_content_dedup", f"WITH s AS ({_SENT}) SELECT count(*) AS scans, count(*) AS hashes FROM s WHERE kept")
 def _(spark, sf):
-    saved = spark.read.parquet(f"{ingested(spark, sf)}/scans")
+    saved = ResultStore(spark, ingested(spark, sf)).rows("scans")
     return saved.agg(F.count("*").alias("scans"), F.count_distinct("sha256").alias("hashes"))
 
 
@@ -177,7 +178,7 @@ k AS (SELECT s.doc_id, coalesce({X.final_score('raw', 'sev', 'n_indicators')}, 0
 
 @query("W6_ingest_verdicts", f"{_INGEST_SQL} SELECT doc_id || '.pdf' AS filename, score AS risk_score, {X.verdict('score')} AS verdict, CASE WHEN score >= 80 THEN 'quarantined' ELSE 'completed' END AS status FROM k")
 def _(spark, sf):
-    return spark.read.parquet(f"{ingested(spark, sf)}/scans").select("filename", "risk_score", "verdict", "status")
+    return ResultStore(spark, ingested(spark, sf)).latest("scans").select("filename", "risk_score", "verdict", "status")
 
 
 @query(
@@ -185,7 +186,7 @@ def _(spark, sf):
     f"WITH s AS ({_SENT}) SELECT kind, count(*) AS n FROM s, (VALUES ('queued'), ('parsing'), ('completed')) AS v(kind) WHERE kept GROUP BY 1 UNION ALL SELECT CASE WHEN refused THEN 'rejected' ELSE 'duplicate' END, count(*) FROM s WHERE NOT kept GROUP BY 1 UNION ALL SELECT 'idle', 1",
 )
 def _(spark, sf):
-    return spark.read.parquet(f"{ingested(spark, sf)}/events").groupBy("kind").agg(F.count("*").alias("n"))
+    return ResultStore(spark, ingested(spark, sf)).rows("events").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 _KIND = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'parsing' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"

@@ -106,29 +106,3 @@ def verdict_records(decisions: DataFrame, features: DataFrame, indicators: DataF
         )
     )
 
-
-def save_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """Write one run's rows of a table; running the batch again replaces them."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch={batch_id}")
-
-
-def read_latest(
-    spark: SparkSession,
-    root: str,
-    name: str,
-    before: int | None = None,
-    hashes: DataFrame | None = None,
-) -> DataFrame:
-    """Rows of the latest run of every scan: earlier runs are replaced as a whole.
-
-    With ``before`` only folders of earlier batches are read, so a batch that is
-    being written again never reads its own files.
-    """
-    rows = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    if hashes is not None:
-        # A scan id belongs to one content, so its runs are kept or left together.
-        rows = rows.join(hashes, "sha256", "left_semi")
-    last = rows.groupBy("scan_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["scan_id", "batch"], "left_semi")

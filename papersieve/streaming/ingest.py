@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersieve.operators.gate import GateSettings, decide
 from papersieve.operators.history import cap_columns, content_key, is_quarantine_candidate, split_submissions
-from papersieve.plans.scan import scan_files
+from papersieve.plans.scan import Scan, scan_files
 from papersieve.session import staged
 from papersieve.sources.files import admit
-from papersieve.sources.tables import read_latest, save_batch
+from papersieve.sources.store import ResultStore
 
+# Characters of a document's text that a report keeps.
+EXCERPT_CHARS = 8000
 NO_CALLS = (
     "doc_id bigint, succeeded boolean, ai_verdict string, ai_score int, ai_confidence double, "
     "ai_summary string, ai_error string"
@@ -42,13 +43,54 @@ def event_rows(rows: DataFrame, kind: str, at: Column, **columns: Column) -> Dat
     )
 
 
+def report_rows(scan: Scan) -> DataFrame:
+    """The report of every scan as rows ``scan_id, section, ord, value``.
+
+    One row per finding instead of lists in one row: a file with very many
+    findings stays many small rows. ``value`` is the finding as JSON.
+    """
+    found = scan.evidence
+    sections = {
+        "structure": found.structure.withColumn("text_excerpt", F.left("text_excerpt", F.lit(EXCERPT_CHARS))),
+        "script": found.scripts, "action": found.actions, "attachment": found.attachments,
+        "url": found.urls, "signature": found.hits, "error": found.errors,
+    }
+    parts = []
+    for name, rows in sections.items():
+        kept = [c for c in rows.columns if c not in ("doc_id", "ord")]
+        place = F.col("ord") if "ord" in rows.columns else F.lit(None)
+        parts.append(
+            rows.select(
+                F.col("doc_id").alias("scan_id"),
+                F.lit(name).alias("section"),
+                place.cast("bigint").alias("ord"),
+                F.to_json(F.struct(*kept)).alias("value"),
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def assessment_rows(decisions: DataFrame, calls: DataFrame) -> DataFrame:
+    """What a model said about scans the gate sent to it, used or not."""
+    return decisions.where("escalated").select("doc_id", "used_ai").join(calls, "doc_id").select(
+        F.col("doc_id").alias("scan_id"),
+        F.coalesce("succeeded", F.lit(False)).alias("succeeded"),
+        "used_ai",
+        *[F.col(f"ai_{c}").alias(c) for c in ("verdict", "score", "confidence", "summary", "error")],
+    )
+
+
 @dataclass
 class Ingest:
     """``foreachBatch`` body: admit, deduplicate, scan, decide, save.
 
-    Every write of a batch replaces that batch's own folder, so a replay after a
-    failure leaves the same tables. ``calls_for`` supplies the table of model
-    responses for a batch of outcomes; without it every decision is static.
+    The five tables of a batch (scans, reports, indicators, assessments, events)
+    become visible together, and a replay after a failure replaces them together.
+    ``calls_for`` supplies the table of model responses for a batch of outcomes;
+    without it every decision is static.
     """
 
     root: str
@@ -62,13 +104,8 @@ class Ingest:
         Only rows of those contents are grouped, however long the history is.
         """
         spark = hashes.sparkSession
-        try:
-            return read_latest(spark, self.root, "scans", before, hashes)
-        except AnalysisException as problem:
-            # No batch has been saved yet; any other problem must not look like that.
-            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return spark.createDataFrame([], HISTORY + ", batch int")
+        known = ResultStore(spark, self.root).latest("scans", before=before, only=hashes)
+        return spark.createDataFrame([], HISTORY) if known is None else known
 
     def __call__(self, files: DataFrame, batch_id: int) -> None:
         """``files(path, length, content, observed_at)`` of one micro-batch."""
@@ -127,13 +164,30 @@ class Ingest:
             seized.alias("quarantined"),
             F.col("observed_at").alias("created_at"),
         )
-        save_batch(cap_columns(rows), self.root, "scans", batch_id)
         found = scan.indicators.withColumnRenamed("doc_id", "scan_id")
-        save_batch(cap_columns(found), self.root, "indicators", batch_id)
-        saved = spark.read.parquet(f"{self.root.rstrip('/')}/scans/batch={batch_id}")
+        with ResultStore(spark, self.root).batch(batch_id) as batch:
+            batch.write("scans", cap_columns(rows))
+            batch.write("reports", report_rows(scan))
+            batch.write("indicators", cap_columns(found))
+            batch.write("assessments", cap_columns(assessment_rows(decisions, calls)))
+            saved = batch.read("scans")
+            batch.write("events", self.events(saved, rejected, named, first, known, fresh, decisions, unread))
+
+    def events(
+        self,
+        saved: DataFrame,
+        rejected: DataFrame,
+        named: DataFrame,
+        first: DataFrame,
+        known: DataFrame,
+        fresh: DataFrame,
+        decisions: DataFrame,
+        unread: DataFrame,
+    ) -> DataFrame:
+        """What happened to every file of a batch."""
         at, name = F.col("observed_at"), F.col("filename")
         copies = named.join(first, ["sha256", "path"], "left_anti")
-        events = (
+        return (
             event_rows(rejected, "rejected", at, filename=F.col("path"), message=F.col("reject_code"))
             .unionByName(
                 event_rows(
@@ -168,4 +222,3 @@ class Ingest:
             # With the batch's last file done the queue is empty.
             .unionByName(event_rows(named.agg(F.max("observed_at").alias("observed_at")), "idle", at))
         )
-        save_batch(events, self.root, "events", batch_id)

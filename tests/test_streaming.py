@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from papersieve.catalog.streams import run_once
 from papersieve.operators.gate import GateSettings
+from papersieve.sources.store import APPENDED, REPLACED, Batch, ResultStore
 from papersieve.streaming import settle
 from papersieve.streaming.ingest import Ingest
 
@@ -53,10 +55,79 @@ def test_ingest_is_idempotent_and_deduplicates(spark, tmp_path):
     ingest(files, 0)
     ingest(files, 0)
     ingest(files.where("path = '/in/copy.pdf'"), 1)
-    scans = {r.filename: r for r in spark.read.parquet(f"{root}/scans").collect()}
+    store = ResultStore(spark, root)
+    scans = {r.filename: r for r in store.latest("scans").collect()}
     assert set(scans) == {"a.pdf", "b.pdf"}
     assert scans["a.pdf"].status == "quarantined" and scans["b.pdf"].verdict == "clean"
-    events = spark.read.parquet(f"{root}/events")
+    events = store.rows("events")
     kinds = {(r.batch, r.kind): r.n for r in events.groupBy("batch", "kind").agg(F.count("*").alias("n")).collect()}
     assert kinds[(0, "completed")] == 2 and kinds[(0, "rejected")] == 1 and kinds[(0, "duplicate")] == 1
     assert kinds == {**kinds, (1, "duplicate"): 1} and (1, "completed") not in kinds
+    sections = {(r.scan_id, r.section) for r in store.latest("reports").collect()}
+    assert {i for i, name in sections if name == "structure"} == {r.scan_id for r in scans.values()}
+    assert {name for i, name in sections if i == scans["a.pdf"].scan_id} >= {"structure", "action"}
+    assert store.latest("indicators").count() > 0 and store.rows("assessments").count() == 0
+    # Both attempts at batch 0 are on disk; the first one is no longer named.
+    assert len(store.forgotten()) == 5 and store.vacuum() == 5 and store.forgotten() == []
+    assert {r.filename for r in store.latest("scans").collect()} == set(scans)
+
+
+def test_ingest_that_ends_midway_shows_nothing(spark, tmp_path, monkeypatch):
+    from documents import ALL
+
+    files = spark.createDataFrame(
+        [("/in/a.pdf", bytearray(ALL["program_start"]))], "path string, content binary"
+    ).withColumns(
+        {"length": F.octet_length("content").cast("bigint"), "observed_at": F.lit("2024-01-01").cast("timestamp")}
+    )
+    calls = (
+        "SELECT doc_id, true AS succeeded, 'malicious' AS ai_verdict, 95 AS ai_score, "
+        "0.9D AS ai_confidence, 'starts a program' AS ai_summary, CAST(NULL AS STRING) AS ai_error FROM {o}"
+    )
+    ingest = Ingest(str(tmp_path / "store"), GateSettings(), lambda o: spark.sql(calls, o=o))
+    store = ResultStore(spark, ingest.root)
+    written = Batch.write
+
+    def ends_at(table):
+        def write(batch, name, rows):
+            if name == table:
+                raise RuntimeError("lost")
+            written(batch, name, rows)
+
+        return write
+
+    for table in ("reports", "events"):
+        monkeypatch.setattr(Batch, "write", ends_at(table))
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest(files, 0)
+        assert all(store.rows(n) is None for n in (*REPLACED, *APPENDED))
+    monkeypatch.setattr(Batch, "write", written)
+    ingest(files, 0)
+    assert store.latest("scans").count() == 1 and store.rows("events").where("kind = 'idle'").count() == 1
+    told = store.rows("assessments").collect()
+    assert all(r.verdict == "malicious" and r.scan_id == store.latest("scans").first().scan_id for r in told)
+    assert len(told) == store.rows("events").where("kind = 'ai_review'").count()
+
+
+def test_store_keeps_latest_and_all(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame(list(r), "scan_id bigint, v string")
+    assert store.rows("scans") is None and store.latest("indicators") is None
+    with store.batch(3) as batch:
+        batch.write("scans", rows((1, "a"), (2, "a")))
+        batch.write("indicators", rows((1, "x"), (1, "y"), (2, "z")))
+        with pytest.raises(ValueError):
+            batch.write("scans", rows((1, "a")))
+    with store.batch(4) as batch:
+        batch.write("scans", rows((1, "b")))
+        batch.write("indicators", rows())
+    got = lambda df: sorted((r.scan_id, r.v) for r in df.collect())
+    assert got(store.latest("scans")) == [(1, "b"), (2, "a")]
+    # The second run found nothing: its findings replace the first run's.
+    assert got(store.latest("indicators")) == [(2, "z")]
+    assert got(store.latest("indicators", before=4)) == [(1, "x"), (1, "y"), (2, "z")]
+    assert got(store.rows("scans")) == [(1, "a"), (1, "b"), (2, "a")]
+    with store.batch(3) as batch:
+        batch.write("scans", rows((5, "c")))
+    assert got(store.rows("scans")) == [(1, "b"), (5, "c")]
+    assert got(store.rows("indicators")) == []
