@@ -4,9 +4,7 @@ Each indirect object is flattened into rows ``(node, key, pos, kind, value)``. A
 node is a dictionary: the object number for an indirect one, parent node plus
 key for an inline one. Inline and referenced dictionaries thereby look the same
 (a row whose ``value`` names the child node) and every walk over the document is
-a join. Page and name trees are walked here, where the whole file is in hand, so
-their depth costs no jobs. Stream bytes are decoded and emitted only for streams
-something reads later.
+a join. Stream bytes are decoded and emitted only for streams something reads later.
 
 A file that cannot be read gives one ``error`` row, and so does everything left
 out of a file: an unknown or broken stream filter, a number out of range, the
@@ -378,53 +376,6 @@ class Parsed:
             self.objects[inner] = (flatten(str(inner), stream[first + begin : first + stop]), None)
 
 
-def tree_rows(parsed: Parsed) -> list[tuple[str, str, int, str, str]]:
-    """``(node, tree, place, "tree", "")`` of every node of the page and name trees.
-
-    Trees are walked depth first from the catalog along ``/Kids`` with a stack
-    of its own; a node counts once, at its first place, so cycles end.
-    """
-    edges: dict[tuple[str, str], list[tuple[int, str]]] = {}
-    typed: dict[str, str] = {}
-    rows = [r for held, _ in parsed.objects.values() for r in held]
-    for node, key, pos, kind, value in rows:
-        if kind in ("ref", "node"):
-            edges.setdefault((node, key), []).append((pos, value))
-        elif key == "/Type":
-            typed[node] = value
-
-    def children(node: str, key: str) -> list[str]:
-        out = []
-        for _, value in sorted(edges.get((node, key), [])):
-            # A reference to an array object stands for its items.
-            items = edges.get((value, "[]"))
-            out += [v for _, v in sorted(items)] if items else [value]
-        return out
-
-    root = next((r[4] for r in parsed.trailer if r[1] == "/Root" and r[3] == "ref"), None)
-    if root not in typed and (root, "/Pages") not in edges:
-        root = min((n for n, t in typed.items() if t == "/Catalog"), default=None)
-    if root is None:
-        return []
-    names = children(root, "/Names")
-    starts = {
-        "pages": children(root, "/Pages"),
-        "scripts": [c for n in names for c in children(n, "/JavaScript")],
-        "files": [c for n in names for c in children(n, "/EmbeddedFiles")],
-    }
-    out = []
-    for tree, first in starts.items():
-        seen: set[str] = set()
-        stack = first[::-1]
-        while stack:
-            node = stack.pop()
-            if node not in seen:
-                out.append((node, tree, len(seen), "tree", ""))
-                seen.add(node)
-                stack += children(node, "/Kids")[::-1]
-    return out
-
-
 def file_entries(doc_id: int, data: bytes) -> list[tuple]:
     """All entry rows of one file; the last definition of a number wins."""
     parsed = Parsed(data)
@@ -443,7 +394,6 @@ def file_entries(doc_id: int, data: bytes) -> list[tuple]:
                         shown.update(r[4] for r in parsed.objects[target][0] if r[1] == "[]" and r[3] == "ref")
     ordered = sorted(parsed.objects)
     out = [(doc_id, -1, -1, *r, None) for r in parsed.trailer]
-    out += [(doc_id, -1, -1, *r, None) for r in tree_rows(parsed)]
     for index, number in enumerate(ordered):
         rows, _ = parsed.objects[number]
         out.extend((doc_id, number, index, *r, None) for r in rows)

@@ -17,6 +17,7 @@ from papersieve.functions.arrow import entropy_4dp
 from papersieve.functions.bytescan import magic_type, sha256_hex, text_excerpts
 from papersieve.functions.entries import ENTRY_SCHEMA, explode_files
 from papersieve.functions.text import case_map, safe_text
+from papersieve.operators.trees import labelled, preorder
 from papersieve.session import staged
 
 _ID = ["doc_id", "node"]
@@ -94,15 +95,24 @@ def catalogs(entries: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min_by("node", F.struct("_rank", "node")).alias("node"))
 
 
-def tree_nodes(entries: DataFrame) -> DataFrame:
+def tree_nodes(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of the page, script-name and attachment-name trees with their place.
 
-    The trees were walked when the file was read, so neither their depth nor a
-    cycle costs a job here.
+    Trees start at the catalog and go on along ``/Kids``. Also returns the
+    documents whose trees could not be followed to their end.
     """
-    return entries.where(F.col("kind") == "tree").select(
-        "doc_id", F.col("key").alias("tree"), "node", F.col("pos").alias("place")
-    )
+    named = follow(roots.select(_ID), edges, "/Names")
+    starts = labelled(
+        [
+            ("pages", follow(roots.select(_ID), edges, "/Pages")),
+            ("scripts", follow(named, edges, "/JavaScript")),
+            ("files", follow(named, edges, "/EmbeddedFiles")),
+        ]
+    ).withColumnRenamed("pos", "slot")
+    kids = edges.where(F.col("key") == "/Kids").select("doc_id", "node", F.col("pos").alias("slot"), "child")
+    # A tree's edges are those of its document; which of them it reaches is found out there.
+    trees = starts.select("doc_id", "tree").distinct()
+    return preorder(kids.join(trees, "doc_id"), starts)
 
 
 def page_nodes(trees: DataFrame, entries: DataFrame) -> DataFrame:
@@ -183,6 +193,7 @@ class Walk:
     pages: DataFrame
     attributes: DataFrame
     scripts: DataFrame
+    cut_trees: DataFrame
 
 
 def walk(entries: DataFrame) -> Walk:
@@ -192,7 +203,7 @@ def walk(entries: DataFrame) -> Walk:
     """
     edges = staged(resolved_edges(entries), "key", "doc_id")
     roots = staged(catalogs(entries), "doc_id")
-    trees = tree_nodes(entries)
+    trees, cut = tree_nodes(edges, roots)
     return Walk(
         entries,
         edges,
@@ -201,6 +212,7 @@ def walk(entries: DataFrame) -> Walk:
         staged(page_nodes(trees, entries), "doc_id"),
         staged(action_attributes(entries), "doc_id"),
         staged(script_sources(entries), "doc_id"),
+        cut,
     )
 
 
@@ -634,4 +646,7 @@ def parse_errors(files: DataFrame, w: Walk, features: DataFrame) -> DataFrame:
         F.lit("header").alias("stage"),
         F.lit("missing %PDF- header").alias("message"),
     )
-    return unresolved.unionByName(notes).unionByName(headless)
+    cut = w.cut_trees.select(
+        "doc_id", F.lit("objects").alias("stage"), F.lit("tree walk budget exhausted").alias("message")
+    )
+    return unresolved.unionByName(notes).unionByName(headless).unionByName(cut)
