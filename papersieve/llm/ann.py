@@ -20,8 +20,8 @@ groups of ``QUERY_ROWS``: no task holds more than one block and one group.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or that
 hold null or non-finite components take no part, as queries or candidates; ties
-go to the smaller id; repeated ids count as one candidate per row with the same
-id left out for a query of that id; empty tables give empty results.
+go to the smaller id; repeated rows count once, and an id with several vectors is one
+candidate per vector and leaves out all of them as a query; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -164,7 +164,8 @@ def build(vectors: DataFrame, k: int = K, sample_rows: int = SAMPLE_ROWS) -> Ind
     """
     spark = vectors.sparkSession
     first = Window.partitionBy("v").orderBy("vec_id")
-    ranked = vectors.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
+    # A row that is there twice is one candidate: repeats must not fill the places of others.
+    ranked = vectors.select("vec_id", "v").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
     distinct = written(
         ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors"
     )

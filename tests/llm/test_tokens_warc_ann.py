@@ -273,3 +273,18 @@ def test_neighbour_edges(spark, monkeypatch):
         (0, 1), (0, 2), (0, 220), (220, 0), (220, 1), (220, 2)
     ]
     assert ann.nearest_neighbours(df.limit(0)).collect() == []
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(8)
+    same = [0.25, -0.5, 1.0, 2.0]
+    rows = [(20, same)] * 25 + [(i, same) for i in (3, 41, 60)]
+    rows += [(i, rng.normal(size=4).tolist()) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(list({i: v for i, v in rows}.items()), 20)
+    assert {q: len(x) for q, x in got.items()} == {q: 20 for q in want}
+    assert got[20][:3] == [3, 41, 60] and got[60][:3] == [3, 20, 41]
+    assert all(len(set(x)) == 20 for x in got.values())
