@@ -9,7 +9,8 @@ mean wins, ties go to the alphabetically first language.
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANG``
 per language, drawn by a hash of the id) and keeps the ``VOCABULARY`` most
 frequent entries of each size and language, so its size has a bound whatever the
-corpus; it is the only thing broadcast. Prediction reads every whole text and
+corpus; it is the only thing broadcast. Of more than ``MOST_LANGUAGES`` languages
+the rarest are not learned, and their texts go to the nearest one. Prediction reads every whole text and
 uses nothing but the text.
 
 Edge cases: a null text, or one without a letter, gets ``und`` with score 0; so
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +47,11 @@ HOLD_OUT_PARTS, HELD_OUT_PART = 4, 2
 MEMO_WORDS = 300_000
 # A "word" longer than this is no word of any language: it is scored by n-grams without the memo.
 MEMO_CHARS = 64
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Word characters that are numbers without being decimal digits, such as a half or a Roman eight.
+_NUMBERS = "".join(
+    c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()
+)
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,9 +93,13 @@ class Model:
         return None
 
 
-def training_rows(df: DataFrame, per_language: int = SAMPLE_PER_LANG) -> DataFrame:
+def training_rows(
+    df: DataFrame, per_language: int = SAMPLE_PER_LANG, most_languages: int = MOST_LANGUAGES
+) -> DataFrame:
     """``(lang, text)`` of about ``per_language`` labelled rows of each language.
 
+    Only the ``most_languages`` languages with most rows are learned.
+
     Rows are kept by a hash of their id below a share that each language's own
     count sets, so no text is shuffled or sorted for the draw. Runs one action
     that counts rows per language.
@@ -103,7 +113,7 @@ def training_rows(df: DataFrame, per_language: int = SAMPLE_PER_LANG) -> DataFra
         & ~held_out(F.col("doc_id"))
     )
     counts = (
-        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     )
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.collect()}
     if not share:
@@ -144,10 +154,15 @@ def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANG, vocabulary: int = VOCABULARY) -> Model:
+def fit(
+    df: DataFrame,
+    per_language: int = SAMPLE_PER_LANG,
+    vocabulary: int = VOCABULARY,
+    most_languages: int = MOST_LANGUAGES,
+) -> Model:
     """Learn the model from ``lang`` and ``text``. Collects at most
-    ``MOST_LANGUAGES * 6 * vocabulary`` entries, in practice those of the sample."""
-    counted = training_rows(df, per_language).mapInArrow(
+    ``most_languages * 6 * vocabulary`` entries, in practice those of the sample."""
+    counted = training_rows(df, per_language, most_languages).mapInArrow(
         _entry_counts, "lang string, size int, entry string, n long"
     )
     totals = written(counted.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")), "lang-entries")
@@ -260,12 +275,18 @@ def keep_identified(df: DataFrame, model: Model) -> DataFrame:
     if not model.languages:
         return df.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     shared = _broadcast(df, model)
+    typed = df.withColumn("lang", F.lit("").cast("string"))
+    text_at, lang_at = (
+        next(i for i, c in enumerate(typed.columns) if c.lower() == name) for name in ("text", "lang")
+    )
 
-    @F.pandas_udf("string")
-    def language(texts):
-        import pandas as pd
-
+    def run(batches):
         scorer = Scorer(Model(*shared.value))
-        return pd.Series([scorer.predict(t)[0] for t in texts], dtype=object)
+        for batch in batches:
+            found = [scorer.predict(t)[0] for t in batch.column(text_at).to_pylist()]
+            kept = pa.array([x != UNDETERMINED for x in found], pa.bool_())
+            columns = list(batch.columns)
+            columns[lang_at] = pa.array(found, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
 
-    return df.withColumn("lang", language(F.col("text"))).filter(F.col("lang") != UNDETERMINED)
+    return typed.mapInArrow(run, typed.schema)

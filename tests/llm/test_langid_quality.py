@@ -58,6 +58,64 @@ def test_backoff():
     assert model.score_word("zzz") is None
 
 
+def plain_prediction(model, text):
+    """The method without memo, arrays or batches."""
+    words, word = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(model.languages)
+    for w in words:
+        if w in model.rows[0]:
+            scores = [model.tables[0][model.rows[0][w]]]
+        else:
+            scores = []
+            for size in (5, 4, 3, 2, 1):
+                padded = w if size == 1 else f" {w} "
+                parts = [padded[i : i + size] for i in range(max(0, len(padded) - size + 1))]
+                scores = [model.tables[size][model.rows[size][p]] for p in parts if p in model.rows[size]]
+                if scores:
+                    break
+            scores = scores or [[langid.PENALTY] * len(total)]
+        for k in range(len(total)):
+            total[k] += sum(s[k] for s in scores) / len(scores)
+    mean = [t / len(words) for t in total]
+    best = max(range(len(mean)), key=lambda k: (mean[k], -k))
+    return model.languages[best], 1 / sum(10 ** (m - mean[best]) for m in mean)
+
+
+def test_predictions_match_a_plain_version(spark, fitted):
+    _, model = fitted
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in small.collect()}
+    for r in langid.predict(small, model).collect():
+        lang, score = plain_prediction(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-9)
+
+
+@pytest.mark.parametrize("text", ["\u00bd \u00b2", "\u2167", "\u2460 \u0967 7 _", "!?"])
+def test_numbers_are_no_letters(spark, fitted, text):
+    _, model = fitted
+    df = spark.createDataFrame([(1, text), (2, text + " the")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
+    assert [r.doc_id for r in langid.keep_identified(df, model).collect()] == [2]
+
+
+def test_kept_rows_have_all_columns_and_the_prediction(spark, fitted):
+    df, model = fitted
+    rows = df.withColumns({"Score": F.lit(3), "lang_pred": F.array(F.lit("x"))}).limit(200)
+    want = {r.doc_id: r.lang_pred for r in langid.predict(rows, model).collect()}
+    kept = langid.keep_identified(rows, model)
+    assert kept.columns == rows.columns and "ArrowEvalPython" not in kept._jdf.queryExecution().toString()
+    assert {r.doc_id: r.lang for r in kept.collect()} == {i: x for i, x in want.items() if x != "und"}
+
+
 def test_language_edges(spark, fitted):
     _, model = fitted
     rows = [(1, None), (2, ""), (3, "123 !?"), (4, "漢字"), (5, "the and of " * 40_000), (5, "the and of"), (None, "le la de")]
