@@ -18,9 +18,13 @@ are divided in three, of which at least one is equal, and again, until what
 differs has so few bits that the bucket's size is bounded by their number.
 
 The pipeline's stage (``keep_first``) has another rule: five-word shingles with a
-Jaccard similarity of 0.8 or more. Fingerprints of such pairs differ in ten bits
-and more, too many for segments to select by, so ``similar_texts`` finds the pairs
-by prefixes of their shingle sets and counts the intersections; it misses none.
+Jaccard similarity of 0.8 or more. The fingerprints of such texts differ in some
+15 % of their bits, so ``near_texts`` takes longer ones (``WIDE`` words of 64 bits)
+with a wider budget. No segment of theirs has to be equal, so texts first meet by
+bands of minimal shingles; a chain of segments within budget prunes what met, and
+what is left is verified by the shingles themselves. ``exact=True`` leaves the
+fingerprints out: ``similar_texts`` finds all pairs by prefixes of their shingle
+sets, at the price of shuffling every shingle.
 
 Edge cases: null and blank texts have fingerprint zero and are linked like any
 other; one or two words form one shingle; ties of a vote give a zero bit;
@@ -44,6 +48,15 @@ BITS, BUDGET, SEGMENTS = 64, 2, 5
 BUCKET_ROWS = 4_096
 # The pipeline's stage: words to a shingle and Jaccard similarity of near duplicates.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+# Its fingerprints: 64-bit words, segments of the ring, bits that may differ in all. Texts at
+# the similarity differ in 39 bits of 256 on average (standard deviation 6), unlike ones in 128.
+WIDE, WIDE_SEGMENTS, WIDE_BUDGET = 4, 8, 64
+# So few bits say that a text needs no other partner in a bucket.
+WIDE_CLOSE = 28
+# Two texts with a similarity of 0.8 share a band with a probability of 0.997.
+BANDS, BAND_ROWS = 32, 8
+# Rounds in which every text of a bucket is held against one of them.
+CENTRE_ROUNDS = 2
 # Shingles voted on at once: bounds the memory for a very long text.
 VOTES = 1 << 15
 
@@ -492,16 +505,259 @@ def similar_texts(
     return ids.join(member, "node").select("doc_id", "node", "component_id")
 
 
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors: one per fingerprint word and one per minimum."""
+    draws = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + BANDS * BAND_ROWS, dtype=np.uint64)
+    odd = draws * np.uint64(2) + np.uint64(1)
+    return odd[:WIDE], odd[WIDE:]
+
+
+def _mixed(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A table of hashes, one row per factor, of 64-bit values."""
+    out = values[None, :] * factors[:, None]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(fingerprint words, band keys)`` of a set of shingle hashes.
+
+    Works through ``VOTES`` hashes or fewer at a time, however long the text is.
+    """
+    wide, least = _mixers()
+    votes = np.zeros(WIDE * BITS, dtype=np.int64)
+    minima = np.full(len(least), np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = VOTES // 16
+    for at in range(0, len(values), step):
+        part = values[at : at + step]
+        bits = np.unpackbits(_mixed(part, wide).astype(">u8").view(np.uint8).reshape(WIDE, len(part), 8), axis=2)
+        votes += bits.sum(axis=1, dtype=np.int64).ravel()
+        np.minimum(minima, _mixed(part, least).min(axis=1), out=minima)
+    words = np.packbits(2 * votes > len(values)).view(">u8").astype(np.uint64)
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for column in minima.reshape(BANDS, BAND_ROWS).T:
+        keys = _mixed(keys ^ column, wide[:1])[0]
+    # The band's number goes in, so that equal minima of different bands do not meet.
+    return words, _mixed(keys + np.arange(BANDS, dtype=np.uint64), wide[1:2])[0]
+
+
+_SKETCH = "doc_id long, copy binary, size int, shingles array<int>, bands array<long>, fp array<long>"
+
+
+def sketches(df: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """Per row of ``doc_id, text`` the digest of the text, its shingles in 32 bits and its sketch."""
+    import hashlib
+
+    def lists(rows: list[np.ndarray], kind) -> pa.ListArray:
+        offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+        flat = np.concatenate(rows) if rows else np.empty(0, kind)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(kind)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                copies, sets, words, bands = [], [], [], []
+                for value in part.column(1):
+                    text = value.as_py() or ""
+                    copies.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
+                    values = text_shingles(text, shingle)
+                    fp, keys = sketch(values)
+                    sets.append(np.unique(values.astype(np.uint32)))
+                    words.append(fp)
+                    bands.append(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array(copies, pa.binary()),
+                        pa.array([len(x) for x in sets], pa.int32()),
+                        lists(sets, np.int32), lists(bands, np.int64), lists(words, np.int64),
+                    ],
+                    names=["doc_id", "copy", "size", "shingles", "bands", "fp"],
+                )
+
+    return df.mapInArrow(run, _SKETCH)
+
+
+def ring_differences(a: Column, b: Column) -> list[Column]:
+    """Differing bits of two fingerprints, segment by segment around the ring."""
+    width = WIDE * BITS // WIDE_SEGMENTS
+    out = []
+    for k in range(WIDE_SEGMENTS):
+        word, low = divmod(k * width, BITS)
+        mask = _signed(((1 << width) - 1) << low)
+        diff = F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word)))
+        out.append(F.bit_count(diff.bitwiseAND(F.lit(mask))))
+    return out
+
+
+def ring_passes(segment: Column, budget: int = WIDE_BUDGET) -> Column:
+    """Whether some chain around the ring keeps its proportional budget at every length.
+
+    ``segment`` is the array of the segments' differences. The chain of all
+    segments is the full Hamming check.
+    """
+    count = WIDE_SEGMENTS
+
+    def step(state: Column, k: Column) -> Column:
+        total = state["total"] + F.get(segment, F.pmod(state["start"] + k, F.lit(count)))
+        kept = state["ok"] & (total * count <= (k + 1) * budget)
+        return F.struct(state["start"].alias("start"), total.alias("total"), kept.alias("ok"))
+
+    def chain(start: Column) -> Column:
+        begin = F.struct(start.alias("start"), F.lit(0).alias("total"), F.lit(True).alias("ok"))
+        return F.aggregate(F.array(*[F.lit(k) for k in range(count)]), begin, step)["ok"]
+
+    whole = F.aggregate(segment, F.lit(0), lambda x, y: x + y)
+    return (whole <= budget) & F.exists(F.array(*[F.lit(k) for k in range(count)]), chain)
+
+
+def _ring_filtered(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``a, b, close`` of the pairs within budget."""
+
+    def side(name: str) -> DataFrame:
+        return prints.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
+
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .withColumn("segment", F.array(*ring_differences(F.col("fp_a"), F.col("fp_b"))))
+        .filter(ring_passes(F.col("segment")))
+        .select("a", "b", (F.aggregate("segment", F.lit(0), lambda x, y: x + y) <= WIDE_CLOSE).alias("close"))
+    )
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one text."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return rows.join(many, "key", "left_semi")
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of texts that met in a band and passed the ring.
+
+    In each round every text of a bucket is held against one text of it, the same
+    for all; it stays for the next round unless that one was close. What then is
+    left of a bucket is compared in one pass over its fingerprints, in which every
+    text is held against the earlier ones that are in no one's budget.
+    """
+    prints = nodes.select("node", "fp")
+    rows = written(
+        _crowded(nodes.select("node", F.explode("bands").alias("key")).distinct()), "bands"
+    )
+    passed = []
+    for turn in range(CENTRE_ROUNDS):
+        centre = rows.groupBy("key").agg(
+            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")
+        )
+        held = rows.join(centre, "key").filter(F.col("node") != F.col("centre"))
+        pairs = held.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+        within = written(_ring_filtered(pairs, prints), "within-budget")
+        passed.append(within)
+        close = within.filter("close").select(F.col("a").alias("node"), F.col("b").alias("centre"))
+        rows = written(
+            _crowded(held.join(close, ["node", "centre"], "left_anti").select("node", "key")), "bands"
+        )
+    passed.append(_leaders(rows.join(prints, "node")))
+    out = passed[0].select("a", "b")
+    for more in passed[1:]:
+        out = out.unionByName(more.select("a", "b"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``a, b``: texts of a bucket and the earlier ones in budget that lead it.
+
+    A text within no leader's budget becomes one, so a bucket of like texts has few.
+    """
+    width = WIDE * BITS // WIDE_SEGMENTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, leaders, ids = None, np.empty((0, WIDE), np.uint64), []
+        used = 0
+        for batch in batches:
+            left, right = [], []
+            fps = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+            for key, node, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), fps):
+                if key != held_key:
+                    held_key, leaders, ids, used = key, np.empty((4, WIDE), np.uint64), [], 0
+                segments = np.bitwise_count((leaders[:used] ^ fp).view(f"u{width // 8}"))
+                near = np.flatnonzero(segments.sum(axis=1, dtype=np.int64) <= WIDE_BUDGET)
+                near = [i for i in near.tolist() if wide_chain(segments[i])]
+                for i in near:
+                    left.append(node)
+                    right.append(ids[i])
+                if not near:
+                    if used == len(leaders):
+                        leaders = np.concatenate([leaders, np.empty_like(leaders)])
+                    leaders[used] = fp
+                    used += 1
+                    ids.append(node)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
+            )
+
+    return (
+        rows.select("key", "node", "fp")
+        .repartition("key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def wide_chain(segments: np.ndarray, budget: int = WIDE_BUDGET) -> bool:
+    """Whether some chain of segments keeps its proportional budget at every length."""
+    count = len(segments)
+    limits = np.arange(1, count + 1) * budget / count
+    ring = np.concatenate([segments, segments]).astype(np.int64)
+    return any((np.cumsum(ring[s : s + count]) <= limits).all() for s in range(count))
+
+
+def near_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY,
+) -> DataFrame:
+    """``doc_id, component_id`` of the rows with an id: components of texts that met, whose
+    fingerprints pass the ring and whose shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Rows of one id count as one. Texts are read once and never shuffled; copies of a text
+    are one node, named by its smallest id.
+    """
+    if not 0.5 <= similarity <= 1 or shingle < 1:
+        raise ValueError("bands and budget are made for similarities from 0.5 on, shingle must be positive")
+    rows = df.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+    ).filter("doc_id IS NOT NULL")
+    made = written(sketches(rows, shingle), "sketches")
+    first = written(made.groupBy("copy").agg(F.min("doc_id").alias("node")), "distinct-texts")
+    named = written(made.select("doc_id", "copy").join(first, "copy").select("doc_id", "node").distinct(), "copies")
+    nodes = made.join(first, (made["copy"] == first["copy"]) & (made["doc_id"] == first["node"]))
+    pairs = written(candidate_pairs(nodes.select("node", "bands", "fp")), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = nodes.select("node", "size", F.col("shingles").alias("shared")).join(wanted, "node", "left_semi")
+    # An id with several texts is one node; its largest set stands for it.
+    sets = written(sets.groupBy("node").agg(F.max_by(F.struct("size", "shared"), "size").alias("s")).select("node", "s.*"), "sets")
+    # An id with several texts links their nodes.
+    least = written(named.groupBy("doc_id").agg(F.min("node").alias("node")), "least-nodes")
+    split = named.join(least.withColumnRenamed("node", "a"), "doc_id").filter("node <> a")
+    links = _verified(pairs, sets, similarity).unionByName(split.select("a", F.col("node").alias("b")))
+    roots = components(links)
+    return least.join(roots, "node", "left").select(
+        "doc_id", F.coalesce("root", "node").alias("component_id")
+    )
+
+
 def keep_first(
-    df: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY
+    df: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, exact: bool = False
 ) -> DataFrame:
-    """One row of each component of ``similar_texts``: that of its smallest ``doc_id``, with
-    the columns of ``df``.
+    """One row of each component of ``near_texts``: that of its smallest ``doc_id``, with
+    the columns of ``df``. ``exact`` takes the components of ``similar_texts`` instead.
 
     Rows that repeat an id with the same text count as one. Rows without an id
     have no smallest one and all stay.
     """
-    found = similar_texts(df, shingle=shingle, similarity=similarity)
+    find = similar_texts if exact else near_texts
+    found = find(df, shingle=shingle, similarity=similarity)
     first = (
         found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -114,7 +115,8 @@ def test_keep_first(spark):
     assert kept == sorted([rows[0], rows[3], rows[5], rows[6]], key=repr)
 
 
-def test_keep_first_drops_planted_near_copies(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_keep_first_drops_planted_near_copies(spark, exact):
     """Jaccard 0.8 or more over five-word shingles goes, anything below stays."""
     draw = random.Random(5)
     common = [f"c{i}" for i in range(12)]
@@ -142,4 +144,47 @@ def test_keep_first_drops_planted_near_copies(spark):
     assert len(want) < len(texts) - 12
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
+    assert sorted(r.doc_id for r in simhash.keep_first(df, exact=exact).collect()) == want
+
+
+def test_recall_against_all_pairs(spark):
+    """At least nine in ten similar pairs end in one component, with nothing else in it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()}
+    joined = [i for i, c in exact.items() if c != i]
+    assert set(found) == set(exact) and len(joined) > 50
+    assert sum(found[i] == exact[i] for i in joined) >= 0.97 * len(joined)
+    # No component of the fingerprints reaches beyond one of the exact pairs.
+    assert all(exact[found[i]] == exact[i] for i in found)
+
+
+def test_ring_in_columns_and_in_numpy_agree(spark):
+    draw = np.random.default_rng(6)
+    a = draw.integers(0, 1 << 64, (400, simhash.WIDE), dtype=np.uint64)
+    flips = np.packbits(draw.random((400, 256)) < draw.random((400, 1)) * 0.45, axis=1).view(np.uint64)
+    b = a ^ flips
+    rows = [(i, x, y) for i, (x, y) in enumerate(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()))]
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").withColumn(
+        "s", F.array(*simhash.ring_differences(F.col("a"), F.col("b")))
+    )
+    got = {r.i: (list(r.s), r.ok) for r in df.select("i", "s", simhash.ring_passes(F.col("s")).alias("ok")).collect()}
+    passed = 0
+    for i in range(400):
+        segments = np.bitwise_count((a[i] ^ b[i]).view("u4")).astype(int)
+        want = bool(segments.sum() <= simhash.WIDE_BUDGET and simhash.wide_chain(segments))
+        assert got[i] == (segments.tolist(), want)
+        # The principle: whoever is within budget in all has such a chain.
+        assert want == (segments.sum() <= simhash.WIDE_BUDGET)
+        passed += want
+    assert 50 < passed < 350
+
+
+def test_near_texts_edges(spark):
+    rows = [(5, "one two"), (4, "one two"), (None, "one two"), (7, None), (6, ""), (5, "x " * 50_000), (3, "x " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(df).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 6: 6, 7: 6}
+    assert simhash.near_texts(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        simhash.near_texts(df, similarity=0.3)
