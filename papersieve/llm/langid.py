@@ -51,7 +51,8 @@ MEMO_CHARS = 64
 _NUMBERS = "".join(
     c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()
 )
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_ODD = re.compile(f"[{_NUMBERS}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,6 +63,9 @@ def held_out(doc_id: Column) -> Column:
 
 def words_in(text: str) -> list[str]:
     """Maximal runs of letters, lower-cased."""
+    # A set of its own is looked up at once; as part of the other it would be walked for each letter.
+    if not text.isascii() and _ODD.search(text):
+        text = _ODD.sub(" ", text)
     return _LETTERS.findall(text.lower())
 
 
