@@ -51,7 +51,10 @@ MEMO_CHARS = 64
 _NUMBERS = "".join(
     c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()
 )
-_ODD = re.compile(f"[{_NUMBERS}]")
+# Sets within the first plane are looked up in a map, further planes range by range.
+_ODD = re.compile(f"[{''.join(c for c in _NUMBERS if ord(c) <= 0xFFFF)}]")
+_FAR_ODD = re.compile(f"[{''.join(c for c in _NUMBERS if ord(c) > 0xFFFF)}]")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -63,9 +66,11 @@ def held_out(doc_id: Column) -> Column:
 
 def words_in(text: str) -> list[str]:
     """Maximal runs of letters, lower-cased."""
-    # A set of its own is looked up at once; as part of the other it would be walked for each letter.
-    if not text.isascii() and _ODD.search(text):
-        text = _ODD.sub(" ", text)
+    if not text.isascii():
+        if _ODD.search(text):
+            text = _ODD.sub(" ", text)
+        if _FAR.search(text):
+            text = _FAR_ODD.sub(" ", text)
     return _LETTERS.findall(text.lower())
 
 
