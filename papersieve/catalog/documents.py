@@ -10,6 +10,7 @@ from papersieve.catalog.registry import query
 from papersieve.catalog.fragments import R3_SQL
 from papersieve.functions.text import latin1
 from papersieve.operators import objects as og
+from papersieve.operators import patterns as pt
 from papersieve.operators import rules as rl
 from papersieve.operators import scoring as sc
 from papersieve.operators import signatures as sg
@@ -348,10 +349,40 @@ _USER_RULE = sg.Signature(
     f"SELECT doc_id, 'User_Marker' AS rule, 14 AS rules_loaded FROM documents WHERE {X.VALID} AND doc_id % 12 = 6",
 )
 def _(spark, sf):
-    hits = sg.signature_hits(I.pdf_files(spark, sf), sg.rule_set([_USER_RULE]))
+    hits = pt.all_hits(I.pdf_files(spark, sf), sg.rule_set([_USER_RULE]))
     return hits.where("namespace = 'user'").select("doc_id", "rule", "rules_loaded")
 
 
+def many_rules(count: int = 10_000) -> tuple[sg.Signature, ...]:
+    """One rule per title, its pattern plain, in another case or a regular expression."""
+    kinds = (
+        lambda i: sg.Pattern("title", f"/Title (Doc {i})"),
+        lambda i: sg.Pattern("title", f"/TITLE (doc {i})", nocase=True),
+        lambda i: sg.Pattern("title", rf"/Title\s\(Doc {i}\)", "regex"),
+    )
+    kind = sg.Pattern("launch", "/Launch")
+    return tuple(
+        sg.Signature(
+            f"Title_{i}", "low", "custom", (kinds[i % 3](i), kind, sg.Pattern("mz", "4D5A", "hex")),
+            ((1, ("title",)), (1, ("launch", "mz"))), namespace="user",
+        )
+        for i in range(count)
+    )
+
+
+@query(
+    "Y16_many_user_rules",
+    f"""SELECT doc_id, 13 + doc_id AS sig_ord, 'Title_' || doc_id AS rule,
+      CASE WHEN doc_id % 4 = 1 THEN '$title,$launch,$mz' ELSE '$title,$mz' END AS strings, 10013 AS rules_loaded
+    FROM documents WHERE {X.VALID} AND doc_id < 10000""",
+)
+def _(spark, sf):
+    hits = pt.all_hits(I.pdf_files(spark, sf), sg.rule_set(many_rules()))
+    return hits.where("namespace = 'user'").select(
+        "doc_id", "sig_ord", "rule", F.array_join("strings", ",").alias("strings"), "rules_loaded"
+    )
+
+
 @query("Y17_rules_loaded", f"WITH {X.FILE_INDICATORS} SELECT 13 AS rules_loaded, count(*) AS hits FROM ind WHERE rule_ord = 23")
 def _(spark, sf):
     hits = sg.signature_hits(I.pdf_files(spark, sf), sg.rule_set())

@@ -110,15 +110,15 @@ ind AS (
     {{'rule_ord': 20, 'ord': 0, 'code': 'PDF_PARSE_FAILURE', 'severity': 'medium', 'weight': 40, 'fires': broken}},
     {{'rule_ord': 21, 'ord': 0, 'code': 'PDF_JBIG2_FILTER', 'severity': 'medium', 'weight': 30, 'fires': ok AND doc_id % 15 = 8}},
     {{'rule_ord': 22, 'ord': 0, 'code': 'PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT', 'severity': 'high', 'weight': 50, 'fires': ok AND doc_id % 3 <> 0 AND chars < 200}},
-    {{'rule_ord': 23, 'ord': 0, 'code': 'SIG_HEADER_ANOMALY', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 13 = 5 AND doc_id % 29 <> 3}},
-    {{'rule_ord': 23, 'ord': 1, 'code': 'SIG_OPENACTION_JAVASCRIPT', 'severity': 'high', 'weight': 60, 'fires': ok AND opens}},
-    {{'rule_ord': 23, 'ord': 2, 'code': 'SIG_LAUNCH_ACTION', 'severity': 'critical', 'weight': 85, 'fires': ok AND doc_id % 4 = 1}},
-    {{'rule_ord': 23, 'ord': 5, 'code': 'SIG_JAVASCRIPT_OBFUSCATION', 'severity': 'high', 'weight': 60, 'fires': ok AND doc_id % 10 = 3}},
-    {{'rule_ord': 23, 'ord': 8, 'code': 'SIG_JBIG2_DECODER', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 15 = 8}},
-    {{'rule_ord': 23, 'ord': 9, 'code': 'SIG_NAME_OBFUSCATION', 'severity': 'medium', 'weight': 35, 'fires': ok AND (doc_id % 4 = 0 OR (doc_id % 6 = 2 AND doc_id % 9 >= 5))}},
-    {{'rule_ord': 23, 'ord': 10, 'code': 'SIG_XFA_FORM', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 9 = 3}},
-    {{'rule_ord': 23, 'ord': 11, 'code': 'SIG_CREDENTIAL_PHISH_LURE', 'severity': 'low', 'weight': 20, 'fires': ok AND doc_id % 17 = 2}},
-    {{'rule_ord': 23, 'ord': 12, 'code': 'SIG_REMOTE_TEMPLATE_REFERENCE', 'severity': 'high', 'weight': 60, 'fires': ok AND doc_id % 4 = 2}}
+    {{'rule_ord': 23, 'ord': 0, 'code': 'YARA_HEADER_ANOMALY', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 13 = 5 AND doc_id % 29 <> 3}},
+    {{'rule_ord': 23, 'ord': 1, 'code': 'YARA_OPENACTION_JAVASCRIPT', 'severity': 'high', 'weight': 60, 'fires': ok AND opens}},
+    {{'rule_ord': 23, 'ord': 2, 'code': 'YARA_LAUNCH_ACTION', 'severity': 'critical', 'weight': 85, 'fires': ok AND doc_id % 4 = 1}},
+    {{'rule_ord': 23, 'ord': 5, 'code': 'YARA_JAVASCRIPT_OBFUSCATION', 'severity': 'high', 'weight': 60, 'fires': ok AND doc_id % 10 = 3}},
+    {{'rule_ord': 23, 'ord': 8, 'code': 'YARA_JBIG2_DECODER', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 15 = 8}},
+    {{'rule_ord': 23, 'ord': 9, 'code': 'YARA_NAME_OBFUSCATION', 'severity': 'medium', 'weight': 35, 'fires': ok AND (doc_id % 4 = 0 OR (doc_id % 6 = 2 AND doc_id % 9 >= 5))}},
+    {{'rule_ord': 23, 'ord': 10, 'code': 'YARA_XFA_FORM', 'severity': 'medium', 'weight': 35, 'fires': ok AND doc_id % 9 = 3}},
+    {{'rule_ord': 23, 'ord': 11, 'code': 'YARA_CREDENTIAL_PHISH_LURE', 'severity': 'low', 'weight': 20, 'fires': ok AND doc_id % 17 = 2}},
+    {{'rule_ord': 23, 'ord': 12, 'code': 'YARA_REMOTE_TEMPLATE_REFERENCE', 'severity': 'high', 'weight': 60, 'fires': ok AND doc_id % 4 = 2}}
   ]) AS r FROM facts) WHERE r.fires)"""
 
 

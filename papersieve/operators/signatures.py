@@ -333,7 +333,7 @@ def hit_indicators(hits: DataFrame, rule_ord: int) -> DataFrame:
         "doc_id",
         F.lit(rule_ord).alias("rule_ord"),
         F.col("sig_ord").alias("ord"),
-        F.concat(F.lit("SIG_"), F.upper("rule")).alias("code"),
+        F.concat(F.lit("YARA_"), F.upper("rule")).alias("code"),
         F.concat(F.lit("Signature matched: "), "rule").alias("title"),
         known_severity(F.col("severity")).alias("severity"),
         severity_weight(F.col("severity")).alias("weight"),

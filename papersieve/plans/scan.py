@@ -12,9 +12,10 @@ from papersieve import constants as K
 from papersieve.functions import links, scripts as js
 from papersieve.functions.bytescan import byte_features
 from papersieve.operators import objects as og
+from papersieve.operators.patterns import indexed_hits, split_rules
 from papersieve.operators.rules import Evidence, Rule, indicators
 from papersieve.operators.scoring import active_documents, outcomes
-from papersieve.operators.signatures import BUNDLED, Signature, explode_hits, hit_array
+from papersieve.operators.signatures import BUNDLED, Signature, explode_hits, hit_array, require_rules
 from papersieve.session import staged
 
 
@@ -134,6 +135,8 @@ def scan_files(
 ) -> Scan:
     """Scan ``files(doc_id, content)``.
 
+    The leading bundled rules of ``signatures`` are tested in the byte pass; any
+    others, up to thousands, by an index of their patterns and one more narrow pass.
     ``script_chars`` bounds the script characters taken from a document; each
     document that it bites has a ``parse_errors`` row. By default all are taken.
 
@@ -143,7 +146,13 @@ def scan_files(
     (byte features with URL sweep and signatures; object entries) and never
     shuffled.
     """
-    read = staged(read_bytes(files, signatures), "doc_id")
+    inline, more = split_rules(require_rules(signatures))
+    # Without a rule of its own the byte pass has no array of outcomes to explode.
+    read = staged(read_bytes(files, inline or BUNDLED), "doc_id")
+    hits = explode_hits(read, inline or BUNDLED).withColumn("rules_loaded", F.lit(len(signatures)))
+    if more:
+        own = indexed_hits(files, more, len(inline), len(signatures))
+        hits = staged(hits.unionByName(own) if inline else own, "doc_id")
     features = read.drop("swept", "hits")
     entries = og.stage_entries(files)
     w = og.walk(entries)
@@ -157,7 +166,7 @@ def scan_files(
         actions=actions,
         attachments=staged(og.attachments(w), "doc_id"),
         urls=staged(collect_urls(read, w, scripts), "doc_id"),
-        hits=explode_hits(read, signatures),
+        hits=hits,
         errors=errors if bitten is None else errors.unionByName(bitten),
     )
     found = staged(indicators(evidence, rules), "doc_id")

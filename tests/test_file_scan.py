@@ -32,7 +32,7 @@ def codes(scanned):
 
 
 def static_codes(codes, name):
-    return {c: w for c, w in codes[name].items() if not c.startswith("SIG_")}
+    return {c: w for c, w in codes[name].items() if not c.startswith("YARA_")}
 
 
 def test_benign_is_clean(outcome, codes):
@@ -72,7 +72,7 @@ def test_launch(outcome, codes):
 def test_escaped_names_are_resolved(codes):
     assert "PDF_NAME_OBFUSCATION" in codes["hex_names"]
     assert "PDF_JS_AUTO_EXEC" in codes["hex_names"]
-    assert "SIG_NAME_OBFUSCATION" in codes["hex_names"]
+    assert "YARA_NAME_OBFUSCATION" in codes["hex_names"]
 
 
 def test_interactive_form_stays_below_quarantine_without_signatures(codes):
@@ -88,7 +88,7 @@ def test_interactive_form_stays_below_quarantine_without_signatures(codes):
 
 def test_phishing_link(scanned, codes):
     assert codes["lure"]["PDF_RISKY_URL"] == 25
-    assert "SIG_CREDENTIAL_PHISH_LURE" in codes["lure"]
+    assert "YARA_CREDENTIAL_PHISH_LURE" in codes["lure"]
     urls = scanned.evidence.urls.where(f"doc_id = {NAMES.index('lure')}").collect()
     assert [(u.url, u.is_ip_literal, u.source) for u in urls] == [
         ("http://192.0.2.44/login", True, "action:/URI")
@@ -97,7 +97,7 @@ def test_phishing_link(scanned, codes):
 
 def test_embedded_executable(scanned, codes):
     assert codes["carrier"]["PDF_EMBEDDED_EXECUTABLE"] == 90
-    assert "SIG_EMBEDDED_EXECUTABLE" in codes["carrier"]
+    assert "YARA_EMBEDDED_EXECUTABLE" in codes["carrier"]
     row = scanned.evidence.attachments.where(
         f"doc_id = {NAMES.index('carrier')}"
     ).first()
@@ -109,7 +109,7 @@ def test_trailing_data_and_shifted_header(scanned, codes):
     assert features["tail_data"].eof_trailing_bytes > 4000
     assert "PDF_DATA_AFTER_EOF" in codes["tail_data"]
     assert features["late_header"].header_offset == 80
-    assert {"PDF_HEADER_OFFSET", "SIG_HEADER_ANOMALY"} <= set(codes["late_header"])
+    assert {"PDF_HEADER_OFFSET", "YARA_HEADER_ANOMALY"} <= set(codes["late_header"])
 
 
 def test_corrupt_is_reported_not_dropped(outcome, codes):
