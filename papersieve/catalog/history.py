@@ -190,6 +190,27 @@ def _(spark, sf):
     return hs.lifecycle_status(I.derived(spark, sf, _LIFE, "events")).select("scan_id", "status")
 
 
+@query(
+    "H17_time_in_state",
+    f"""WITH l AS ({_LIFE}), n AS (SELECT *, lead(ts) OVER (PARTITION BY scan_id ORDER BY ts, event_id) AS left_at FROM l)
+    SELECT scan_id, status, count(*) AS stays, sum(epoch_us(left_at) - epoch_us(ts))::BIGINT AS micros
+    FROM n WHERE left_at IS NOT NULL GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    found = hs.seconds_in_state(I.derived(spark, sf, _LIFE, "events"))
+    return found.select("scan_id", "status", "stays", F.round(F.col("seconds") * 1e6).cast("bigint").alias("micros"))
+
+
+@query(
+    "H8_prune_half",
+    f"""{S}, c AS (SELECT created_at FROM scans ORDER BY created_at DESC LIMIT 1 OFFSET (SELECT count(*) // 2 - 1 FROM scans))
+    SELECT scan_id FROM scans WHERE NOT (created_at < (SELECT created_at FROM c) AND NOT quarantined)""",
+)
+def _(spark, sf):
+    rows = I.scans(spark, sf)
+    return hs.pruned(rows, rows.count() // 2).select("scan_id")
+
+
 @query("H18_quarantine", f"{S}, rev AS ({_REVIEWS}), {_REVIEWED} SELECT scan_id, coalesce(rv, verdict) = 'malicious' AND rv IS NULL AS quarantine FROM scans LEFT JOIN r USING (scan_id)")
 def _(spark, sf):
     updated, _ = hs.apply_reviews(I.scans(spark, sf), reviews(spark, sf))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from papersieve.catalog import fragments as X
 from papersieve.catalog.registry import query
-from papersieve.operators.scoring import verdict_of
+from papersieve.operators.scoring import verdict_of, worst_verdict
 from papersieve.plans import inputs as I
 from papersieve.session import checkpoint_dir
 from papersieve.sources.store import ResultStore
+from papersieve.streaming.counters import keep_updates
+from papersieve.streaming import counters as wc
 from papersieve.streaming import ingest as ig
 from papersieve.streaming import settle as st
 from papersieve.streaming import windows as wn
@@ -24,10 +26,14 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def run_once(streaming: DataFrame) -> DataFrame:
-    """Drain an append-mode stream into a table and read the table."""
+def stream_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_once(streaming: DataFrame, root: str | None = None) -> DataFrame:
+    """Drain an append-mode stream into a table and read the table; its log is ``root``/log."""
     spark = streaming.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = root or stream_root(spark)
     writer = (
         streaming.writeStream.format("parquet").option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/log").trigger(availableNow=True).outputMode("append")
@@ -36,21 +42,43 @@ def run_once(streaming: DataFrame) -> DataFrame:
     return spark.read.schema(streaming.schema).parquet(f"{root}/out")
 
 
-def run_updates(streaming: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drain an aggregating stream; the last batch's result is the answer."""
+def run_updates(streaming: DataFrame, keys: list[str]) -> DataFrame:
+    """Drain an aggregating stream in update mode; the latest row of each key is the answer."""
     spark = streaming.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = stream_root(spark)
+    (
+        streaming.writeStream.foreachBatch(keep_updates(f"{root}/store", "updates"))
+        .option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
+        .outputMode("update").start().awaitTermination()
+    )
+    return ResultStore(spark, f"{root}/store").current("updates", keys).drop("batch")
+
+
+# Events arrive in five slices by day, one file and micro-batch each; a few come two slices late.
+_SLICE = "least(4, greatest(0, (day(ts) - 1) DIV 6) + CASE WHEN event_id % 50 = 7 THEN 2 ELSE 0 END)"
+SLICES = 5
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
+def sliced_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of ``SLICES`` micro-batches."""
+    rows = I.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{stream_root(spark)}/slices"
+    for k in range(SLICES):
+        # One file after the other: the stream takes them in the order they were written.
+        rows.where(f"{_SLICE} = {k}").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def counted(spark: SparkSession, sf: str, rows: DataFrame, **window: str) -> wc.WindowCounters:
+    """Drain a stream through window counters."""
+    root = stream_root(spark)
+    sums = tuple(c for c in rows.columns if c != "ts")
+    counters = wc.WindowCounters(f"{root}/store", sums, **window)
     (
-        streaming.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/log")
-        .trigger(availableNow=True).outputMode(mode).start().awaitTermination()
+        rows.writeStream.foreachBatch(counters).option("checkpointLocation", f"{root}/log")
+        .trigger(availableNow=True).start().awaitTermination()
     )
-    rows = spark.read.parquet(f"{root}/out")
-    last = rows.agg(F.max("batch")).scalar()
-    return rows.where(F.col("batch") == last).drop("batch")
+    return counters
 
 
 # Listing rows: names from event types, sizes that settle or keep growing.
@@ -205,7 +233,7 @@ def _(spark, sf):
 @query("W8_queue_depth_stream", f"SELECT sum({_DELTA})::BIGINT AS depth, sum({_DELTA}) <= 0 AS idle FROM events")
 def _(spark, sf):
     events = stream_of(spark, sf, "events").withColumn("kind", F.expr(_KIND))
-    return run_updates(wn.queue_depth(events))
+    return run_updates(wn.queue_depth(events).withColumn("run", F.lit(1)), ["run"]).drop("run")
 
 
 # One scan per event; two thirds of them finish at once, the others never do.
@@ -271,12 +299,84 @@ def _(spark, sf):
     _SETTLED.replace("SELECT '/in/'", ", s AS (SELECT '/in/'") + ") SELECT (SELECT count(*) FROM s) AS known_files, (SELECT count(*) FROM f) - (SELECT count(*) FROM s) AS settling",
 )
 def _(spark, sf):
-    seen = listing(I.table(spark, sf, "events")).select("path").distinct()
-    done = run_once(st.settled_files(listing(stream_of(spark, sf, "events")))).select("path").withColumn("done", F.lit(True))
-    states = seen.join(done, "path", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    return st.watch_status(states)
+    root = stream_root(spark)
+    run_once(st.settled_files(listing(stream_of(spark, sf, "events"))), root)
+    return st.watch_status(st.watched(spark, f"{root}/log", 0))
+
+
+@query(
+    "W12_watched_files",
+    _SETTLED.replace("SELECT '/in/'", ", s AS (SELECT grp, '/in/'") + """)
+SELECT '/in/' || f.grp || '.pdf' AS path, s.grp IS NOT NULL AS done, (f.grp * 1000)::BIGINT AS first_at,
+  (f.grp * 1000 + (f.looks - 1) * 15)::BIGINT AS last_at FROM f LEFT JOIN s ON s.grp = f.grp""",
+)
+def _(spark, sf):
+    root = stream_root(spark)
+    run_once(st.settled_files(listing(stream_of(spark, sf, "events"))), root)
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return st.watched(spark, f"{root}/log", 0).select(
+        "path", "done", (F.unix_timestamp("first_seen") - start).alias("first_at"),
+        (F.unix_timestamp("last_seen") - start).alias("last_at"),
+    )
 
 
 @query("W13_run_verdict", "SELECT CASE max(CASE WHEN event_id % 101 >= 80 THEN 4 WHEN event_id % 101 >= 50 THEN 3 WHEN event_id % 101 >= 20 THEN 1 ELSE 0 END) WHEN 4 THEN 'malicious' WHEN 3 THEN 'suspicious' WHEN 1 THEN 'low_risk' ELSE 'clean' END AS worst FROM events")
 def _(spark, sf):
-    return run_updates(wn.run_verdict(scan_events(stream_of(spark, sf, "events"))))
+    found = wn.run_verdict(scan_events(sliced_stream(spark, sf)))
+    return run_updates(found.withColumn("run", F.lit(1)), ["run"]).drop("run")
+
+
+_VERDICT_RANK = "CASE WHEN event_id % 101 >= 80 THEN 4 WHEN event_id % 101 >= 50 THEN 3 WHEN event_id % 101 >= 20 THEN 1 ELSE 0 END"
+
+
+@query(
+    "W13_verdict_by_user",
+    f"SELECT user_id, count(*) AS scanned, CASE max({_VERDICT_RANK}) WHEN 4 THEN 'malicious' WHEN 3 THEN 'suspicious' WHEN 1 THEN 'low_risk' ELSE 'clean' END AS worst FROM events GROUP BY user_id",
+)
+def _(spark, sf):
+    rows = sliced_stream(spark, sf)
+    verdict = verdict_of(F.expr("CAST(event_id % 101 AS INT)"))
+    return run_updates(
+        rows.groupBy("user_id").agg(F.count("*").alias("scanned"), worst_verdict(verdict).alias("worst")), ["user_id"]
+    )
+
+
+# Each row's micro-batch, and what the batches before it had seen.
+_ARRIVED = f"""WITH e AS (SELECT *, {_SLICE.replace(' DIV ', ' // ')} AS slice FROM events),
+m AS (SELECT slice, max(ts) AS newest FROM e GROUP BY 1),
+k AS (SELECT a.slice, max(b.newest) - INTERVAL 1 HOUR AS mark FROM m a LEFT JOIN m b ON b.slice < a.slice GROUP BY 1),
+r AS (SELECT e.*, k.mark FROM e JOIN k USING (slice))"""
+
+
+@query(
+    "W10_late_rows",
+    f"""{_ARRIVED} SELECT slice AS batch, count(*) AS n_rows,
+      count(*) FILTER (WHERE date_trunc('hour', ts) + INTERVAL 24 HOUR <= mark) AS late FROM r GROUP BY slice""",
+)
+def _(spark, sf):
+    rows = sliced_stream(spark, sf).select("ts", F.lit(1).alias("scanned"))
+    return counted(spark, sf, rows).late_rows(spark)
+
+
+@query(
+    "W10_on_time_counters",
+    f"""{_ARRIVED}, w AS (SELECT event_id, mark, unnest(range(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS s FROM r)
+    SELECT epoch(s)::BIGINT AS window_start, count(*) AS scanned, count(*) FILTER (WHERE event_id % 101 >= 80) AS malicious
+    FROM w WHERE mark IS NULL OR s + INTERVAL 24 HOUR > mark GROUP BY 1""",
+)
+def _(spark, sf):
+    rows = sliced_stream(spark, sf).select(
+        "ts", F.lit(1).alias("scanned"), F.expr("CASE WHEN event_id % 101 >= 80 THEN 1 ELSE 0 END").alias("malicious")
+    )
+    return shown(counted(spark, sf, rows).totals(spark))
+
+
+@query(
+    "W11_on_time_tokens",
+    f"""{_ARRIVED} SELECT CAST(ts AS DATE)::STRING AS day, sum(floor(value * 100))::BIGINT AS tokens FROM r
+    WHERE floor(value * 100) > 0 AND (mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark) GROUP BY 1""",
+)
+def _(spark, sf):
+    rows = token_events(sliced_stream(spark, sf)).where("tokens > 0")
+    totals = counted(spark, sf, rows, length="1 day", slide="1 day").totals(spark)
+    return totals.select(F.to_date("window_start").cast("string").alias("day"), "tokens")

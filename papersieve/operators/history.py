@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papersieve import constants as K
 from papersieve.functions.text import rank_of
+from papersieve.operators.ordered import following
 
 
 def recent(
@@ -81,24 +82,44 @@ def counts_by(scans: DataFrame, column: str) -> DataFrame:
     return scans.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def prune_cutoff(scans: DataFrame, keep: int) -> DataFrame:
-    """One row with the creation time of the ``keep``-th newest scan.
+CUTOFF_BUCKETS = 4_096
+# So few rows are sorted; more are split into finer buckets.
+CUTOFF_ROWS = 100_000
 
-    Top-k selection with k fixed by the caller; empty when there is nothing to
-    prune.
+
+def prune_cutoff(scans: DataFrame, keep: int) -> Column:
+    """Creation time of the ``keep``-th newest scan; null if there are fewer.
+
+    The place is narrowed down by histograms over the creation times, each of
+    ``CUTOFF_BUCKETS`` buckets, until few rows are left to sort: two passes over
+    one column for most histories, whatever ``keep`` is. Runs these as actions.
     """
-    newest = scans.select("created_at").orderBy(F.desc("created_at")).limit(keep)
-    return newest.agg(F.min("created_at").alias("cutoff"), F.count("*").alias("n")).where(
-        F.col("n") == keep
-    ).select("cutoff")
+    at = scans.select(F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).where("at IS NOT NULL")
+    low, high, n = at.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    newer = 0
+    while n and newer + n >= keep and n > CUTOFF_ROWS and high > low:
+        width = max(1, -(-(high - low + 1) // CUTOFF_BUCKETS))
+        inside = at.where(F.col("at").between(low, high))
+        bucket = F.expr(f"(at - {low}L) DIV {width}L")
+        found = inside.groupBy(bucket.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+        for r in found:
+            if newer + r["n"] >= keep:
+                low, high, n = low + r["k"] * width, min(high, low + (r["k"] + 1) * width - 1), r["n"]
+                break
+            newer += r["n"]
+    if newer + n < keep:
+        return F.lit(None).cast("timestamp")
+    if high > low:
+        rest = at.where(F.col("at").between(low, high)).orderBy(F.desc("at")).limit(keep - newer)
+        low = rest.agg(F.min("at")).first()[0]
+    return F.timestamp_micros(F.lit(low).cast("bigint"))
 
 
 def doomed(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
     """Scans strictly older than the cutoff and not quarantined; ties survive."""
     if keep <= 0:
         return scans.limit(0)
-    cutoff = prune_cutoff(scans, keep).scalar()
-    return scans.where((F.col("created_at") < cutoff) & ~F.col("quarantined"))
+    return scans.where((F.col("created_at") < prune_cutoff(scans, keep)) & ~F.col("quarantined"))
 
 
 def pruned(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
@@ -114,7 +135,7 @@ def orphan_keys(scans: DataFrame, keep: int = K.KEEP_SCANS) -> DataFrame:
     """
     if keep <= 0:
         return scans.select("storage_key").limit(0)
-    old = F.coalesce(F.col("created_at") < prune_cutoff(scans, keep).scalar(), F.lit(False))
+    old = F.coalesce(F.col("created_at") < prune_cutoff(scans, keep), F.lit(False))
     return (
         scans.withColumn("gone", old & ~F.col("quarantined"))
         .groupBy("storage_key")
@@ -300,6 +321,29 @@ def lifecycle_status(events: DataFrame) -> DataFrame:
     )
 
 
+def time_in_state(events: DataFrame) -> DataFrame:
+    """``scan_id, status, entered, left_at, seconds`` of every stay of a scan in a status.
+
+    A stay begins with an event and ends with the scan's next one; the current
+    status has no end yet. The next event is found across slices of the ordered
+    events, so a scan with very many of them is spread over tasks.
+    """
+    next_at = following(events, F.col("ts"), ["ts", "event_id"], ["scan_id"], "left_at")
+    return next_at.select(
+        "scan_id", "status", F.col("ts").alias("entered"), "left_at",
+        ((F.unix_micros(F.col("left_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("seconds"),
+    )
+
+
+def seconds_in_state(events: DataFrame) -> DataFrame:
+    """Stays that ended and their seconds, per scan and status."""
+    return (
+        time_in_state(events).where("left_at IS NOT NULL")
+        .groupBy("scan_id", "status")
+        .agg(F.count("*").alias("stays"), F.sum("seconds").alias("seconds"))
+    )
+
+
 def is_quarantine_candidate(verdict: Column, enabled: bool = True) -> Column:
     return F.lit(enabled) & (verdict == "malicious")
 

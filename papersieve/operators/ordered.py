@@ -71,6 +71,42 @@ def running_before(
     )
 
 
+def following(
+    df: DataFrame,
+    value: Column,
+    order_by: Sequence[str],
+    keys: Sequence[str] = (),
+    name: str = "following",
+    slices: int | None = None,
+) -> DataFrame:
+    """``value`` of the row after each row of its key; null on a key's last row.
+
+    Inside a slice that is a window. The last row of a key in a slice takes the
+    first value the key has in any later slice, which comes from one row per
+    slice and key. Sliced and checkpointed as in :func:`running_before`.
+    """
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = durable(
+        df.withColumn("_value", value)
+        .repartitionByRange(count, *[F.col(c) for c in (*keys, *order_by)])
+        .withColumn(_SLICE, F.spark_partition_id())
+    )
+    firsts = sliced.groupBy(*keys, _SLICE).agg(
+        F.min_by(F.struct("_value"), F.struct(*order_by)).alias("_first")
+    )
+    scan = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    carried = firsts.select(
+        *keys, _SLICE, F.lead("_first").over(scan.orderBy(_SLICE)).alias("_carried")
+    )
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order_by)
+    after = F.lead(F.struct("_value")).over(inside)
+    return (
+        sliced.join(carried, [*keys, _SLICE])
+        .withColumn(name, F.coalesce(after, F.col("_carried"))["_value"])
+        .drop("_value", "_carried", _SLICE)
+    )
+
+
 def first_failing_run(df: DataFrame, failed: Column, length: int, index: str) -> DataFrame:
     """One row with the index at which ``length`` consecutive failures first end.
 

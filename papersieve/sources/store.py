@@ -10,7 +10,12 @@ tables at one moment: when the new commit file appears.
 Tables are of two kinds. *Replaced* tables describe the current state of a scan:
 of several batches that saved it, only the latest counts, as a whole
 (:meth:`ResultStore.latest`). *Appended* tables keep every committed row
-(:meth:`ResultStore.rows`).
+(:meth:`ResultStore.rows`). Results of running aggregates are kept per key: a batch
+writes the keys it changed, and the latest row of each key counts
+(:meth:`ResultStore.current`).
+
+A long history becomes one batch again by :meth:`ResultStore.compact`: its commit
+record says that it stands for all before it.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 COMMITS = (
-    "batch bigint, attempt string, committed_at timestamp, name string, schema string"
+    "batch bigint, attempt string, committed_at timestamp, name string, schema string, base boolean"
 )
 # State of a scan, replaced as a whole by its latest run.
 REPLACED = ("scans", "reports", "indicators")
@@ -37,8 +42,9 @@ APPENDED = ("assessments", "events")
 class Batch:
     """One attempt at a batch. Leaving the ``with`` block without an error commits it."""
 
-    def __init__(self, store: ResultStore, batch_id: int):
+    def __init__(self, store: ResultStore, batch_id: int, base: bool = False):
         self.store, self.batch_id, self.attempt = store, batch_id, uuid.uuid4().hex
+        self.base = base
         self._schemas: dict[str, str] = {}
 
     def path(self, name: str) -> str:
@@ -58,7 +64,9 @@ class Batch:
 
     def commit(self) -> None:
         now = dt.datetime.now(dt.timezone.utc)
-        record = [(self.batch_id, self.attempt, now, n, s) for n, s in sorted(self._schemas.items())]
+        record = [
+            (self.batch_id, self.attempt, now, n, s, self.base) for n, s in sorted(self._schemas.items())
+        ]
         (
             self.store.spark.createDataFrame(record, COMMITS)
             .coalesce(1)
@@ -88,7 +96,8 @@ class ResultStore:
         return Batch(self, batch_id)
 
     def commits(self, before: int | None = None) -> DataFrame:
-        """Records of the attempt that counts for each batch: the last one committed."""
+        """Records that count: the last attempt committed for each batch and table, from
+        the latest batch on that stands for all before it."""
         try:
             known = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
         except AnalysisException as problem:
@@ -98,10 +107,18 @@ class ResultStore:
             known = self.spark.createDataFrame([], COMMITS)
         if before is not None:
             known = known.where(F.col("batch") < before)
-        current = known.groupBy("batch").agg(
-            F.max_by("attempt", F.struct("committed_at", "attempt")).alias("attempt")
+        # A compacted table has an attempt of its own: the others of its batch stay as they are.
+        latest = F.struct("committed_at", "attempt")
+        whole = known.where("NOT base").groupBy("batch").agg(F.max_by("attempt", latest).alias("attempt"))
+        bases = known.where("base").groupBy("batch", "name").agg(F.max_by("attempt", latest).alias("attempt"))
+        from_batch = bases.groupBy("name").agg(F.max("batch").alias("_from"))
+        attempts = known.where("NOT base").join(whole, ["batch", "attempt"], "left_semi").join(
+            from_batch, "name", "left"
+        ).where("_from IS NULL OR batch > _from").drop("_from")
+        based = known.join(bases, ["batch", "name", "attempt"], "left_semi").join(from_batch, "name").where(
+            "batch = _from"
         )
-        return known.join(current, ["batch", "attempt"], "left_semi")
+        return attempts.unionByName(based.select(*attempts.columns))
 
     def rows(self, name: str, before: int | None = None) -> DataFrame | None:
         """All committed rows of a table with their ``batch``; None if no batch has it.
@@ -138,6 +155,29 @@ class ResultStore:
         last = scans.groupBy(key).agg(F.max("batch").alias("batch"))
         return wanted.join(last, [key, "batch"], "left_semi")
 
+    def current(self, name: str, keys: list[str], before: int | None = None) -> DataFrame | None:
+        """The row of each key from the latest batch that wrote it."""
+        rows = self.rows(name, before)
+        if rows is None:
+            return None
+        rest = [c for c in rows.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+        return newest.select(*keys, "_r.*")
+
+    def compact(self, name: str, keys: list[str]) -> None:
+        """Write the current row of every key as one batch that stands for all so far.
+
+        Readers go from the old files to the new one at one moment, when the commit
+        record appears; :meth:`vacuum` then deletes the old ones.
+        """
+        rows = self.current(name, keys)
+        if rows is None:
+            return
+        last = rows.agg(F.max("batch")).first()[0]
+        if last is not None:
+            with Batch(self, int(last), base=True) as batch:
+                batch.write(name, rows.drop("batch"))
+
     def forgotten(self) -> list[str]:
         """Folders of attempts that were not committed or were replaced.
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from papersieve import constants as K
 
@@ -15,7 +14,8 @@ FORGET = -1  # A listing row with this size re-arms its path.
 # A path that no listing has named for this long is forgotten, so state follows what is in
 # the folder and not what ever was. A file that comes back later counts as new.
 REMEMBER_SECONDS = 7 * 24 * 3600
-_STATE = "size bigint, stable int, first_seen double, done boolean"
+FILE_STATE = "file"
+_STATE = "size bigint, stable int, first_seen double, done boolean, last_seen double, due bigint"
 _OUTPUT = "path string, size bigint, observed_at timestamp"
 
 
@@ -40,43 +40,74 @@ def unprimed(listing: DataFrame, baseline: DataFrame) -> DataFrame:
     return listing.join(baseline.select("path").distinct(), "path", "left_anti")
 
 
-def _settle(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        # The file vanished: forget it, emit nothing.
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values("observed_at")
-    current = state.get if state.exists else None
-    emitted = []
-    for size, at in zip(rows["size"], rows["observed_at"]):
-        moment = at.timestamp()
-        if size == FORGET:
-            current = None
-        elif current is None:
-            current = (int(size), 0, moment, False)
-        elif not current[3]:
-            last, stable, first, _ = current
-            if moment - first > K.SETTLE_TIMEOUT_SECONDS:
-                current = (int(size), stable, first, True)
-            elif size != last or size == 0:
-                current = (int(size), 0, first, False)
+class _Settling(StatefulProcessor):
+    """What is known of one path, changed by each look at it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.file = handle.getValueState(FILE_STATE, _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.file.get()
+        due = None
+        if held is not None:
+            size, stable, first, done, last, due = held
+        known = held is not None
+        for at, now in sorted((r["observed_at"], r["size"]) for r in rows):
+            moment = at.timestamp()
+            last = moment
+            if now == FORGET:
+                known = False
+            elif not known:
+                known, size, stable, first, done = True, now, 0, moment, False
+            elif not done:
+                if moment - first > K.SETTLE_TIMEOUT_SECONDS:
+                    done = True
+                elif now != size or now == 0:
+                    stable = 0
+                else:
+                    stable += 1
+                    done = stable >= K.STABLE_CHECKS
+                size = now
+                if done:
+                    yield Row(path=key[0], size=now, observed_at=at)
+        if not known:
+            if held is not None:
+                self.file.clear()
+            return
+        if due is None:
+            # One timer a path: when it fires, later looks are taken into account.
+            due = max(_due(last, done), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        self.file.update((size, stable, first, done, last, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.file.get()
+        # A path forgotten and seen anew has another timer by now.
+        if held is not None and held[5] == expiredTimerInfo.getExpiryTimeInMs():
+            due = _due(held[4], held[3])
+            if due > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(due)
+                self.file.update((*held[:5], due))
             else:
-                current = (int(size), stable + 1, first, stable + 1 >= K.STABLE_CHECKS)
-            if current[3]:
-                emitted.append((key[0], int(size), at))
-    if current is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update(current)
-        latest = rows["observed_at"].max().timestamp()
-        keep = REMEMBER_SECONDS if current[3] else 10 * K.SETTLE_TIMEOUT_SECONDS
-        due = int((latest + keep) * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    if emitted:
-        yield pd.DataFrame(emitted, columns=["path", "size", "observed_at"])
+                # No listing has named the path for long: forget it, emit nothing.
+                self.file.clear()
+        return iter(())
+
+
+def _due(last: float, done: bool) -> int:
+    """When a path that is not seen again is forgotten, in milliseconds."""
+    return int((last + (REMEMBER_SECONDS if done else 10 * K.SETTLE_TIMEOUT_SECONDS)) * 1000)
+
+
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, output: str) -> DataFrame:
+    """Run a processor per key on event time; its states live in the embedded store that it needs."""
+    spark = rows.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return rows.groupBy(key).transformWithState(processor, output, "append", "eventtime")
 
 
 def settled_files(listing: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -86,12 +117,28 @@ def settled_files(listing: DataFrame, delay: str = "10 minutes") -> DataFrame:
     ``FORGET`` arms it again. State is one small tuple per path, partitioned by
     path; timers clear files that vanished, settled or not.
     """
-    return (
-        listing.withWatermark("observed_at", delay)
-        .groupBy("path")
-        .applyInPandasWithState(
-            _settle, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+    return _with_state(
+        listing.withWatermark("observed_at", delay).select("path", "size", "observed_at"),
+        "path", _Settling(), _OUTPUT,
+    )
+
+
+def watched(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """``path, size, done, first_seen, last_seen`` as a settling query knew them.
+
+    Read from the state in the query's checkpoint, after its last batch or after
+    ``batch``; the query may be running or stopped.
+    """
+    reader = spark.read.format("statestore").option("stateVarName", FILE_STATE)
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    held = reader.load(checkpoint)
+    return held.select(
+        F.col("key.path").alias("path"),
+        "value.size",
+        "value.done",
+        F.timestamp_seconds("value.first_seen").alias("first_seen"),
+        F.timestamp_seconds("value.last_seen").alias("last_seen"),
     )
 
 
@@ -102,43 +149,44 @@ def watch_status(states: DataFrame) -> DataFrame:
     )
 
 
-_STALE_STATE = "status string, since double"
+_STALE_STATE = "since double, due long"
 _STALE_OUTPUT = "scan_id bigint, status string, verdict string, error_code string"
 
 
-def _stale(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame(
-            [(key[0], "failed", "unknown", "interrupted")],
-            columns=["scan_id", "status", "verdict", "error_code"],
-        )
-        return
-    rows = pd.concat(list(batches)).sort_values("ts")
-    status = rows["status"].iloc[-1]
-    if status not in K.NON_TERMINAL_STATUSES:
-        if state.exists:
-            state.remove()
-        return
-    first = state.get[1] if state.exists else rows["ts"].iloc[0].timestamp()
-    state.update((status, first))
-    due = int((first + K.STALE_HOURS * 3600) * 1000)
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    return
-    yield
+class _Stale(StatefulProcessor):
+    """Since when a scan has been unfinished."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _STALE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = sorted((r["ts"], r["status"]) for r in rows)
+        held = self.open.get()
+        if seen[-1][1] not in K.NON_TERMINAL_STATUSES:
+            if held is not None:
+                self.open.clear()
+        elif held is None:
+            since = seen[0][0].timestamp()
+            due = max(int((since + K.STALE_HOURS * 3600) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+            self.open.update((since, due))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.open.get()
+        # The timer of a scan that finished, or that was opened again since, says nothing.
+        if held is not None and held[1] == expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+            yield Row(scan_id=key[0], status="failed", verdict="unknown", error_code="interrupted")
 
 
 def stale_scans(lifecycle: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Scans still unfinished two hours of event time after they appeared.
 
-    Expects ``scan_id, status, ts``.
+    Expects ``scan_id, status, ts``. Scans that finish within a batch leave no state.
     """
-    return (
-        lifecycle.withWatermark("ts", delay)
-        .groupBy("scan_id")
-        .applyInPandasWithState(
-            _stale, _STALE_OUTPUT, _STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+    return _with_state(
+        lifecycle.withWatermark("ts", delay).select("scan_id", "status", "ts"),
+        "scan_id", _Stale(), _STALE_OUTPUT,
     )

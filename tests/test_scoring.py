@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
 from papersieve import constants as K
-from papersieve.operators import gate, scoring
+from papersieve.operators import gate, history, ordered, scoring
 from papersieve.operators.rules import Rule, register, registered_rules, unregister
 
 SCHEMA = "doc_id string, rule_ord int, ord int, code string, title string, severity string, weight int"
@@ -115,3 +116,27 @@ def test_pinned_weights():
     assert fixed["PDF_MINIMAL_DOC_WITH_ACTIVE_CONTENT"] == 50
     assert fixed["PDF_XFA_FORM"] == fixed["PDF_NAME_OBFUSCATION"] == fixed["PDF_MANY_INCREMENTAL_UPDATES"] == 0
     assert K.SOLE_INDICATOR_CEILING == 79
+
+
+@pytest.mark.parametrize("few", [3, 100_000])
+@pytest.mark.parametrize("keep", [1, 7, 60, 119, 120, 121, 500])
+def test_cutoff_by_histograms(spark, monkeypatch, few, keep):
+    monkeypatch.setattr(history, "CUTOFF_ROWS", few)
+    monkeypatch.setattr(history, "CUTOFF_BUCKETS", 5)
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(seconds=(i * i) % 97, microseconds=i % 3) for i in range(120)]
+    rows = spark.createDataFrame(
+        [(i, t, i % 9 == 0) for i, t in enumerate(times)], "scan_id int, created_at timestamp, quarantined boolean"
+    )
+    cutoff = sorted(times, reverse=True)[keep - 1] if keep <= 120 else None
+    want = {i for i, t in enumerate(times) if cutoff is None or t >= cutoff or i % 9 == 0}
+    assert {r.scan_id for r in history.pruned(rows, keep).collect()} == want
+
+
+def test_next_row_across_slices(spark):
+    rows = [(k, t, f"{k}-{t}" if t % 4 else None) for k, n in (("a", 200), ("b", 1), ("c", 30)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t int, v string")
+    got = ordered.following(df, F.col("v"), ["t"], ["k"], "after", slices=7).collect()
+    value = {(k, t): v for k, t, v in rows}
+    assert len(got) == len(rows)
+    assert all(r.after == value.get((r.k, r.t + 1)) for r in got)

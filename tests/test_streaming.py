@@ -9,6 +9,7 @@ from papersieve.catalog.streams import run_once
 from papersieve.operators.gate import GateSettings
 from papersieve.sources.store import APPENDED, REPLACED, Batch, ResultStore
 from papersieve.streaming import settle
+from papersieve.streaming.counters import WindowCounters, keep_updates
 from papersieve.streaming.ingest import Ingest
 
 START = dt.datetime(2024, 1, 1)
@@ -131,3 +132,83 @@ def test_store_keeps_latest_and_all(spark, tmp_path):
         batch.write("scans", rows((5, "c")))
     assert got(store.rows("scans")) == [(1, "b"), (5, "c")]
     assert got(store.rows("indicators")) == []
+
+
+def test_late_rows_are_counted_and_left_out(spark, tmp_path):
+    at = lambda h, m=0: START + dt.timedelta(hours=h, minutes=m)
+    batches = [
+        [(at(1), 1), (at(30), 1)],
+        # The mark is hour 29: hour 1 counts in no open window, hour 6 in some of its last ones.
+        [(at(1), 1), (at(4, 59), 1), (at(6), 1), (at(31), 2)],
+        [],
+        [(at(100), 1)],
+    ]
+    counters = WindowCounters(str(tmp_path / "store"), ("n",))
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "ts timestamp, n int")
+        for _ in range(2):  # a replay changes nothing
+            counters(df, i)
+    late = {r.batch: (r.n_rows, r.late) for r in counters.late_rows(spark).collect()}
+    assert late == {0: (2, 0), 1: (4, 2), 3: (1, 0)}
+    mark, want = None, {}
+    for rows in batches:
+        for t, n in rows:
+            hour = t.replace(minute=0)
+            for k in range(24):
+                start = hour - dt.timedelta(hours=k)
+                if mark is None or start + dt.timedelta(hours=24) > mark:
+                    want[start] = want.get(start, 0) + n
+        newest = max([t for t, _ in rows] + ([mark + dt.timedelta(hours=1)] if mark else []), default=None)
+        mark = newest - dt.timedelta(hours=1) if newest else mark
+    assert {r.window_start: r.n for r in counters.totals(spark).collect()} == want
+
+
+def test_updates_write_changed_keys_and_compact(spark, tmp_path):
+    schema, folder = "k string, n int", str(tmp_path / "in")
+    for rows in ([("a", 1), ("b", 1)], [("b", 5)], [("c", 2), ("a", 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = ResultStore(spark, str(tmp_path / "store"))
+    (
+        stream.groupBy("k").agg(F.sum("n").alias("n")).writeStream.foreachBatch(keep_updates(store.root, "sums"))
+        .outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True)
+        .start().awaitTermination()
+    )
+    written = {}
+    for r in store.rows("sums").collect():
+        written.setdefault(r.batch, set()).add((r.k, r.n))
+    assert [written[b] for b in sorted(written)] == [{("a", 1), ("b", 1)}, {("b", 6)}, {("a", 2), ("c", 2)}]
+    latest = lambda: {(r.k, r.n) for r in store.current("sums", ["k"]).collect()}
+    assert latest() == {("a", 2), ("b", 6), ("c", 2)}
+    store.compact("sums", ["k"])
+    assert latest() == {("a", 2), ("b", 6), ("c", 2)} and store.rows("sums").count() == 3
+    assert store.vacuum() == 3 and latest() == {("a", 2), ("b", 6), ("c", 2)}
+    with store.batch(9) as batch:
+        batch.write("sums", spark.createDataFrame([("a", 7)], "k string, n bigint"))
+    assert latest() == {("a", 7), ("b", 6), ("c", 2)}
+    store.compact("sums", ["k"])
+    assert latest() == {("a", 7), ("b", 6), ("c", 2)} and store.rows("sums").count() == 3
+
+
+def test_state_of_a_settling_query(spark, tmp_path):
+    rows = [("a", 5, 0), ("a", 5, 15), ("a", 5, 30), ("b", 1, 30), ("c", 5, 15), ("c", settle.FORGET, 30)]
+    root = str(tmp_path / "run")
+    run_once(settle.settled_files(listing(spark, tmp_path, rows)), root)
+    states = lambda n=None: {
+        (r.path, r.size, r.done) for r in settle.watched(spark, f"{root}/log", n).collect()
+    }
+    assert states(0) == {("a", 5, False)}
+    assert states(1) == {("a", 5, False), ("c", 5, False)}
+    assert states() == {("a", 5, True), ("b", 1, False)}
+    status = settle.watch_status(settle.watched(spark, f"{root}/log")).first()
+    assert (status.known_files, status.settling) == (1, 1)
+
+
+def test_vanished_and_old_files_leave_the_state(spark, tmp_path):
+    week = settle.REMEMBER_SECONDS
+    rows = [("gone", 1, 0), ("old", 5, 0), ("old", 5, 15), ("old", 5, 30), ("kept", 5, 0), ("kept", 5, 15),
+            ("kept", 5, 30), ("kept", 5, 5_000), ("x", 1, 5_000), ("x", 1, week + 2_000), ("x", 1, week + 2_100)]
+    root = str(tmp_path / "run")
+    found = seen(run_once(settle.settled_files(listing(spark, tmp_path, rows)), root))
+    assert [p for p, _ in found] == ["kept", "old", "x"]
+    assert {r.path for r in settle.watched(spark, f"{root}/log").collect()} == {"kept", "x"}
