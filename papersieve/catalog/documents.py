@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from papersieve.catalog import fragments as X
 from papersieve.catalog.registry import query
 from papersieve.catalog.fragments import R3_SQL
+from papersieve.functions import links as ln
 from papersieve.functions.text import latin1
 from papersieve.operators import objects as og
 from papersieve.operators import patterns as pt
 from papersieve.operators import rules as rl
 from papersieve.operators import scoring as sc
 from papersieve.operators import signatures as sg
+from papersieve.plans import hard_inputs as hi
 from papersieve.plans import inputs as I
 from papersieve.plans.scan import Scan, scan_files
 
@@ -183,12 +185,115 @@ def _(spark, sf):
 @query(
     "G13_parse_errors",
     f"""SELECT doc_id, 'open' AS stage, 'open failed: no resolvable catalog' AS message FROM documents WHERE doc_id % 41 = 9
-    UNION ALL SELECT doc_id, 'header', 'missing %PDF- header' FROM documents WHERE {X.VALID} AND doc_id % 29 = 3""",
+    UNION ALL SELECT doc_id, 'header', 'missing %PDF- header' FROM documents WHERE {X.VALID} AND doc_id % 29 = 3
+    UNION ALL SELECT doc_id, 'open', 'encrypted: contents are not decrypted' FROM documents WHERE {X.VALID} AND doc_id % 19 = 4""",
 )
 def _(spark, sf):
     return scan(spark, sf).evidence.errors.select("doc_id", "stage", "message")
 
 
+# --------------------------------------------------------------- hard files
+_DEPTH = "CASE WHEN doc_id % 50 = 7 THEN 5000 WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 4 = 2 THEN 12 ELSE 3 END"
+_HARD_WALKS: dict[tuple[str, str], og.Walk] = {}
+
+
+def hard_walk(spark: SparkSession, sf: str) -> og.Walk:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _HARD_WALKS:
+        _HARD_WALKS[key] = og.walk(og.stage_entries(hi.hard_files(spark, sf)))
+    return _HARD_WALKS[key]
+
+
+@query(
+    "G4_deep_trees",
+    f"""WITH d AS (SELECT doc_id, {_DEPTH} AS depth FROM documents),
+    n AS (SELECT doc_id, depth, unnest(range(0, depth)) AS i FROM d)
+    SELECT doc_id, 'pages' AS tree, CASE WHEN i = 0 THEN '2' ELSE (1000 + i)::VARCHAR END AS node, i::INT AS place FROM n
+    UNION ALL SELECT doc_id, 'pages', '10', depth::INT FROM d UNION ALL SELECT doc_id, 'pages', '11', (depth + 1)::INT FROM d
+    UNION ALL SELECT doc_id, 'scripts', '50', 0 FROM d UNION ALL SELECT doc_id, 'scripts', '51', 1 FROM d""",
+)
+def _(spark, sf):
+    return hard_walk(spark, sf).trees
+
+
+@query("G1_hard_objects", f"SELECT doc_id, (11 + {_DEPTH})::INT AS n_objects FROM documents")
+def _(spark, sf):
+    return og.objects(hard_walk(spark, sf).entries).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_objects"))
+
+
+@query(
+    "G3_hard_actions",
+    """SELECT doc_id, 'PageOpen' AS "trigger", '/Page[0]/AA' AS location, '<javascript>' AS target FROM documents
+    UNION ALL SELECT doc_id, 'MouseEnter', '/Page[1]/Annot/AA', 'tool' || doc_id || '.exe' FROM documents""",
+)
+def _(spark, sf):
+    return og.actions(hard_walk(spark, sf)).where("kind = '/AA'").select(
+        "doc_id", "trigger", F.col("details")["location"].alias("location"), "target"
+    )
+
+
+@query(
+    "G5_hard_kinds",
+    "SELECT doc_id, '/Launch' AS kind, '/Page[1]/Annot/AA' AS \"trigger\", 'tool' || doc_id || '.exe' AS target, true AS auto FROM documents",
+)
+def _(spark, sf):
+    return og.recorded_kinds(hard_walk(spark, sf)).select(
+        "doc_id", "kind", "trigger", "target", F.col("auto_executes").alias("auto")
+    )
+
+
+@query(
+    "G9_hard_scripts",
+    """SELECT doc_id, '/Page[0]/AA/O' AS location, 'page(' || doc_id || ');' || md5(text) AS code FROM documents
+    UNION ALL SELECT doc_id, '/Names/JavaScript', 'names(' || doc_id || ')' FROM documents""",
+)
+def _(spark, sf):
+    return og.script_findings(hard_walk(spark, sf)).where("stage = 'targeted'").select("doc_id", "location", "code")
+
+
+_WIDE_SCANS: dict[tuple[str, str, og.Limits], Scan] = {}
+SOME = og.Limits(pages=4, annotations=2, urls=9, script_urls=1)
+_WIDE = "SELECT doc_id, 2 + doc_id % 6 AS pages, 1 + doc_id // 6 % 4 AS notes, doc_id % 3 AS links FROM documents"
+
+
+def wide_scan(spark: SparkSession, sf: str, limits: og.Limits = og.Limits()) -> Scan:
+    key = (spark.sparkContext.applicationId, sf, limits)
+    if key not in _WIDE_SCANS:
+        _WIDE_SCANS[key] = scan_files(hi.wide_files(spark, sf), limits=limits)
+    return _WIDE_SCANS[key]
+
+
+@query(
+    "G13_limits_met",
+    f"""WITH w AS ({_WIDE}) SELECT doc_id, 'objects' AS stage, 'page walk budget exhausted' AS message FROM w WHERE pages > 4
+    UNION ALL SELECT doc_id, 'objects', 'annotation budget exhausted' FROM w WHERE notes > 2
+    UNION ALL SELECT doc_id, 'urls', 'script link budget exhausted' FROM w WHERE links > 1
+    UNION ALL SELECT doc_id, 'urls', 'link budget exhausted' FROM w WHERE pages * notes + links > 9""",
+)
+def _(spark, sf):
+    return wide_scan(spark, sf, SOME).evidence.errors.select("doc_id", "stage", "message")
+
+
+@query(
+    "U4_all_links",
+    f"""WITH w AS ({_WIDE}) SELECT doc_id, pages * notes + links AS links, pages * notes AS dangerous,
+      pages * notes AS actions, 0 AS errors FROM w""",
+)
+def _(spark, sf):
+    """Without limits every link of every page and script is found, and nothing is reported."""
+    found = wide_scan(spark, sf)
+    from_actions = og.uri_targets(found.walk).where("source = 'action:/URI'").groupBy("doc_id").agg(
+        F.count_distinct("target").alias("actions")
+    )
+    errors = found.evidence.errors.groupBy("doc_id").agg(F.count("*").alias("errors"))
+    return (
+        found.evidence.urls.groupBy("doc_id")
+        .agg(F.count("*").alias("links"), F.count_if(ln.is_dangerous(F.col("scheme"))).alias("dangerous"))
+        .join(from_actions, "doc_id").join(errors, "doc_id", "left")
+        .withColumn("errors", F.coalesce("errors", F.lit(0)))
+    )
+
+
 # --------------------------------------------------------------- signatures
 def _signature(name: str, rule: str, condition: str, strings: str) -> None:
     @query(

@@ -243,7 +243,7 @@ def _(spark, sf):
 @query(
     "L9_evidence_bundle",
     f"""WITH {X.FILE_INDICATORS}, n AS (SELECT doc_id, count(*)::INT AS n FROM ind GROUP BY 1)
-    SELECT d.doc_id, coalesce(n.n, 0) AS indicators, (CASE WHEN d.{X.VALID} AND d.doc_id % 29 = 3 THEN 1 ELSE 0 END + CASE WHEN d.doc_id % 41 = 9 THEN 1 ELSE 0 END)::INT AS parse_errors,
+    SELECT d.doc_id, coalesce(n.n, 0) AS indicators, (CASE WHEN d.{X.VALID} AND d.doc_id % 29 = 3 THEN 1 ELSE 0 END + CASE WHEN d.doc_id % 41 = 9 THEN 1 ELSE 0 END + CASE WHEN d.{X.VALID} AND d.doc_id % 19 = 4 THEN 1 ELSE 0 END)::INT AS parse_errors,
       CASE WHEN d.doc_id % 41 = 9 THEN 0 WHEN d.doc_id % 4 IN (2, 3) THEN 2 ELSE 1 END AS urls, CASE WHEN d.doc_id % 41 = 9 THEN 0 ELSE 2 END AS min_scripts FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id""",
 )
 def _(spark, sf):

@@ -113,8 +113,8 @@ def _unc(url: Column) -> Column:
     )
 
 
-def sweep(text: Column, limit: int = K.MAX_URLS, bytes_view: bool = True) -> Column:
-    """Distinct URL then UNC findings of a text in order, at most ``limit``.
+def sweep(text: Column, limit: int | None = None, bytes_view: bool = True) -> Column:
+    """Distinct URL then UNC findings of a text in order, at most ``limit`` if one is given.
 
     Stays inside the row: no explode, no shuffle.
     """
@@ -129,11 +129,11 @@ def sweep(text: Column, limit: int = K.MAX_URLS, bytes_view: bool = True) -> Col
         F.filter(F.transform(urls, classify), lambda u: u.isNotNull()).cast(f"array<{URL_TYPE}>"),
         F.transform(shares, _unc).cast(f"array<{URL_TYPE}>"),
     )
-    return F.slice(found, 1, limit)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def swept_urls(
-    rows: DataFrame, text: Column, source: str, limit: int = K.MAX_URLS, bytes_view: bool = True
+    rows: DataFrame, text: Column, source: str, limit: int | None = None, bytes_view: bool = True
 ) -> DataFrame:
     """Long table ``doc_id, ord, url.., source`` from a text column."""
     return rows.select(
@@ -141,12 +141,12 @@ def swept_urls(
     ).select("doc_id", "ord", "u.*", F.lit(source).alias("source"))
 
 
-def merge_urls(groups: DataFrame, limit: int = K.MAX_URLS) -> DataFrame:
+def merge_urls(groups: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per (document, URL); a specific source beats the raw sweep.
 
     Expects ``group_rank`` (0 actions, 1 scripts, 2 raw) and ``ord``. Repeats
-    are reduced map-side; the cap is a rank filter Spark prunes before the
-    shuffle.
+    are reduced map-side; a ``limit`` per document is a rank filter Spark prunes
+    before the shuffle.
     """
     first_seen = F.struct("group_rank", "ord")
     preferred = F.struct(
@@ -160,11 +160,10 @@ def merge_urls(groups: DataFrame, limit: int = K.MAX_URLS) -> DataFrame:
         F.min(first_seen).alias("_seen"), F.min_by(traits, preferred).alias("t")
     )
     place = Window.partitionBy("doc_id").orderBy("_seen", "url")
-    return (
-        one.withColumn("ord", F.row_number().over(place))
-        .where(F.col("ord") <= limit)
-        .select("doc_id", "ord", "url", "t.*")
-    )
+    ranked = one.withColumn("ord", F.row_number().over(place))
+    if limit is not None:
+        ranked = ranked.where(F.col("ord") <= limit)
+    return ranked.select("doc_id", "ord", "url", "t.*")
 
 
 def is_dangerous(scheme: Column) -> Column:

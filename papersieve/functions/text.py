@@ -66,11 +66,12 @@ def count_of(haystack: Column, needle: str) -> Column:
     return ((F.length(haystack) - F.length(removed)) / len(needle)).cast("int")
 
 
-def safe_text(value: Column, limit: int = 512) -> Column:
-    """Printable form: NUL dropped, control characters as dots, clipped."""
+def safe_text(value: Column, limit: int | None = 512) -> Column:
+    """Printable form: NUL dropped, control characters as dots, clipped unless ``limit`` is None."""
     no_nul = F.replace(value, F.lit("\x00"), F.lit(""))
     dotted = F.regexp_replace(no_nul, r"[\p{C}\p{Z}&&[^ \n\t]]", ".")
-    return F.left(F.coalesce(dotted, F.lit("")), F.lit(limit))
+    shown = F.coalesce(dotted, F.lit(""))
+    return shown if limit is None else F.left(shown, F.lit(limit))
 
 
 def redact(mapping: Column, keys: Sequence[str] = ("api_key", "token")) -> Column:

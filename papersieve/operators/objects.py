@@ -23,6 +23,22 @@ from papersieve.session import staged
 _ID = ["doc_id", "node"]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of one document is taken; None takes all.
+
+    Each document that a limit bites has one ``parse_errors`` row for that limit.
+    ``text_pages`` is no such limit: an excerpt comes from the first pages.
+    """
+
+    pages: int | None = None
+    annotations: int | None = None
+    urls: int | None = None
+    script_urls: int | None = None
+    script_chars: int | None = None
+    text_pages: int = K.MAX_TEXT_PAGES
+
+
 def _is_edge() -> Column:
     return F.col("kind").isin("ref", "node")
 
@@ -194,9 +210,10 @@ class Walk:
     attributes: DataFrame
     scripts: DataFrame
     cut_trees: DataFrame
+    limits: Limits = Limits()
 
 
-def walk(entries: DataFrame) -> Walk:
+def walk(entries: DataFrame, limits: Limits = Limits()) -> Walk:
     """Stage the relations several findings share, so each finding is a short plan.
 
     Runs actions: the staged catalogs, pages, action attributes and script texts.
@@ -213,6 +230,7 @@ def walk(entries: DataFrame) -> Walk:
         staged(action_attributes(entries), "doc_id"),
         staged(script_sources(entries), "doc_id"),
         cut,
+        limits,
     )
 
 
@@ -239,13 +257,18 @@ def open_actions(w: Walk) -> DataFrame:
     )
 
 
+def walked_pages(w: Walk) -> DataFrame:
+    most = w.limits.pages
+    return w.pages if most is None else w.pages.where(F.col("page") < most)
+
+
 def annotations(w: Walk) -> DataFrame:
-    """Annotations of the first pages, the first so many of each page."""
-    first = w.pages.where(F.col("page") < K.MAX_PAGES_WALKED)
+    """Annotations of the pages, within the limits on both."""
+    found = follow(walked_pages(w), w.edges, "/Annots")
+    if w.limits.annotations is not None:
+        found = found.where(F.col("pos") < w.limits.annotations)
     return (
-        follow(first, w.edges, "/Annots")
-        .where(F.col("pos") < K.MAX_ANNOTS_PER_PAGE)
-        .join(w.attributes.select(*_ID, "subtype", "fs"), _ID, "left")
+        found.join(w.attributes.select(*_ID, "subtype", "fs"), _ID, "left")
         .withColumn("subtype", F.coalesce("subtype", F.lit("")))
     )
 
@@ -256,8 +279,7 @@ def additional_actions(w: Walk) -> DataFrame:
         *_ID, F.lit("/Root/AA").alias("location"), _order(1).alias("base")
     )
     place = F.format_string("/Page[%d]", F.col("page"))
-    first = w.pages.where(F.col("page") < K.MAX_PAGES_WALKED)
-    at_page = follow(first, w.edges, "/AA").select(
+    at_page = follow(walked_pages(w), w.edges, "/AA").select(
         *_ID, F.concat(place, F.lit("/AA")).alias("location"), _order(3, F.col("page")).alias("base")
     )
     notes = annotations(w).select("doc_id", "node", "page", F.col("pos").alias("slot"))
@@ -318,8 +340,11 @@ def _action(kind: Column, trigger: Column, target: Column, auto: Column, **detai
     ]
 
 
-def recorded_kinds(w: Walk) -> DataFrame:
-    """Launch, URI, form-submit, go-to and media actions below ``/AA`` and ``/A``."""
+def recorded_kinds(w: Walk, whole: bool = False) -> DataFrame:
+    """Launch, URI, form-submit, go-to and media actions below ``/AA`` and ``/A``.
+
+    Targets are clipped as they are shown, unless ``whole`` asks for all of them.
+    """
     nested = additional_actions(w).select("doc_id", "node", "location", "ord").unionByName(
         link_actions(w)
     )
@@ -332,7 +357,7 @@ def recorded_kinds(w: Walk) -> DataFrame:
             *_action(
                 subtype,
                 F.col("location"),
-                safe_text(F.col("target")),
+                safe_text(F.col("target"), None if whole else 512),
                 subtype.isin("/Launch", "/GoToE"),
                 location=F.col("location"),
             )
@@ -449,9 +474,12 @@ def script_findings(w: Walk) -> DataFrame:
 
 
 def uri_targets(w: Walk) -> DataFrame:
-    """Link targets found in actions and objects: ``doc_id, ord, target, source``."""
+    """Link targets found in actions and objects: ``doc_id, ord, target, source``.
+
+    Whole targets: what a link is gets decided before anything is clipped.
+    """
     from_actions = (
-        recorded_kinds(w)
+        recorded_kinds(w, whole=True)
         .where(F.col("kind").isin("/URI", "/SubmitForm", "/GoToR") & (F.col("target") != ""))
         .select("doc_id", "ord", "target", F.concat(F.lit("action:"), "kind").alias("source"))
     )
@@ -461,7 +489,7 @@ def uri_targets(w: Walk) -> DataFrame:
         .select(
             "doc_id",
             _order(5, F.col("obj_index")).alias("ord"),
-            safe_text(F.col("uri"), 2048).alias("target"),
+            safe_text(F.col("uri"), None).alias("target"),
             F.lit("object").alias("source"),
         )
     )
@@ -611,7 +639,7 @@ def structure_flags(w: Walk) -> DataFrame:
 def page_texts(w: Walk) -> DataFrame:
     """Shown text of the first pages: ``doc_id, page, text``."""
     shown = w.entries.where(F.col("kind") == "text").select(*_ID, F.col("value").alias("text"))
-    first = w.pages.where(F.col("page") < K.MAX_TEXT_PAGES)
+    first = w.pages.where(F.col("page") < w.limits.text_pages)
     parts = follow(first, w.edges, "/Contents").join(shown, _ID)
     return parts.groupBy("doc_id", "page").agg(
         F.array_join(
@@ -627,6 +655,24 @@ def excerpts(w: Walk) -> DataFrame:
     return text_excerpts(page_texts(w))
 
 
+def exhausted(rows: DataFrame, what: str, stage: str = "objects") -> DataFrame:
+    """One error row per document of ``rows``: a limit was met."""
+    return rows.select(
+        "doc_id", F.lit(stage).alias("stage"), F.lit(f"{what} budget exhausted").alias("message")
+    ).distinct()
+
+
+def walk_limits_met(w: Walk) -> DataFrame:
+    """Error rows of the documents whose trees, pages or annotations were not all taken."""
+    out = exhausted(w.cut_trees, "tree walk")
+    if w.limits.pages is not None:
+        out = out.unionByName(exhausted(w.pages.where(F.col("page") >= w.limits.pages), "page walk"))
+    if w.limits.annotations is not None:
+        found = follow(walked_pages(w), w.edges, "/Annots")
+        out = out.unionByName(exhausted(found.where(F.col("pos") >= w.limits.annotations), "annotation"))
+    return out
+
+
 def parse_errors(files: DataFrame, w: Walk, features: DataFrame) -> DataFrame:
     """Problems as rows: ``doc_id, stage, message``; nothing aborts the job."""
     unread = F.col("message").startswith("open failed")
@@ -646,7 +692,14 @@ def parse_errors(files: DataFrame, w: Walk, features: DataFrame) -> DataFrame:
         F.lit("header").alias("stage"),
         F.lit("missing %PDF- header").alias("message"),
     )
-    cut = w.cut_trees.select(
-        "doc_id", F.lit("objects").alias("stage"), F.lit("tree walk budget exhausted").alias("message")
+    # What is encrypted is not decrypted: its strings and streams are read as they stand.
+    locked = (
+        w.entries.where((F.col("node") == "trailer") & (F.col("key") == "/Encrypt"))
+        .select("doc_id", F.lit("open").alias("stage"), F.lit("encrypted: contents are not decrypted").alias("message"))
+        .distinct()
     )
-    return unresolved.unionByName(notes).unionByName(headless).unionByName(cut)
+    parts = (notes, headless, locked, walk_limits_met(w))
+    out = unresolved
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papersieve import constants as K
 from papersieve.functions import links, scripts as js
 from papersieve.functions.bytescan import byte_features
 from papersieve.operators import objects as og
@@ -73,17 +72,33 @@ def read_bytes(files: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
     )
 
 
-def collect_urls(read: DataFrame, w: og.Walk, scripts: DataFrame) -> DataFrame:
-    """URLs from actions, scripts and the raw bytes, one row per document and URL."""
+def collect_urls(read: DataFrame, w: og.Walk, scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """URLs from actions, scripts and the raw bytes, one row per document and URL.
+
+    The second table has the error rows of documents that a limit on links bites.
+    """
+    per_script, per_file = w.limits.script_urls, w.limits.urls
     targets = og.uri_targets(w).withColumn("u", links.classify(F.col("target"))).where("u IS NOT NULL")
     acted = targets.select("doc_id", "ord", "u.*", "source", F.lit(0).alias("group_rank"))
     scripted = scripts.select(
         "doc_id",
         F.col("ord").alias("script_ord"),
-        F.posexplode(links.sweep(F.col("code"), K.MAX_URLS_PER_SCRIPT, False)).alias("i", "u"),
+        F.posexplode(links.sweep(F.col("code"), None, False)).alias("i", "u"),
+    )
+    no_errors = w.entries.sparkSession.createDataFrame([], "doc_id bigint, stage string, message string")
+    errors = no_errors
+    if per_script is not None:
+        errors = errors.unionByName(
+            og.exhausted(scripted.where(F.col("i") >= per_script), "script link", "urls")
+        )
+        scripted = scripted.where(F.col("i") < per_script)
+    # Places follow the scripts' order; a script's links come before the next one's.
+    place = F.struct("script_ord", "i")
+    scripted = scripted.withColumn(
+        "script_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(place))
     ).select(
         "doc_id",
-        (F.col("script_ord") * 100 + F.col("i")).alias("ord"),
+        F.col("script_place").cast("bigint").alias("ord"),
         "u.*",
         F.lit("javascript").alias("source"),
         F.lit(1).alias("group_rank"),
@@ -91,7 +106,11 @@ def collect_urls(read: DataFrame, w: og.Walk, scripts: DataFrame) -> DataFrame:
     raw = read.select("doc_id", F.posexplode("swept").alias("ord", "u")).select(
         "doc_id", "ord", "u.*", F.lit("raw").alias("source"), F.lit(2).alias("group_rank")
     )
-    return links.merge_urls(acted.unionByName(scripted).unionByName(raw))
+    merged = links.merge_urls(acted.unionByName(scripted).unionByName(raw))
+    if per_file is not None:
+        errors = errors.unionByName(og.exhausted(merged.where(F.col("ord") > per_file), "link", "urls"))
+        merged = merged.where(F.col("ord") <= per_file)
+    return merged, errors
 
 
 def structure_table(
@@ -131,14 +150,14 @@ def scan_files(
     files: DataFrame,
     signatures: tuple[Signature, ...] = BUNDLED,
     rules: list[Rule] | None = None,
-    script_chars: int | None = None,
+    limits: og.Limits = og.Limits(),
 ) -> Scan:
     """Scan ``files(doc_id, content)``.
 
     The leading bundled rules of ``signatures`` are tested in the byte pass; any
     others, up to thousands, by an index of their patterns and one more narrow pass.
-    ``script_chars`` bounds the script characters taken from a document; each
-    document that it bites has a ``parse_errors`` row. By default all are taken.
+    ``limits`` bounds what is taken from one document, nothing by default; each
+    document that a limit bites has a ``parse_errors`` row saying so.
 
     Runs actions: every findings table is written once under the checkpoint
     folder, which is what a history store keeps anyway, and read back pruned by
@@ -155,17 +174,19 @@ def scan_files(
         hits = staged(hits.unionByName(own) if inline else own, "doc_id")
     features = read.drop("swept", "hits")
     entries = og.stage_entries(files)
-    w = og.walk(entries)
-    taken, bitten = collect_scripts(w, script_chars)
+    w = og.walk(entries, limits)
+    taken, bitten = collect_scripts(w, limits.script_chars)
     scripts = staged(taken, "doc_id")
     errors = og.parse_errors(files, w, features)
     actions = staged(og.actions(w), "doc_id")
+    urls, links_cut = collect_urls(read, w, scripts)
+    errors = errors.unionByName(links_cut)
     evidence = Evidence(
         structure=staged(structure_table(features, w, scripts, actions), "doc_id"),
         scripts=scripts,
         actions=actions,
         attachments=staged(og.attachments(w), "doc_id"),
-        urls=staged(collect_urls(read, w, scripts), "doc_id"),
+        urls=staged(urls, "doc_id"),
         hits=hits,
         errors=errors if bitten is None else errors.unionByName(bitten),
     )

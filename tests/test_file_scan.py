@@ -6,6 +6,7 @@ import pytest
 from documents import ALL, Writer
 
 from papersieve.operators import evidence
+from papersieve.operators.objects import Limits
 from papersieve.plans.scan import scan_files
 
 NAMES = list(ALL)
@@ -182,7 +183,7 @@ def test_scripts_behind_long_ones_are_taken_and_a_budget_says_what_it_left_out(s
     taken = {(r.doc_id, len(r.code), r.truncated) for r in whole.evidence.scripts.collect()}
     assert taken == {(0, 225_000, False), (0, 20, False), (2, 10, False)}
     assert whole.evidence.errors.where(spent).count() == 0
-    capped = scan_files(files, script_chars=200_000)
+    capped = scan_files(files, limits=Limits(script_chars=200_000))
     taken = {(r.doc_id, len(r.code), r.truncated) for r in capped.evidence.scripts.collect()}
     assert taken == {(0, 200_000, True), (2, 10, False)}
     assert [r.doc_id for r in capped.evidence.errors.where(spent).collect()] == [0]
