@@ -25,13 +25,14 @@ no block; the text of one row may be of any length.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,19 +47,26 @@ BLOCK_IDS = 1 << 18
 ENCODED_AT_ONCE = 1 << 14
 # Bytes of text whose ids make one part of the output.
 PART_TEXT_BYTES = 32 << 20
-MEMO_PIECES = 350_000
+MEMO_PIECES = 500_000
 MEMO_CHARS = 48
 WORDS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1_024
+PIECES_AT_ONCE = 1 << 18
 
 
 # --- tokenizing ---------------------------------------------------------------------------------
 
-def needs_whole_text(piece: str) -> bool:
+def needs_whole_text(pieces: pa.Array) -> np.ndarray:
     """Whether a piece between blanks begins with white space or holds a special token's
     opening: texts with such a piece go to the tokenizer whole."""
-    return not piece or piece[0].isspace() or "<|" in piece
+    first = pc.utf8_slice_codeunits(pieces, 0, 1)
+    # White space as Python's text methods have it, which is more than any engine's class of it.
+    starts = pc.is_in(first, value_set=_WHITE)
+    odd = pc.or_(pc.or_(starts, pc.equal(first, "")), pc.match_substring(pieces, "<|"))
+    return odd.to_numpy(zero_copy_only=False)
 
 
+_WHITE = pa.array([c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()])
 
 
 # Pieces of letters of the first Latin blocks and of ASCII without the apostrophe, and without
@@ -133,77 +141,138 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        out = [b""] * len(texts)
-        split = []
-        for i, text in enumerate(texts):
-            if text:
-                head, *pieces = text.split(" ")
-                split.append((i, text, head, pieces))
-        if split:
-            self._pieces(split, out)
-        return out
-
-    def _pieces(self, split: list[tuple[int, str, str, list[str]]], out: list[bytes]) -> None:
+        """Packed ids of each text."""
+        flat, ends = self.packed(pa.array(texts, pa.string()))
+        starts = np.concatenate([[0], ends[:-1]])
+        return [flat[x:y].tobytes() for x, y in zip(starts, ends)]
+
+    def packed(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts in a row, and where each text ends.
+
+        Pieces are numbered by Arrow, so Python meets each distinct one once; the
+        texts are put together from the numbers. ``end_id`` is put after each text.
+        """
+        count = len(texts)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        offsets -= offsets[0]
+        sequence, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # A text's first piece has no blank before it: it is encoded by itself.
+        first = offsets[:-1]
+        inner = np.ones(len(sequence), dtype=bool)
+        inner[first] = False
+        odd = needs_whole_text(coded.dictionary)
+        odd_places = np.flatnonzero(odd[sequence] & inner)
+        whole = np.zeros(count, dtype=bool)
+        whole[np.searchsorted(offsets, odd_places, side="right") - 1] = True
+        inner &= ~np.repeat(whole, np.diff(offsets))
+        wanted = np.zeros(len(pieces), dtype=bool)
+        wanted[sequence[inner]] = True
+        used = np.flatnonzero(wanted).tolist()
+        names = [pieces[i] for i in used]
+        letters = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)[wanted].tolist()
+        entries = self._entries(names, letters)
+        heads = [texts[i].as_py() if whole[i] else pieces[sequence[at]] for i, at in enumerate(first.tolist())]
+        entries += self.raw([h or "" for h in heads])
+        entries.append(b"" if end_id is None else array(self.type, [end_id]).tobytes())
+        # Places of the entries: distinct pieces, then one head per text, then the end.
+        place = np.cumsum(wanted) - 1
+        sequence = place[sequence]
+        sequence[first] = len(names) + np.arange(count)
+        inner[first] = True
+        kept = np.add.reduceat(inner, first, dtype=np.int64) if count else np.zeros(0, np.int64)
+        ends = np.cumsum(kept)
+        sequence = np.insert(sequence[inner], ends, len(entries) - 1)
+        ends += np.arange(1, count + 1)
+        return self._joined(entries, sequence, ends)
+
+    def _joined(
+        self, entries: list[bytes], sequence: np.ndarray, ends: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries in ``sequence``, gathered in slices of bounded size."""
+        flat = np.frombuffer(b"".join(entries), dtype=self.type)
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // flat.itemsize
+        starts = np.cumsum(size) - size
+        lengths = size[sequence]
+        out = []
+        for lo in range(0, len(sequence), PIECES_AT_ONCE):
+            n = lengths[lo : lo + PIECES_AT_ONCE]
+            before = np.cumsum(n) - n
+            at = np.repeat(starts[sequence[lo : lo + PIECES_AT_ONCE]] - before, n)
+            at += np.arange(len(at))
+            out.append(flat.take(at))
+        joined = np.concatenate(out) if out else flat[:0]
+        return joined, np.concatenate([[0], np.cumsum(lengths)])[ends]
+
+    def _entries(self, pieces: list[str], letters: list[bool]) -> list[bytes]:
+        """Packed ids of distinct pieces with a leading blank; ``letters`` tells the words."""
         memo = self.memo
         if len(memo["young"]) > MEMO_PIECES:
             memo["old"], memo["young"] = memo["young"], {}
         if len(memo["rests"]) > MEMO_PIECES:
             memo["rests"] = {}
-        young = memo["young"]
-        missing: set[str] = set()
-        plain = []
-        for i, text, head, pieces in split:
-            # The memo never holds a piece that needs its whole text.
-            new = set(filterfalse(young.__contains__, pieces))
-            if any(map(needs_whole_text, new)):
-                out[i] = self.raw([text])[0]
+        young, old = memo["young"], memo["old"]
+        found = list(map(young.get, pieces))
+        words, others = [], []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[i]
+            known = old.get(piece)
+            if known is not None:
+                found[i] = young[piece] = known
             else:
-                missing |= new
-                plain.append((i, head, pieces))
-        self._learn(missing)
-        ids_of = young.__getitem__
-        heads = self.raw([head for _, head, _ in plain])
-        for (i, _, pieces), head in zip(plain, heads):
-            out[i] = head + b"".join(map(ids_of, pieces))
-        for piece in [p for p in missing if len(p) > MEMO_CHARS]:
-            young.pop(piece, None)
-
-    def _learn(self, missing: set[str]) -> None:
-        """Put the ids of pieces, each with its leading blank, into the memo."""
-        young, old, rests = self.memo["young"], self.memo["old"], self.memo["rests"]
-        again = [p for p in missing if p in old]
-        young.update(zip(again, map(old.__getitem__, again)))
-        fresh = missing.difference(again)
+                (words if letters[i] else others).append(i)
         # Letters alone are one word for the tokenizer, in any script.
-        words = [p for p in fresh if p.isalpha()]
-        young.update(zip(words, self.words(words)))
-        cut, whole = [], []
-        blank, bare, signs = set(), set(), set()
-        for piece in fresh.difference(words):
+        for i, ids in zip(words, self.words([pieces[i] for i in words])):
+            found[i] = ids
+        for i, ids in zip(others, self._cut([pieces[i] for i in others])):
+            found[i] = ids
+        for i in words + others:
+            if len(pieces[i]) <= MEMO_CHARS:
+                young[pieces[i]] = found[i]
+        return found
+
+    def _cut(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces that are not words: by their runs of letters and of other
+        characters where those are known to be cut there, else as they are."""
+        young, rests = self.memo["young"], self.memo["rests"]
+        fresh: dict[str, dict[str, bytes]] = {"blank": {}, "bare": {}, "signs": {}}
+        blank, bare, signs = fresh.values()
+        runs, whole = [], []
+        for piece in pieces:
             if _PLAIN.fullmatch(piece) is None:
-                whole.append(piece)
+                runs.append(None)
+                whole.append(" " + piece)
                 continue
-            first, *rest = runs = _RUNS.findall(piece)
-            cut.append((piece, runs))
+            parts = _RUNS.findall(piece)
+            runs.append(parts)
+            first = parts[0]
             if first[0].isalpha():
-                blank.add(first)
+                if first not in young:
+                    blank[first] = b""
+            elif " " + first not in rests:
+                signs[" " + first] = b""
+            for run in parts[1:]:
+                if run not in rests:
+                    (bare if run[0].isalpha() else signs)[run] = b""
+        blank.update(zip(blank, self.words(list(blank))))
+        bare.update(zip(bare, self.words(list(bare), "\n")))
+        signs.update(zip(signs, self.raw(list(signs))))
+        for held, made in ((young, blank), (rests, bare), (rests, signs)):
+            held.update(kv for kv in made.items() if len(kv[0]) <= MEMO_CHARS)
+        late = iter(self.raw(whole))
+        out = []
+        for parts in runs:
+            if parts is None:
+                out.append(next(late))
+                continue
+            first, *rest = parts
+            if first[0].isalpha():
+                head = blank.get(first) or young[first]
             else:
-                signs.add(" " + first)
-            for run in rest:
-                (bare if run[0].isalpha() else signs).add(run)
-        young.update(zip(whole, self.raw([" " + p for p in whole])))
-        blank = [w for w in blank if w not in young]
-        young.update(zip(blank, self.words(blank)))
-        bare = [w for w in bare if w not in rests]
-        rests.update(zip(bare, self.words(bare, "\n")))
-        signs = [r for r in signs if r not in rests]
-        rests.update(zip(signs, self.raw(signs)))
-        for piece, (first, *rest) in cut:
-            head = young[first] if first[0].isalpha() else rests[" " + first]
-            young[piece] = head + b"".join([rests[r] for r in rest])
-        for held, keys in ((young, blank), (rests, bare + signs)):
-            for key in [k for k in keys if len(k) > MEMO_CHARS]:
-                held.pop(key, None)
+                head = signs.get(" " + first) or rests[" " + first]
+            out.append(head + b"".join([bare.get(r) or signs.get(r) or rests[r] for r in rest]))
+        return out
 
 
 def tokenized(df: DataFrame, model_json: str, end_id: int = END_ID) -> DataFrame:
@@ -212,14 +281,15 @@ def tokenized(df: DataFrame, model_json: str, end_id: int = END_ID) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(shared.value)
-        end = array(encoder.type, [end_id]).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
+            for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(lo, TEXTS_AT_ONCE)
+                flat, ends = encoder.packed(part.column(1), end_id)
+                offsets = np.concatenate([[0], ends * flat.itemsize]).astype(np.int32)
+                ids = pa.Array.from_buffers(
+                    pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]
                 )
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
