@@ -295,7 +295,13 @@ def _(spark, sf):
 
 
 # --------------------------------------------------------------- signatures
+# Per bundled rule: when it fires on a text ``t``, and the names it then lists.
+_RULE_SQL: dict[str, tuple[str, str]] = {}
+
+
 def _signature(name: str, rule: str, condition: str, strings: str) -> None:
+    _RULE_SQL[rule] = condition, strings
+
     @query(
         name,
         f"WITH {X.FILES} SELECT doc_id, {strings} AS strings FROM files WHERE {condition}",
@@ -364,6 +370,7 @@ _signature(
 
 def _script_signature(name: str, rule: str, condition: str, strings: str) -> None:
     """Script rules run over page scripts behind the action key they look for."""
+    _RULE_SQL[rule] = condition, strings
 
     @query(
         name,
@@ -443,6 +450,23 @@ def _(spark, sf):
     )
 
 
+def _all_rules_sql() -> str:
+    """Every firing rule with its place and names, in one select per rule. The rule on
+    embedded programs has no text form; no derived file holds such bytes."""
+    parts = [
+        f"SELECT doc_id, {k} AS sig_ord, '{r.rule}' AS rule, {_RULE_SQL[r.rule][1]} AS strings "
+        f"FROM files WHERE {_RULE_SQL[r.rule][0]}"
+        for k, r in enumerate(sg.BUNDLED) if r.rule in _RULE_SQL
+    ]
+    return f"WITH {X.FILES} {' UNION ALL '.join(parts)}"
+
+
+@query("Y15_strings_in_order", _all_rules_sql())
+def _(spark, sf):
+    hits = pt.all_hits(I.pdf_files(spark, sf), sg.rule_set())
+    return hits.select("doc_id", "sig_ord", "rule", F.array_join("strings", ",").alias("strings"))
+
+
 _USER_RULE = sg.Signature(
     "User_Marker", "low", "custom", (sg.Pattern("m", "trailing-blob", nocase=True),), ((1, ("m",)),),
     namespace="user",

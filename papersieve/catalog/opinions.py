@@ -239,6 +239,28 @@ def _(spark, sf):
     return cl.parse_responses(rows.select("doc_id", "response")).select("doc_id.*", "problem")
 
 
+# Complete verdicts in every form a response may have.
+_SAID = """CASE turn % 4 WHEN 0 THEN 'malicious' WHEN 1 THEN 'clean' WHEN 2 THEN 'suspicious' ELSE 'low_risk' END"""
+_FULL = f"""concat('{{"verdict": "', {_SAID}, '", "risk_score": ', CAST(conv_id % 101 AS STRING), ', "confidence": 0.5, "summary": " seen ', CAST(conv_id AS STRING), ' ", "recommended_action": "block", "false_positive_risk": "low"}}')"""
+_VERDICTS = f"""concat(regexp_replace({_RESPONSE.replace(_ARG, _FULL)}, '.$', ', "usage": {{"prompt_tokens": 100'),
+  CASE WHEN turn % 6 = 5 THEN '' ELSE concat(', "completion_tokens": ', CAST(turn AS STRING)) END, '}}}}')"""
+
+
+@query(
+    "responses_with_verdicts",
+    f"""SELECT conv_id, turn, CASE WHEN turn % 6 <> 5 THEN {_SAID} END AS verdict, CASE WHEN turn % 6 <> 5 THEN conv_id % 101 END::INT AS risk_score,
+      CASE WHEN turn % 6 <> 5 THEN 0.5 END::DOUBLE AS confidence, CASE WHEN turn % 6 <> 5 THEN 'seen ' || conv_id END AS summary,
+      CASE WHEN turn % 6 <> 5 THEN 'block' ELSE 'review' END AS action, CASE WHEN turn % 6 = 5 THEN 'no_json' END AS problem,
+      CASE WHEN turn % 6 = 5 THEN 100 ELSE 100 + turn END AS total_tokens FROM conversations""".replace("STRING", "VARCHAR"),
+)
+def _(spark, sf):
+    rows = messages(spark, sf, _VERDICTS, "response").withColumn("doc_id", F.struct("conv_id", "turn"))
+    return cl.parse_responses(rows.select("doc_id", "response")).select(
+        "doc_id.*", "verdict", "risk_score", "confidence", "summary", F.col("recommended_action").alias("action"),
+        "problem", F.col("total_tokens").cast("bigint").alias("total_tokens"),
+    )
+
+
 # ------------------------------------------------------------------ evidence
 @query(
     "L9_evidence_bundle",
@@ -255,6 +277,32 @@ def _(spark, sf):
     )
 
 
+@query(
+    "L9_bundle_values",
+    f"""WITH {X.FILE_INDICATORS}, n AS (SELECT doc_id, string_agg(code || ' ' || severity || ' ' || weight, ',' ORDER BY weight DESC, rule_ord, ord) AS indicators FROM ind GROUP BY 1)
+    SELECT d.doc_id, coalesce(n.indicators, '') AS indicators,
+      CASE WHEN d.doc_id % 41 = 9 THEN 'open failed: no resolvable catalog' ELSE array_to_string(list_filter([
+        CASE WHEN d.doc_id % 19 = 4 THEN 'encrypted: contents are not decrypted' END,
+        CASE WHEN d.doc_id % 29 = 3 THEN 'missing %PDF- header' END], lambda s: s IS NOT NULL), ',') END AS errors,
+      CASE WHEN d.doc_id % 41 = 9 THEN '' ELSE (CASE WHEN d.doc_id % 4 = 2 THEN 'file://srv/' || d.doc_id || '.pdf,' ELSE '' END)
+        || 'http://185.220.101.7/verify' || (CASE WHEN d.doc_id % 4 = 3 THEN ',https://bit.ly/' || d.doc_id ELSE '' END) END AS urls
+    FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id""",
+)
+def _(spark, sf):
+    b = evd.evidence_bundles(scan(spark, sf))
+    said = F.from_json(
+        "bundle",
+        "indicators array<struct<code:string,severity:string,weight:int>>, parse_errors array<string>, urls array<struct<url:string>>",
+    )
+    listed = lambda items: F.coalesce(F.array_join(items, ","), F.lit(""))
+    return b.select("doc_id", said.alias("b")).select(
+        "doc_id",
+        listed(F.transform("b.indicators", lambda i: F.concat_ws(" ", i["code"], i["severity"], i["weight"].cast("string")))).alias("indicators"),
+        listed(F.col("b.parse_errors")).alias("errors"),
+        listed(F.transform("b.urls", lambda u: u["url"])).alias("urls"),
+    )
+
+
 _SCRIPT_ROWS = "SELECT user_id AS doc_id, event_id AS ord, event_type AS location, repeat('x', CAST(floor(value * 40) AS INT)) AS code, CAST(event_id % 7 AS DOUBLE) / 10.0 AS obfuscation_score FROM events"
 
 
