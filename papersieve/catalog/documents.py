@@ -606,6 +606,25 @@ def _(spark, sf):
     )
 
 
+@query(
+    "E1_failing_rule",
+    f"""WITH {X.FILE_INDICATORS} SELECT doc_id, code, 'found' AS said FROM ind
+    UNION ALL SELECT doc_id, 'SITE_RATIO', CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'found' END FROM documents
+      WHERE doc_id % 5 = 0 OR 12 // (doc_id % 5) >= 6""",
+)
+def _(spark, sf):
+    """A rule that divides by zero on some documents, next to all others."""
+    held = scan(spark, sf).evidence
+    ratio = rl.Rule(
+        "SITE_RATIO", "Ratio", "structure", lambda: F.expr("12 div (doc_id % 5) >= 6"), "low", 5, "site"
+    )
+    said = rl.evaluated(held, [*rl.registered_rules(), ratio])
+    return said.select(
+        "doc_id", F.coalesce("failed_rule", "code").alias("code"),
+        F.when(F.col("failed_rule").isNull(), "found").otherwise("failed").alias("said"),
+    )
+
+
 # ------------------------------------------------------------------- scoring
 def unique_indicators(spark: SparkSession, sf: str) -> DataFrame:
     raw = I.event_indicators(spark, sf)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,21 @@ def safe_text(value: Column, limit: int | None = 512) -> Column:
     return shown if limit is None else F.left(shown, F.lit(limit))
 
 
+def attempt(value: Column) -> Column:
+    """``value``, or null where evaluating it fails.
+
+    This is the expression behind the ``try_`` functions, which has no name of its
+    own in Python. Where the session gives no access to it (a remote client), the
+    value is returned unguarded.
+    """
+    if not hasattr(value, "_jc"):
+        return value
+    jvm = SparkSession.active()._jvm
+    columns = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    guarded = jvm.org.apache.spark.sql.catalyst.expressions.TryEval(columns.expression(value._jc))
+    return Column(columns.column(guarded))
+
+
 def redact(mapping: Column, keys: Sequence[str] = ("api_key", "token")) -> Column:
     """Mask the values of sensitive keys in a string map."""
     return F.transform_values(

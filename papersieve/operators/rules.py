@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from papersieve import constants as K
 from papersieve.functions.links import is_dangerous, is_risky
 from papersieve.functions.scripts import script_summary
-from papersieve.functions.text import case_map, literals
+from papersieve.functions.text import attempt, case_map, let, literals
 from papersieve.operators.signatures import hit_indicators
 
 INDICATOR_COLUMNS = (
@@ -300,7 +300,7 @@ def _emission(rule: Rule, rank: int) -> Column:
     )
 
 
-def _usable(summary: DataFrame, rules: Sequence[tuple[int, Rule]]) -> list[Column]:
+def _usable(summary: DataFrame, rules: Sequence[tuple[int, Rule]]) -> list[tuple[Rule, Column]]:
     """Emissions of the rules that resolve; a broken rule is reported and skipped."""
     out = []
     for rank, rule in rules:
@@ -310,32 +310,75 @@ def _usable(summary: DataFrame, rules: Sequence[tuple[int, Rule]]) -> list[Colum
         except AnalysisException as problem:
             warnings.warn(f"rule {rule.code} skipped: {str(problem).splitlines()[0]}", stacklevel=2)
             continue
-        out.append(column)
+        out.append((rule, column))
     return out
 
 
+_NOTHING = (
+    "struct<rule_ord:int,code:string,title:string,severity:string,weight:int,category:string,"
+    "mitre:string,evidence:string>"
+)
+
+
 def apply_rules(summary: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """Indicator rows of every rule that fires on one summary table."""
-    columns = _usable(summary, rules)
-    if not columns:
-        columns = [F.lit(None).cast("struct<rule_ord:int,code:string,title:string,severity:string,weight:int,category:string,mitre:string,evidence:string>")]
+    """What every rule said about each row of one summary table.
+
+    Indicator rows of the rules that fire, and a row with ``failed_rule`` for each
+    rule whose evaluation failed on a row; its other rows and the other rules are
+    not touched by that.
+    """
+    usable = _usable(summary, rules)
+    if not usable:
+        said = F.array(F.struct(F.lit(None).cast("string").alias("failed_rule"), F.lit(None).cast(_NOTHING).alias("i")))
+    else:
+        tried = [
+            # A rule that is silent gives a struct around null; one that fails gives null.
+            let(
+                attempt(F.struct(column.alias("i"))),
+                lambda got, code=rule.code: F.struct(
+                    F.when(got.isNull(), code).alias("failed_rule"), got["i"].alias("i")
+                ),
+            )
+            for rule, column in usable
+        ]
+        said = F.array(*tried)
     return (
-        summary.select("doc_id", F.explode(F.array(*columns)).alias("i"))
-        .where(F.col("i").isNotNull())
-        .select("doc_id", "i.*")
+        summary.select("doc_id", F.explode(said).alias("s"))
+        .where(F.col("s.i").isNotNull() | F.col("s.failed_rule").isNotNull())
+        .select("doc_id", "s.i.*", "s.failed_rule")
         .withColumn("ord", F.lit(0))
-        .select(*INDICATOR_COLUMNS)
+        .select(*INDICATOR_COLUMNS, "failed_rule")
     )
 
 
-def indicators(evidence: Evidence, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """All indicators of all documents, signatures last."""
+def evaluated(evidence: Evidence, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """All indicators of all documents, signatures last, and the rules that failed
+    on a document as rows with ``failed_rule``."""
     chosen = list(enumerate(registered_rules() if rules is None else rules, start=1))
     # Custom rules rank after the signature bridge.
     ranked = [(n if n < SIGNATURE_RULE_ORD else n + 1, r) for n, r in chosen]
-    out = hit_indicators(evidence.hits, SIGNATURE_RULE_ORD).select(*INDICATOR_COLUMNS)
+    out = hit_indicators(evidence.hits, SIGNATURE_RULE_ORD).select(
+        *INDICATOR_COLUMNS, F.lit(None).cast("string").alias("failed_rule")
+    )
     for name, summary in evidence.summaries().items():
         mine = [(n, r) for n, r in ranked if r.source == name]
         if mine:
             out = out.unionByName(apply_rules(summary, mine))
     return out
+
+
+def fired(said: DataFrame) -> DataFrame:
+    """Indicators among the rows of :func:`evaluated`."""
+    return said.where("failed_rule IS NULL").select(*INDICATOR_COLUMNS)
+
+
+def failures(said: DataFrame) -> DataFrame:
+    """Error rows of the rules that failed: ``doc_id, stage, message``."""
+    return said.where("failed_rule IS NOT NULL").select(
+        "doc_id", F.lit("rules").alias("stage"), F.concat(F.lit("rule failed: "), "failed_rule").alias("message")
+    )
+
+
+def indicators(evidence: Evidence, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """All indicators of all documents."""
+    return fired(evaluated(evidence, rules))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from papersieve.functions import links, scripts as js
 from papersieve.functions.bytescan import byte_features
 from papersieve.operators import objects as og
 from papersieve.operators.patterns import indexed_hits, split_rules
-from papersieve.operators.rules import Evidence, Rule, indicators
+from papersieve.operators.rules import Evidence, Rule, evaluated, failures, fired
 from papersieve.operators.scoring import active_documents, outcomes
 from papersieve.operators.signatures import BUNDLED, Signature, explode_hits, hit_array, require_rules
 from papersieve.session import staged
@@ -190,5 +190,7 @@ def scan_files(
         hits=hits,
         errors=errors if bitten is None else errors.unionByName(bitten),
     )
-    found = staged(indicators(evidence, rules), "doc_id")
+    said = staged(evaluated(evidence, rules), "doc_id")
+    found = fired(said)
+    evidence = replace(evidence, errors=evidence.errors.unionByName(failures(said)))
     return Scan(features, w, evidence, found, outcomes(found, files))
