@@ -18,7 +18,7 @@ from papersieve.functions.bytescan import magic_type, sha256_hex, text_excerpts
 from papersieve.functions.entries import ENTRY_SCHEMA, explode_files
 from papersieve.functions.text import case_map, safe_text
 from papersieve.operators.trees import labelled, preorder
-from papersieve.session import staged
+from papersieve.session import staged, together
 
 _ID = ["doc_id", "node"]
 
@@ -218,20 +218,15 @@ def walk(entries: DataFrame, limits: Limits = Limits()) -> Walk:
 
     Runs actions: the staged catalogs, pages, action attributes and script texts.
     """
-    edges = staged(resolved_edges(entries), "key", "doc_id")
-    roots = staged(catalogs(entries), "doc_id")
-    trees, cut = tree_nodes(edges, roots)
-    return Walk(
-        entries,
-        edges,
-        roots,
-        trees,
-        staged(page_nodes(trees, entries), "doc_id"),
-        staged(action_attributes(entries), "doc_id"),
-        staged(script_sources(entries), "doc_id"),
-        cut,
-        limits,
+    edges, roots, attributes, scripts = together(
+        lambda: staged(resolved_edges(entries), "key", "doc_id"),
+        lambda: staged(catalogs(entries), "doc_id"),
+        lambda: staged(action_attributes(entries), "doc_id"),
+        lambda: staged(script_sources(entries), "doc_id"),
     )
+    trees, cut = tree_nodes(edges, roots)
+    pages = staged(page_nodes(trees, entries), "doc_id")
+    return Walk(entries, edges, roots, trees, pages, attributes, scripts, cut, limits)
 
 
 def _order(stage: int, *parts: Column) -> Column:

@@ -121,8 +121,13 @@ def preorder(edges: DataFrame, roots: DataFrame, repairs: int = MOST_REPAIRS) ->
     which some reachable node was left out because its parents had to be chosen
     anew more than ``repairs`` times; sound files need none.
     """
-    known = staged(edges.join(roots.select(*GROUP).distinct(), list(GROUP), "left_semi"))
-    roots = staged(roots)
+    # One table: a root is a child of the top.
+    tops = roots.select(*GROUP, F.lit(TOP).alias("node"), F.col("slot"), F.col("node").alias("child"))
+    given = staged(
+        edges.join(roots.select(*GROUP).distinct(), list(GROUP), "left_semi").unionByName(tops.select(*edges.columns))
+    )
+    known = given.where(F.col("node") != TOP)
+    roots = given.where(F.col("node") == TOP).select(*GROUP, F.col("child").alias("node"), "slot")
     parents = _one_parent(known, roots)
     for attempt in range(repairs + 1):
         state, rounds = _resolved(parents)

@@ -15,7 +15,7 @@ from papersieve.operators.patterns import indexed_hits, split_rules
 from papersieve.operators.rules import Evidence, Rule, evaluated, failures, fired
 from papersieve.operators.scoring import active_documents, outcomes
 from papersieve.operators.signatures import BUNDLED, Signature, explode_hits, hit_array, require_rules
-from papersieve.session import staged
+from papersieve.session import checkpoint_dir, staged, together
 
 
 @dataclass(frozen=True)
@@ -166,27 +166,35 @@ def scan_files(
     shuffled.
     """
     inline, more = split_rules(require_rules(signatures))
+    checkpoint_dir(files.sparkSession)  # A scratch folder must exist before threads ask for one.
     # Without a rule of its own the byte pass has no array of outcomes to explode.
-    read = staged(read_bytes(files, inline or BUNDLED), "doc_id")
+    read, entries = together(
+        lambda: staged(read_bytes(files, inline or BUNDLED), "doc_id"), lambda: og.stage_entries(files)
+    )
     hits = explode_hits(read, inline or BUNDLED).withColumn("rules_loaded", F.lit(len(signatures)))
     if more:
         own = indexed_hits(files, more, len(inline), len(signatures))
         hits = staged(hits.unionByName(own) if inline else own, "doc_id")
     features = read.drop("swept", "hits")
-    entries = og.stage_entries(files)
     w = og.walk(entries, limits)
     taken, bitten = collect_scripts(w, limits.script_chars)
-    scripts = staged(taken, "doc_id")
-    errors = og.parse_errors(files, w, features)
-    actions = staged(og.actions(w), "doc_id")
+    scripts, actions, attachments = together(
+        lambda: staged(taken, "doc_id"),
+        lambda: staged(og.actions(w), "doc_id"),
+        lambda: staged(og.attachments(w), "doc_id"),
+    )
     urls, links_cut = collect_urls(read, w, scripts)
-    errors = errors.unionByName(links_cut)
+    structure, urls = together(
+        lambda: staged(structure_table(features, w, scripts, actions), "doc_id"),
+        lambda: staged(urls, "doc_id"),
+    )
+    errors = og.parse_errors(files, w, features).unionByName(links_cut)
     evidence = Evidence(
-        structure=staged(structure_table(features, w, scripts, actions), "doc_id"),
+        structure=structure,
         scripts=scripts,
         actions=actions,
-        attachments=staged(og.attachments(w), "doc_id"),
-        urls=staged(urls, "doc_id"),
+        attachments=attachments,
+        urls=urls,
         hits=hits,
         errors=errors if bitten is None else errors.unionByName(bitten),
     )

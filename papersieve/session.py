@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -79,6 +82,17 @@ def staged(df: DataFrame, *sort_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of independent makers that each run jobs, run side by side.
+
+    A small job leaves most of a cluster idle while it is planned and committed;
+    jobs that do not wait for each other fill that time.
+    """
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(inherit(m)) for m in makers]]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work one partition per core when the scan has fewer.
 
