@@ -66,7 +66,7 @@ def turns(df: DataFrame) -> DataFrame:
     conversation with a third of all rows is numbered by a third of the tasks.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = df.filter(F.col("conv_id").isNotNull()).select(
+    digests = df.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         # The role's length keeps (role, text) apart from any other cut of the same characters.
@@ -76,6 +76,8 @@ def turns(df: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(f"{NON_BLANK}+")).cast("long").alias("n_words"),
         F.monotonically_increasing_id().alias("row_no"),
     )
+    # Written first: the bounds of the slices are sampled from the rows, which would digest each text twice.
+    rows = written(digests, "turn-digests")
     order = ["turn", "turn_digest", "row_no"]
     return running_before(rows, F.lit(1).cast("long"), order, ["conv_id"], "at").select(
         "conv_id", "at", "turn_digest", "n_words"
