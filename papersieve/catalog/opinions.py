@@ -240,21 +240,21 @@ def _(spark, sf):
 
 
 # Complete verdicts in every form a response may have.
-_SAID = """CASE turn % 4 WHEN 0 THEN 'malicious' WHEN 1 THEN 'clean' WHEN 2 THEN 'suspicious' ELSE 'low_risk' END"""
-_FULL = f"""concat('{{"verdict": "', {_SAID}, '", "risk_score": ', CAST(conv_id % 101 AS STRING), ', "confidence": 0.5, "summary": " seen ', CAST(conv_id AS STRING), ' ", "recommended_action": "block", "false_positive_risk": "low"}}')"""
-_VERDICTS = f"""concat(regexp_replace({_RESPONSE.replace(_ARG, _FULL)}, '.$', ', "usage": {{"prompt_tokens": 100'),
+_GIVEN_VERDICT = """CASE turn % 4 WHEN 0 THEN 'malicious' WHEN 1 THEN 'clean' WHEN 2 THEN 'suspicious' ELSE 'low_risk' END"""
+_WHOLE_VERDICT = f"""concat('{{"verdict": "', {_GIVEN_VERDICT}, '", "risk_score": ', CAST(conv_id % 101 AS STRING), ', "confidence": 0.5, "summary": " seen ', CAST(conv_id AS STRING), ' ", "recommended_action": "block", "false_positive_risk": "low"}}')"""
+_VERDICT_RESPONSES = f"""concat(regexp_replace({_RESPONSE.replace(_ARG, _WHOLE_VERDICT)}, '.$', ', "usage": {{"prompt_tokens": 100'),
   CASE WHEN turn % 6 = 5 THEN '' ELSE concat(', "completion_tokens": ', CAST(turn AS STRING)) END, '}}}}')"""
 
 
 @query(
     "responses_with_verdicts",
-    f"""SELECT conv_id, turn, CASE WHEN turn % 6 <> 5 THEN {_SAID} END AS verdict, CASE WHEN turn % 6 <> 5 THEN conv_id % 101 END::INT AS risk_score,
+    f"""SELECT conv_id, turn, CASE WHEN turn % 6 <> 5 THEN {_GIVEN_VERDICT} END AS verdict, CASE WHEN turn % 6 <> 5 THEN conv_id % 101 END::INT AS risk_score,
       CASE WHEN turn % 6 <> 5 THEN 0.5 END::DOUBLE AS confidence, CASE WHEN turn % 6 <> 5 THEN 'seen ' || conv_id END AS summary,
       CASE WHEN turn % 6 <> 5 THEN 'block' ELSE 'review' END AS action, CASE WHEN turn % 6 = 5 THEN 'no_json' END AS problem,
       CASE WHEN turn % 6 = 5 THEN 100 ELSE 100 + turn END AS total_tokens FROM conversations""".replace("STRING", "VARCHAR"),
 )
 def _(spark, sf):
-    rows = messages(spark, sf, _VERDICTS, "response").withColumn("doc_id", F.struct("conv_id", "turn"))
+    rows = messages(spark, sf, _VERDICT_RESPONSES, "response").withColumn("doc_id", F.struct("conv_id", "turn"))
     return cl.parse_responses(rows.select("doc_id", "response")).select(
         "doc_id.*", "verdict", "risk_score", "confidence", "summary", F.col("recommended_action").alias("action"),
         "problem", F.col("total_tokens").cast("bigint").alias("total_tokens"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,13 +162,16 @@ def drop_repeated_sweeps(scripts: DataFrame) -> DataFrame:
     return kept.unionByName(swept.where(F.col("_first") == order).drop("_first"))
 
 
-def apply_script_budget(scripts: DataFrame, budget: int = K.MAX_SCRIPT_CHARS) -> DataFrame:
+def apply_script_budget(
+    scripts: DataFrame, budget: int = K.MAX_SCRIPT_CHARS, order_by: Sequence[str] = ("ord",)
+) -> DataFrame:
     """Stop adding scripts once the total before them exceeds ``budget``.
 
-    Expects ``doc_id, ord, code``; adds ``length, truncated`` and clips ``code``.
+    Expects ``doc_id``, ``code`` and the columns of ``order_by``, unique within a
+    document; adds ``length, truncated`` and clips ``code``.
     """
     sized = scripts.withColumn("length", F.length("code"))
-    kept = running_before(sized, F.col("length").cast("long"), ["ord"], ["doc_id"], "_before")
+    kept = running_before(sized, F.col("length").cast("long"), list(order_by), ["doc_id"], "_before")
     return (
         kept.where(F.col("_before") <= budget)
         .withColumn("truncated", F.col("length") > budget)

@@ -33,33 +33,17 @@ def collect_scripts(w: og.Walk, budget: int | None = None) -> tuple[DataFrame, D
     Without ``budget`` every script is kept whole. With one, a script that starts
     after so many characters of earlier ones is dropped and a longer one is cut;
     the second table then has a ``parse_errors`` row for each document concerned.
-    The running length is an in-document window: one file's scripts are bounded
-    by the upload cap, so no document can outgrow a task here.
     """
     found = staged(og.script_findings(w), "doc_id")
     kept = js.drop_repeated_sweeps(found).withColumn("length", F.length("code"))
     if budget is None:
         return js.enrich_scripts(kept.withColumn("truncated", F.lit(False))), None
-    before = Window.partitionBy("doc_id").orderBy("ord", "location").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    running = kept.withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    bitten = (
-        running.where((F.col("_before") > budget) | (F.col("length") > budget))
-        .select(
-            "doc_id",
-            F.lit("scripts").alias("stage"),
-            F.lit("javascript extraction budget exhausted").alias("message"),
-        )
-        .distinct()
-    )
-    budgeted = (
-        running.where(F.col("_before") <= budget)
-        .withColumn("truncated", F.col("length") > budget)
-        .withColumn("code", F.left("code", F.lit(budget)))
-        .drop("_before")
-    )
-    return js.enrich_scripts(budgeted), bitten
+    place = ["doc_id", "ord", "location"]
+    whole = staged(kept, "doc_id")
+    budgeted = staged(js.apply_script_budget(whole, budget, place[1:]), "doc_id")
+    dropped = whole.select(*place).join(budgeted.select(*place), place, "left_anti")
+    bitten = budgeted.where("truncated").select("doc_id").unionByName(dropped.select("doc_id"))
+    return js.enrich_scripts(budgeted), og.exhausted(bitten, "javascript extraction", "scripts")
 
 
 def read_bytes(files: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
