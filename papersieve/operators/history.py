@@ -84,7 +84,7 @@ def counts_by(scans: DataFrame, column: str) -> DataFrame:
 
 CUTOFF_BUCKETS = 4_096
 # So few rows are sorted; more are split into finer buckets.
-CUTOFF_ROWS = 100_000
+CUTOFF_ROWS = 1_000_000
 
 
 def prune_cutoff(scans: DataFrame, keep: int) -> Column:
