@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import pytest
 from documents import ALL, Writer
+from pyspark.sql import functions as F
 
 from papersieve.operators import evidence
+from papersieve.operators import objects as og
 from papersieve.operators.objects import Limits
 from papersieve.plans.scan import scan_files
+from papersieve.session import staged
 
 NAMES = list(ALL)
 
@@ -187,3 +190,24 @@ def test_scripts_behind_long_ones_are_taken_and_a_budget_says_what_it_left_out(s
     taken = {(r.doc_id, len(r.code), r.truncated) for r in capped.evidence.scripts.collect()}
     assert taken == {(0, 200_000, True), (2, 10, False)}
     assert [r.doc_id for r in capped.evidence.errors.where(spent).collect()] == [0]
+
+
+def test_findings_are_not_broadcast(scanned, capsys):
+    """Findings repeat themselves: files of a few MB may unpack to what fills a driver."""
+    w = scanned.walk
+    for rows in (
+        scanned.evidence.errors, scanned.outcomes, og.actions(w), og.attachments(w), og.metadata(w),
+        og.structure_flags(w), og.uri_targets(w), evidence.evidence_bundles(scanned),
+    ):
+        rows.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_staged_rows_are_joined_by_merging(spark, capsys):
+    small = staged(spark.range(1000).withColumn("same", F.lit("x" * 1000)))
+    for rows in (
+        spark.range(1000).join(small, "id"),
+        spark.range(1000).join(small.groupBy("id").count(), "id", "left"),
+    ):
+        rows.explain()
+        assert "SortMergeJoin" in capsys.readouterr().out
