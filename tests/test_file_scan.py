@@ -211,3 +211,13 @@ def test_staged_rows_are_joined_by_merging(spark, capsys):
     ):
         rows.explain()
         assert "SortMergeJoin" in capsys.readouterr().out
+
+
+def test_plans_of_findings_stay_short(scanned, capsys):
+    """What the driver holds while it plans follows the joins of a plan; shared steps are staged."""
+    for rows, most in (
+        (scanned.evidence.errors, 0), (og.actions(scanned.walk), 6), (scanned.walk.trees, 0),
+        (og.recorded_kinds(scanned.walk), 1), (og.script_findings(scanned.walk), 4),
+    ):
+        rows.explain()
+        assert capsys.readouterr().out.count("SortMergeJoin") <= most
