@@ -212,3 +212,34 @@ def test_vanished_and_old_files_leave_the_state(spark, tmp_path):
     found = seen(run_once(settle.settled_files(listing(spark, tmp_path, rows)), root))
     assert [p for p, _ in found] == ["kept", "old", "x"]
     assert {r.path for r in settle.watched(spark, f"{root}/log").collect()} == {"kept", "x"}
+
+
+def test_keys_of_a_bucket_share_calls_but_not_fates(spark, tmp_path, monkeypatch):
+    """Every key in one bucket, or each in nearly its own: the same rows, states and timers."""
+    week = settle.REMEMBER_SECONDS
+    rows = [(f"p{i}", 5, t) for i in range(20) for t in (0, 15, 30) if i % 4 or t == 0]
+    rows += [("p1", settle.FORGET, 45), ("p1", 7, 45), ("x", 1, 5_000), ("y", 1, week + 9_000), ("x", 1, week + 9_100)]
+    got = []
+    for buckets in (1, 4096):
+        root = str(tmp_path / f"run{buckets}")
+        stream = listing(spark, tmp_path / str(buckets), rows)
+        found = seen(run_once(settle.settled_files(stream, buckets=buckets), root))
+        states = lambda n=None: sorted(map(tuple, settle.watched(spark, f"{root}/log", n).collect()))
+        got.append((found, states(2), states()))
+    assert got[0] == got[1]
+    assert len(got[0][0]) == 16 and len(got[0][1]) == 20 and {r[0] for r in got[0][2]} == {"x", "y"}
+
+
+def test_stale_scans_by_bucket(spark, tmp_path):
+    hour = 3_600
+    rows = [(i, "analyzing", 0) for i in range(12)] + [(i, "completed", hour) for i in range(4)]
+    rows += [(4, "pending", hour), (5, "completed", hour), (5, "pending", 2 * hour), (99, "pending", 3 * hour)]
+    rows += [(98, "pending", 9 * hour), (97, "pending", 9 * hour + 60)]
+    schema, folder = "scan_id bigint, status string, ts timestamp", str(tmp_path / "life")
+    for at in sorted({r[2] for r in rows}):
+        batch = [(i, s, START + dt.timedelta(seconds=t)) for i, s, t in rows if t == at]
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+    for buckets in (1, 4096):
+        life = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = run_once(settle.stale_scans(life, buckets=buckets), str(tmp_path / f"run{buckets}")).collect()
+        assert sorted(r.scan_id for r in found) == [*range(4, 12), 99]
