@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+from urllib.parse import urlparse
+
 import pytest
 from documents import ALL, Writer
 from pyspark.sql import functions as F
@@ -10,7 +15,7 @@ from papersieve.operators import evidence
 from papersieve.operators import objects as og
 from papersieve.operators.objects import Limits
 from papersieve.plans.scan import scan_files
-from papersieve.session import staged
+from papersieve.session import checkpoint_dir, once, staged
 
 NAMES = list(ALL)
 
@@ -221,3 +226,35 @@ def test_plans_of_findings_stay_short(scanned, capsys):
     ):
         rows.explain()
         assert capsys.readouterr().out.count("SortMergeJoin") <= most
+
+
+def test_a_finding_runs_only_the_steps_it_comes_from(spark):
+    """The driver's memory follows the number of plans too: what is not asked for is not run."""
+    files = spark.createDataFrame([(i, bytearray(ALL[n])) for i, n in enumerate(NAMES)], "doc_id bigint, content binary")
+    folder = Path(urlparse(checkpoint_dir(spark)).path)
+    written = lambda: set(folder.glob("staged-*"))
+    before = written()
+    scan = scan_files(files)
+    assert written() == before
+    og.metadata(scan.walk)
+    assert len(written() - before) == 3  # Entries, edges and catalogs.
+    assert scan.judged.summary("attachments").count() > 0
+    assert not {"scripts", "actions", "urls", "structure", "read"} & set(vars(scan))
+    before = written()
+    og.metadata(scan.walk), scan.judged.summary("attachments")
+    assert written() == before
+
+
+def test_what_is_made_once_is_made_once_by_threads():
+    class Held:
+        made = 0
+
+        @once
+        def table(self):
+            time.sleep(0.05)
+            self.made += 1
+            return self.made
+
+    held = Held()
+    with ThreadPoolExecutor(4) as pool:
+        assert [f.result() for f in [pool.submit(lambda: held.table) for _ in range(4)]] == [1] * 4
