@@ -113,10 +113,14 @@ class Transducer:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes_of = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k == BYTE}
+        # Length of the longest piece that ends in these three characters.
+        self.reach: dict[str, int] = {}
+        for t in sorted((t for t in self.ids if len(t) > 2), key=len):
+            self.reach[t[-3:]] = len(t)
         self.adjacent = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.output = [self._bytes(i) for i in range(len(self.texts))]
+        self.output = np.array([self._bytes(i) for i in range(len(self.texts))], dtype=object)
 
     def _bytes(self, piece: int) -> bytes:
         if self.kinds[piece] == BYTE:
@@ -162,15 +166,19 @@ class Transducer:
             self.pairs[left, right] = found
         return found
 
+    def first_begin(self, chars: str, end: int) -> int:
+        """Where the longest arc that can end at ``end`` begins."""
+        return max(0, end - self.reach.get(chars[end - 3 : end], 2)) if end > 2 else 0
+
     def best_path(self, chars: str) -> list[str]:
         """Input labels of the arcs on the shortest path over one part of the lattice."""
         n, ids = len(chars), self.ids
         came = [0] * (n + 1)
         if self.model_kind == BPE:
-            stands, pairs = self.pair_stands, self.pairs
+            stands, pairs, first = self.pair_stands, self.pairs, self.first_begin
             label = [""] * (n + 1)
             for end in range(1, n + 1):
-                for begin in range(max(0, end - self.longest), end):
+                for begin in range(first(chars, end), end):
                     arc = chars[begin:end]
                     if arc in ids or end - begin == 1:
                         before = label[begin]
@@ -183,7 +191,7 @@ class Transducer:
         else:
             cost = [0.0] + [math.inf] * n
             for end in range(1, n + 1):
-                for begin in range(max(0, end - self.longest), end):
+                for begin in range(self.first_begin(chars, end), end):
                     piece = ids.get(chars[begin:end])
                     if piece is not None:
                         weight = cost[begin] - self.scores[piece]
@@ -234,9 +242,9 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_normalised(self.normalise(text or ""))
 
-    def decode(self, ids: Sequence[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """Text of ``ids``; bytes that are no UTF-8 become replacement characters."""
-        raw = b"".join(map(self.output.__getitem__, ids))
+        raw = b"".join(self.output[np.asarray(ids, dtype=np.int64)].tolist())
         if self.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -307,7 +315,7 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", id_col: str = "d
                 flat = np.concatenate(ids).astype(np.int32)
                 offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 sums = [
-                    hashlib.sha256(decode(x.tolist()).encode("utf-8", "replace")).hexdigest()
+                    hashlib.sha256(decode(x).encode("utf-8", "replace")).hexdigest()
                     for x in ids
                 ]
                 yield pa.RecordBatch.from_arrays(

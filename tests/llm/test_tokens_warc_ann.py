@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from papersieve.llm import ann, huffman, warc, wfst
+from papersieve.llm.catalog import PIECE_MODEL
 
 SF = "/root/testdata/sf0.001"
 ODD_TEXTS = [
@@ -288,3 +289,14 @@ def test_repeated_rows_take_no_places(spark):
     assert {q: len(x) for q, x in got.items()} == {q: 20 for q in want}
     assert got[20][:3] == [3, 41, 60] and got[60][:3] == [3, 20, 41]
     assert all(len(set(x)) == 20 for x in got.values())
+
+
+def test_arcs_are_looked_up_only_where_a_piece_can_end():
+    """The pieces that end in the last three characters bound an arc, whatever the model's longest piece."""
+    with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
+        model = wfst.Transducer(f.read())
+    text = model.normalise("unbelievable zzqqxx 0xdeadbeef Straßenbahn 日本語 a")
+    longest = [end - model.first_begin(text, end) for end in range(1, len(text) + 1)]
+    ends = lambda end: [n for n in range(1, end + 1) if text[end - n : end] in model.ids]
+    assert all(max(ends(end), default=1) <= n for end, n in enumerate(longest, start=1))
+    assert sum(longest) < sum(min(end, model.longest) for end in range(1, len(text) + 1)) / 2
