@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from papersieve.operators import evidence
 from papersieve.operators import objects as og
+from papersieve.operators import rules
 from papersieve.operators.objects import Limits
 from papersieve.plans.scan import scan_files
 from papersieve.session import checkpoint_dir, once, staged
@@ -245,6 +246,22 @@ def test_a_finding_runs_only_the_steps_it_comes_from(spark):
     assert written() == before
 
 
+def test_rules_on_bytes_need_no_object_graph(spark):
+    """Rules that read what one pass over the bytes gives walked every file's objects."""
+    files = spark.createDataFrame([(i, bytearray(ALL[n])) for i, n in enumerate(NAMES)], "doc_id bigint, content binary")
+    folder = Path(urlparse(checkpoint_dir(spark)).path)
+    codes = {
+        "PDF_NAME_OBFUSCATION", "PDF_MANY_INCREMENTAL_UPDATES", "PDF_DATA_AFTER_EOF", "PDF_HEADER_OFFSET",
+        "PDF_JBIG2_FILTER",
+    }
+    before = set(folder.glob("staged-*"))
+    scan = scan_files(files)
+    for rule in [r for r in rules.BUNDLED if r.code in codes]:
+        rules.apply_rules(scan.judged.summary(rule.source), [(1, rule)]).count()
+    assert len(set(folder.glob("staged-*")) - before) == 1
+    assert "walk" not in vars(scan)
+
+
 def test_what_is_made_once_is_made_once_by_threads():
     class Held:
         made = 0
