@@ -170,6 +170,26 @@ def test_evidence_never_carries_payloads(scanned):
     assert row.tokens == int(len(row.bundle) / 3.6)
 
 
+def test_scripts_are_cut_before_they_are_sorted(spark, capsys):
+    """Sorting whole scripts took memory that followed the code of a task's rows."""
+    rows = [(d, i, "/A", "x" * (300 * i), None if i == 5 else 0.1 * (i % 3)) for d in range(3) for i in range(9)]
+    scripts = spark.createDataFrame(rows, "doc_id int, ord int, location string, code string, obfuscation_score double")
+    scripts = scripts.withColumns({
+        "length": F.length("code"), "truncated": F.lit(False),
+        "suspicious_tokens": F.when(F.col("ord") != 7, F.array().cast("array<string>")),
+    })
+    sizes = spark.createDataFrame([(0, 0), (1, 6_000), (2, 8_900)], "doc_id int, bundle_chars int")
+    fitted = evidence.fit_scripts(scripts, sizes, 9_000)
+    placed = {(r.doc_id, r.place, r.ord, len(r.code), r.cut) for r in fitted.collect()}
+    order = [8, 2, 4, 1, 7, 6]  # By score, tokens (a missing list counts least) and length; no score is last.
+    assert placed == {
+        (d, n, i, min(300 * i, most), 300 * i > most)
+        for d, most in ((0, 1_500), (1, 500)) for n, i in enumerate(order, 1)
+    }
+    fitted.explain()
+    assert "ShuffledHashJoin" in capsys.readouterr().out
+
+
 def test_prompt_withholds_the_score_unless_asked(scanned):
     bundles = evidence.evidence_bundles(scanned)
     where = f"doc_id = {NAMES.index('exploit_script')}"
