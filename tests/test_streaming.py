@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +244,23 @@ def test_stale_scans_by_bucket(spark, tmp_path):
         life = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
         found = run_once(settle.stale_scans(life, buckets=buckets), str(tmp_path / f"run{buckets}")).collect()
         assert sorted(r.scan_id for r in found) == [*range(4, 12), 99]
+
+
+def test_tables_of_a_batch_are_written_side_by_side_and_count_together(spark, tmp_path, monkeypatch):
+    store = ResultStore(spark, str(tmp_path / "side"))
+    rows = spark.range(3).withColumnRenamed("id", "scan_id")
+    broken = rows.where(F.raise_error(F.lit("broken")).isNull())
+    with pytest.raises(Exception, match="broken"):
+        with store.batch(0) as batch:
+            batch.write_all({"scans": rows, "reports": broken})
+    assert store.rows("scans") is None
+    meet, plain = threading.Barrier(2), Batch.write
+
+    def write(self, name, table):
+        meet.wait(60)  # Passes only if both are under way.
+        plain(self, name, table)
+
+    monkeypatch.setattr(Batch, "write", write)
+    with store.batch(0) as batch:
+        batch.write_all({"scans": rows, "reports": rows})
+    assert store.rows("scans").count() == store.rows("reports").count() == 3
