@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from papersieve.catalog.streams import run_once
+from papersieve.catalog.streams import run_once, stream_of
 from papersieve.operators.gate import GateSettings
 from papersieve.sources.store import APPENDED, REPLACED, Batch, ResultStore
 from papersieve.streaming import settle
@@ -264,3 +264,16 @@ def test_tables_of_a_batch_are_written_side_by_side_and_count_together(spark, tm
     with store.batch(0) as batch:
         batch.write_all({"scans": rows, "reports": rows})
     assert store.rows("scans").count() == store.rows("reports").count() == 3
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path, files):
+    """Large tables are folders of part files, of which a filter on the table's name keeps none."""
+    rows = spark.range(30).withColumn("text", F.lit("x"))
+    if files:
+        rows.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    rows.write.parquet(str(tmp_path / "labels.parquet"))
+    got = run_once(stream_of(spark, str(tmp_path), "documents"))
+    assert sorted(r.id for r in got.collect()) == list(range(30))
