@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from documents import deep_pages
 
 from papersieve.operators import objects as og
+from papersieve.operators import trees
 from papersieve.operators.trees import preorder
 
 EDGES = "doc_id bigint, tree string, node string, slot int, child string"
@@ -84,3 +86,42 @@ def test_page_trees_of_any_depth(spark, depth, cycle):
     assert [r.place for r in rows] == list(range(depth + 1))
     assert rows[0].node == "2" and rows[-1].node == "10"
     assert [(r.node, r.page) for r in w.pages.collect()] == [("10", 0)] and w.cut_trees.isEmpty()
+
+
+def test_every_way_gives_the_same(spark, monkeypatch):
+    """Whole documents in blocks of any size, and joins for those of many edges, against each other."""
+    r = random.Random(5)
+    edges, roots = [], []
+    for doc in range(30):
+        names = [str(x) for x in r.sample(range(1, 2000), r.randint(2, 40))] + ["4/é", "4/zz"]
+        for tree in ("a", "b"):
+            roots += [(doc, tree, n, r.randrange(2)) for n in names[: r.randint(0, 2)]]
+            # Nodes with several parents, in circles, below themselves and below nodes that no root reaches.
+            edges += [(doc, tree, r.choice(names), r.randrange(3), r.choice(names)) for _ in range(r.randint(0, 45))]
+    given = sorted(edges + [(d, t, trees.TOP, s, n) for d, t, n, s in roots], key=lambda e: e[0])
+    placed, lost = trees._preorder_spread(spark.createDataFrame(given, EDGES), 2)
+    want = {(x.doc_id, x.tree, x.node): x.place for x in placed.collect()}, {x.doc_id for x in lost.collect()}
+    assert len(want[0]) > 100 and want[1]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("tree", pa.string()), ("node", pa.string()), ("slot", pa.int32()), ("child", pa.string())])
+    whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*given), schema.types)], schema=schema)
+    for block, batch in ((1, 1), (1, 7), (30, 7), (70, 200), (10**6, 50)):
+        monkeypatch.setattr(trees, "BLOCK_ROWS", block)
+        rows = [x for t in trees._blocks(iter(whole.to_batches(batch))) for x in trees._ordered(t, 2).to_pylist()]
+        got = {(x["doc_id"], x["tree"], x["node"]): x["place"] for x in rows if x["place"] is not None}
+        assert (got, {x["doc_id"] for x in rows if x["place"] is None}) == want and len(got) + len(want[1]) == len(rows)
+    monkeypatch.setattr(trees, "MOST_EDGES", 40)
+    assert places(spark, edges, roots, repairs=2) == want
+
+
+def test_rounds_cost_no_jobs(spark):
+    """A chain of any depth takes the same few jobs."""
+    def jobs(depth):
+        chain = [(1, "t", str(i), 0, str(i + 1)) for i in range(1, depth)]
+        spark.sparkContext.setJobGroup(group := f"depth {depth}", group)
+        got, _ = places(spark, chain, [(1, "t", "1", 0)])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted(got.values()) == list(range(depth))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2_000) == jobs(4) <= 20
